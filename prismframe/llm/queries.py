@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prismframe.llm.jaccard_join import op6_ngram_jaccard_join
+from prismframe.llm.mixing import op3_mix_sources
 from prismframe.llm.packing import op10_best_fit_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_ngram_jaccard_join, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_mix_sources, op6_ngram_jaccard_join, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
