@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prismframe.llm.chat import OP7_SQL, op7_chat_format
 from prismframe.llm.jaccard_join import op6_ngram_jaccard_join
 from prismframe.llm.mixing import op3_mix_sources
 from prismframe.llm.packing import op10_best_fit_packing
@@ -14,8 +15,8 @@ from prismframe.llm.quality import op4_quality_llr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op4_quality_llr, op5_contextual_pii, op6_ngram_jaccard_join, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_mix_sources, op4_quality_llr, op5_contextual_pii, op6_ngram_jaccard_join, op7_chat_format, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_format": OP7_SQL}
