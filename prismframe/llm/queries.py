@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prismframe.llm.chat import OP7_SQL, op7_chat_format
+from prismframe.llm.html_text import op9_html_main_text
 from prismframe.llm.jaccard_join import op6_ngram_jaccard_join
 from prismframe.llm.mixing import op3_mix_sources
 from prismframe.llm.packing import op10_best_fit_packing
@@ -16,7 +17,7 @@ from prismframe.llm.urls import op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op4_quality_llr, op5_contextual_pii, op6_ngram_jaccard_join, op7_chat_format, op8_url_filter, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_mix_sources, op4_quality_llr, op5_contextual_pii, op6_ngram_jaccard_join, op7_chat_format, op8_url_filter, op9_html_main_text, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
