@@ -16,21 +16,27 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismframe.llm.common import WORD, materialize, rows_of, table
+from prismframe.llm.common import materialize, rows_of, table
 
-_CACHES: dict[str, tuple[object, dict[str, bytes]]] = {}
+_TOKENIZERS: dict[str, "_WordTokenizer"] = {}
+_MARKS = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
+_STEM_END = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def _tokenizer(vocabulary: str, limit: int = 500_000):
-    """texts -> little-endian ids of each.  White space never joins two tokens of this kind of
-    vocabulary, so words are tokenised once and remembered (at most ``limit`` of them)."""
-    if vocabulary not in _CACHES:
+class _WordTokenizer:
+    """Texts to little-endian ids, for vocabularies whose tokens never span white space, ignore case
+    and end each word with a marked token.  Words are tokenised once and remembered (at most ``limit``
+    of them, then all are forgotten)."""
+
+    def __init__(self, vocabulary: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,33 +44,82 @@ def _tokenizer(vocabulary: str, limit: int = 500_000):
             import public_tokenizers
 
             path = public_tokenizers.path(vocabulary)
-        _CACHES[vocabulary] = Tokenizer.from_file(path), {}
-    tokenizer, cache = _CACHES[vocabulary]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        found = [WORD.findall(t) for t in texts]
-        new = {w for ws in found for w in ws if w not in cache}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.limit = limit
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        found = [t.split() if t else [] for t in texts]
+        known = [list(map(self.words.get, ws)) for ws in found]
+        gaps = [list(compress(range(len(ids)), map(is_, ids, repeat(None)))) for ids in known]
+        new = {ws[i] for ws, at in zip(found, gaps, strict=True) for i in at}
         if new:
-            if len(cache) + len(new) > limit:
-                cache.clear()
-                new = {w for ws in found for w in ws}
-            ordered = list(new)
-            for word, one in zip(ordered, tokenizer.encode_batch_fast(ordered, add_special_tokens=False), strict=True):
-                cache[word] = np.array(one.ids, "<u4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in found]
-
-    return encode
+            if len(self.words) + len(new) > self.limit:
+                self.words.clear()
+            self._learn(new)
+            for ws, ids, at in zip(found, known, gaps, strict=True):
+                for i in at:
+                    ids[i] = self.words[ws[i]]
+        return list(map(b"".join, known))
+
+    def _learn(self, new: set[bytes]) -> None:
+        """A word is its stem and the ASCII marks after it if the stem ends in a letter or digit: marks
+        and letters are never in one token.  Only stems and runs of marks are then tokenised."""
+        parts, stems = {}, set()
+        for word in new:
+            stem = word.lower().rstrip(_MARKS)
+            part = (stem, word[len(stem) :]) if stem and stem[-1] in _STEM_END else (word, b"")
+            parts[word] = part
+            stems.update(part)
+        stems.discard(b"")
+        stems.difference_update(self.stems)
+        if len(self.stems) + len(stems) > self.limit:
+            self.stems.clear()
+            stems = {p for part in parts.values() for p in part if p}
+        plain, odd = [], []
+        for stem in stems:
+            (plain if stem.isalpha() or (text := stem.decode()).isalpha() and text.islower() else odd).append(stem)
+        if plain and not self._at_once(plain):
+            odd += plain
+        if odd:
+            for stem, one in zip(odd, self.tokenizer.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False), strict=True):
+                self.stems[stem] = np.array(one.ids, "<u4").tobytes()
+        self.stems[b""] = b""
+        for word, (stem, marks) in parts.items():
+            self.words[word] = self.stems[stem] + self.stems[marks]
+
+    def _at_once(self, plain: list[bytes]) -> bool:
+        """Words of letters only, as one text: each gives tokens up to the next marked one.  False if
+        the words cannot be told apart in the result."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(plain) or ends[-1] != len(ids):
+            return False
+        data, at = ids.tobytes(), 0
+        for stem, end in zip(plain, (4 * ends).tolist(), strict=True):
+            self.stems[stem] = data[at:end]
+            at = end
+        return True
+
+
+def _tokenizer(vocabulary: str) -> _WordTokenizer:
+    if vocabulary not in _TOKENIZERS:
+        _TOKENIZERS[vocabulary] = _WordTokenizer(vocabulary)
+    return _TOKENIZERS[vocabulary]
 
 
 def _pieces(vocabulary: str, capacity: int, end_id: int, with_ids: bool):
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(vocabulary)
+        encode = _tokenizer(vocabulary).encode
         for rows in rows_of(batches, 128):
             out: list[list] = [[] for _ in range(6)]
-            for (doc_id, _), ids in zip(rows, encode([text or "" for _, text in rows]), strict=True):
+            for (doc_id, _), ids in zip(rows, encode([text for _, text in rows]), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -133,7 +188,7 @@ def pack(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), a row for each piece."""
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     pieces = materialize(docs.mapInArrow(_pieces(vocabulary, capacity, end_id, with_ids), kinds), "pieces")
     pieces = pieces.withColumn("row", F.monotonically_increasing_id())
     part = pieces.where(F.col("length") < capacity)
