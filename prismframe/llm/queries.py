@@ -13,11 +13,12 @@ from prismframe.llm.mixing import op3_mix_sources
 from prismframe.llm.packing import op10_best_fit_packing
 from prismframe.llm.pii import op5_contextual_pii
 from prismframe.llm.quality import op4_quality_llr
+from prismframe.llm.substring_dedup import op2_repeated_passages
 from prismframe.llm.urls import op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op4_quality_llr, op5_contextual_pii, op6_ngram_jaccard_join, op7_chat_format, op8_url_filter, op9_html_main_text, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_repeated_passages, op3_mix_sources, op4_quality_llr, op5_contextual_pii, op6_ngram_jaccard_join, op7_chat_format, op8_url_filter, op9_html_main_text, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
