@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prismframe.llm.bm25 import op1_bm25_search
 from prismframe.llm.chat import OP7_SQL, op7_chat_format
 from prismframe.llm.html_text import op9_html_main_text
 from prismframe.llm.jaccard_join import op6_ngram_jaccard_join
@@ -18,7 +19,7 @@ from prismframe.llm.urls import op8_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_repeated_passages, op3_mix_sources, op4_quality_llr, op5_contextual_pii, op6_ngram_jaccard_join, op7_chat_format, op8_url_filter, op9_html_main_text, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_bm25_search, op2_repeated_passages, op3_mix_sources, op4_quality_llr, op5_contextual_pii, op6_ngram_jaccard_join, op7_chat_format, op8_url_filter, op9_html_main_text, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
