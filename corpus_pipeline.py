@@ -1,15 +1,91 @@
-"""The corpus pipeline: quality rules, near-duplicate join, PII, source mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicate join, PII, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+``documents``.  ``run`` writes each stage's rows as Parquet and reads them again for the next.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from prismframe.llm import mixing, packing, pii, quality
+from prismframe.llm.common import broadcast_if_small, materialize, table, words
+from prismframe.llm.jaccard_join import jaccard_components
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood-ratio threshold; the others go."""
+    columns = docs.columns
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    # the row number keeps the filter above the judging, whose long expressions it would otherwise repeat
+    judged = quality.judge(docs, model).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("kept and _row >= 0").select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 4-word shingles at 0.85: the one with the smallest id.
+
+    Rows without an id stay; of rows that share an id the one with the smallest text stays."""
+    found = materialize(jaccard_components(docs, 4, 0.85).select("doc_id", "component_id"), "groups")
+    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "repeated")
+    dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    kept = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    many = kept.join(broadcast_if_small(repeated), "doc_id", "left_semi").withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    return kept.join(broadcast_if_small(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(many.select(*docs.columns))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the personal data in its text replaced by the kinds' names in brackets."""
+    found = pii.find_pii(docs).select("doc_id", "h", F.array_union("spans", "more").alias("spans")).where("size(spans) > 0").dropDuplicates(["doc_id", "h"])
+    found = broadcast_if_small(materialize(found, "spans").withColumnsRenamed({"doc_id": "_id", "h": "_h"}))
+    texts = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left")
+    text = F.when(F.col("spans").isNotNull(), pii.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    out = joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each whole round of a document and for each run of words cut from it (words then
+    parted by one space).  Documents of which nothing is taken go."""
+    columns = docs.columns
+    mixed = mixing.mix(docs.withColumn("size", mixing.word_count(F.col("text"))))
+    mixed = mixed.withColumn("_whole", (F.col("cut_from") == 0) & (F.col("cut_to") == F.col("size")) & (F.col("size") > 0))
+    cut = lambda start, end: F.array_join(F.slice(words(F.col("text")), start + F.lit(1), end - start), " ")
+    none = F.expr("cast(array() as array<string>)")
+    run = F.when(~F.col("_whole") & (F.col("cut_to") > F.col("cut_from")), F.array(cut(F.col("cut_from").cast("int"), F.col("cut_to").cast("int")))).otherwise(none)
+    wrap = F.when(F.col("wrap_to") > 0, F.array(cut(F.lit(0), F.col("wrap_to").cast("int")))).otherwise(none)
+    rounds = F.when(F.col("size") > 0, F.col("rounds") + F.col("_whole").cast("long")).otherwise(0).cast("int")
+    texts = F.concat(F.array_repeat("text", rounds), run, wrap)
+    out = mixed.withColumn("_text", F.explode(texts)).withColumn("text", F.col("_text")).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of at most 2048 tokens, a row for each piece."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", source_mix),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: Hashes and a fitted model decide several stages: tested against brute force instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, "stage")
     return docs

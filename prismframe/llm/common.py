@@ -36,6 +36,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    # shuffle files of finished jobs go once the driver has collected what refers to them
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,21 +46,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_RE), F.lit(0))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for up to ``limit`` words (then forgotten and refilled)."""
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-    def of(self, found: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+def hashed_texts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of several texts in one array, and where each text begins (one more at the
+    end).  ``bytes.split`` parts at exactly the contracts' white space."""
+    found = [t.split() if t else [] for t in texts]
+    starts = np.zeros(len(found) + 1, np.int64)
+    np.cumsum([len(ws) for ws in found], out=starts[1:])
+    return word_hashes([w for ws in found for w in ws]), starts
 
 
 _ODD = np.array(
@@ -85,14 +84,6 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
 def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list[tuple]]:
     """Python rows of Arrow batches, a few at a time so that long texts do not pile up."""
     for batch in batches:
@@ -108,3 +99,10 @@ def checked(df: DataFrame, *columns: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def broadcast_if_small(df: DataFrame, most_bytes: int = 32_000_000) -> DataFrame:
+    """``df`` (a materialised table) with a broadcast hint if its files hold at most ``most_bytes``;
+    beyond that it is left to a shuffled join."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most_bytes else df
