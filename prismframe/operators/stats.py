@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = Window.partitionBy("image_id", "channel").orderBy("bin")
+def _by_bin() -> Window:
+    return Window.partitionBy("image_id", "channel").orderBy("bin")
 
 
 def rgb_histogram(pixels: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def rgb_histogram(pixels: DataFrame) -> DataFrame:
 
 
 def smooth_bins(hist: DataFrame) -> DataFrame:
-    left, right = F.coalesce(F.lag("n").over(BINS), "n"), F.coalesce(F.lead("n").over(BINS), "n")
+    left, right = F.coalesce(F.lag("n").over(_by_bin()), "n"), F.coalesce(F.lead("n").over(_by_bin()), "n")
     return hist.withColumn("left", left).withColumn("right", right).selectExpr("image_id", "channel", "bin", "(left + 2 * n + right + 2) div 4 as n")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CLIP = Window.partitionBy("clip_id").orderBy("frame_idx")
+def _by_frame() -> Window:
+    return Window.partitionBy("clip_id").orderBy("frame_idx")
 
 
 def normalize_delays(frames: DataFrame) -> DataFrame:
@@ -14,7 +15,7 @@ def normalize_delays(frames: DataFrame) -> DataFrame:
 
 
 def frame_clock(frames: DataFrame) -> DataFrame:
-    total = F.sum("delay_us").over(CLIP.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("delay_us").over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))
     return frames.withColumn("end_us", total).selectExpr("clip_id", "frame_idx", "delay_us", "end_us - delay_us as start_us", "end_us")
 
 
@@ -55,7 +56,7 @@ def step_frames(clock: DataFrame) -> DataFrame:
     every = Window.partitionBy("clip_id")
     return clock.select(
         "clip_id", "frame_idx", F.min("frame_idx").over(every).alias("first_idx"), F.max("frame_idx").over(every).alias("last_idx"),
-        F.coalesce(F.lag("frame_idx").over(CLIP), "frame_idx").alias("prev_idx"), F.coalesce(F.lead("frame_idx").over(CLIP), "frame_idx").alias("next_idx"),
+        F.coalesce(F.lag("frame_idx").over(_by_frame()), "frame_idx").alias("prev_idx"), F.coalesce(F.lead("frame_idx").over(_by_frame()), "frame_idx").alias("next_idx"),
     )
 
 
