@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from prismframe import catalog
+from prismframe import catalog_more as catalog
 
 SF = "/root/testdata/sf0.001"
 
