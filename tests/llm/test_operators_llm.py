@@ -137,7 +137,7 @@ def test_pii_base_and_discovery(docs, empty, spark):
     got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
     text = dict((d[0], d[1]) for d in documents())[14]
     assert [(x["k"], text[x["s"] : x["e"]]) for x in got[14]["spans"]] == [(0, "me@x.org"), (1, "10.0.0.255"), (3, "+1 (504) 555-2652")]
-    shown = spark.createDataFrame([(i, f"host address {10 + i}.0.0.1 is up") for i in range(12)] + [(99, "host address 10.0.0.999 is up"), (100, None)], "doc_id long, text string")
+    shown = spark.createDataFrame([(i, f"host address {10 + i}.0.0.1 is up") for i in range(40)] + [(99, "host address 10.0.0.999 is up"), (100, None)], "doc_id long, text string")
     found = {r["doc_id"]: r for r in pii.find_pii(shown).collect()}
     assert [(x["k"], x["s"], x["e"]) for x in found[99]["more"]] == [(1, 13, 23)]
     assert found[100]["spans"] == [] and pii.find_pii(empty).count() == 0
