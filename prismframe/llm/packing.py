@@ -33,10 +33,10 @@ _STEM_END = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 class _WordTokenizer:
     """Texts to little-endian ids, for vocabularies whose tokens never span white space, ignore case
-    and end each word with a marked token.  Words are tokenised once and remembered (at most ``limit``
-    of them, then all are forgotten)."""
+    and end each word with a marked token.  Words and stems are tokenised once and remembered (at most
+    ``limit`` and half as many, then all are forgotten)."""
 
-    def __init__(self, vocabulary: str, limit: int = 1_000_000):
+    def __init__(self, vocabulary: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -72,12 +72,13 @@ class _WordTokenizer:
         parts, stems = {}, set()
         for word in new:
             stem = word.lower().rstrip(_MARKS)
-            part = (stem, word[len(stem) :]) if stem and stem[-1] in _STEM_END else (word, b"")
+            # a word that may hold a special token stays whole and keeps its case
+            part = (stem, word[len(stem) :]) if stem and stem[-1] in _STEM_END and b"<|" not in word else (word, b"")
             parts[word] = part
             stems.update(part)
         stems.discard(b"")
         stems.difference_update(self.stems)
-        if len(self.stems) + len(stems) > self.limit:
+        if len(self.stems) + len(stems) > self.limit // 2:
             self.stems.clear()
             stems = {p for part in parts.values() for p in part if p}
         plain, odd = [], []
