@@ -205,6 +205,46 @@ def test_repeated_passages(docs, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def passage_words(texts, width=46, longest=57):
+    """Words in passages of which one of the pair has 50 words: shingle multisets, every pair of places."""
+    grams = {k: [tuple(low(t)[i : i + 5]) for i in range(len(low(t)) - 4)] for k, t in texts.items()}
+    out = defaultdict(set)
+    for a, b in ((a, b) for a in grams for b in grams if a != b):
+        for i in range(len(grams[a]) - width + 1):
+            mine = Counter(grams[a][i : i + width])
+            for n in range(width, longest + 1):
+                for j in range(len(grams[b]) - n + 1):
+                    both = sum((mine & Counter(grams[b][j : j + n])).values())
+                    if 9 * both >= 4 * (width + n):
+                        out[a].update(range(i, i + width + 4))
+                        out[b].update(range(j, j + n + 4))
+    return out
+
+
+def covered(spark, texts, **options):
+    got = defaultdict(set)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in substring_dedup.repeated_passages(rows, **options).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    return got
+
+
+def test_repeated_passages_with_inserted_and_deleted_words(spark):
+    rng = np.random.default_rng(5)
+    some = lambda n: [f"{a}{b}" for a, b in rng.integers(0, 10**6, (n, 2))]
+    base, twice = some(60), some(12)
+    texts = {1: base, 2: base[:30] + some(1) + base[30:], 3: base[:29] + base[30:], 4: some(20) + base[:31] + some(2) + base[31:] + some(10), 5: some(60)}
+    texts |= {6: twice * 5, 7: twice * 2 + some(1) + twice * 3}
+    texts = {k: " ".join(t) for k, t in texts.items()}
+    got, want = covered(spark, texts, hashes=16), passage_words(texts)
+    assert set(want) == {1, 2, 3, 4, 6, 7} and got == want
+    # a copy with an insertion every 40 words is covered whole
+    long = some(200)
+    texts = {1: " ".join(long), 2: " ".join(w for k in range(0, 200, 40) for w in long[k : k + 40] + some(1))}
+    got = covered(spark, texts, hashes=16)
+    assert got[1] == set(range(200)) and set(range(204)) <= got[2]
+
+
 def test_bm25(docs, empty):
     counts = {k: Counter(low(t)) for k, t, *_ in documents()}
     length = {k: sum(c.values()) for k, c in counts.items()}
