@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,59 @@ def test_repeated_passages_with_inserted_and_deleted_words(spark):
     assert got[1] == set(range(200)) and set(range(204)) <= got[2]
 
 
+def test_members_that_match_in_part_are_compared_with_each_other(spark):
+    rng = np.random.default_rng(6)
+    some = lambda n: [f"{a}{b}" for a, b in rng.integers(0, 10**6, (n, 2))]
+    left, right = some(60), some(60)
+    middle = some(30)
+    # 2 shares its left and middle with 1, its middle and right with 3
+    texts = {1: left + middle + some(60), 2: left + middle + right, 3: some(60) + middle + right}
+    texts |= {10 + k: some(3 * k) + left[:25] + left[:25] + left[20:] for k in range(3)}
+    texts = {k: " ".join(t) for k, t in texts.items()}
+    got = covered(spark, texts, hashes=16)
+    exact = defaultdict(set)
+    for k, text in texts.items():
+        w = low(text)
+        for i in range(len(w) - 49):
+            if any(o != k and " ".join(w[i : i + 50]) in other for o, other in texts.items()):
+                exact[k].update(range(i, i + 50))
+    assert all(exact[k] <= got[k] for k in texts)
+
+
+def test_a_group_loses_no_match_to_its_leader():
+    rng = np.random.default_rng(7)
+    side = lambda: rng.integers(0, 2**32, 45, dtype=np.uint64).astype(np.uint32)
+    left, right, pivot = side(), side(), np.uint32([1])
+    near = [np.concatenate(x).tobytes() for x in ((left, pivot, side()), (left, pivot, right), (side(), pivot, right))]
+    columns = [pa.array([64] * 3), pa.array([1, 2, 3]), pa.array([100] * 3, pa.int32()), pa.array([45] * 3, pa.int32()), pa.array(near, pa.binary())]
+    got = defaultdict(list)
+    for batch in substring_dedup._verified(46, 0.8)([pa.RecordBatch.from_arrays(columns, ["value", "doc_id", "c", "after", "near"])]):
+        for r in batch.to_pylist():
+            got[r["doc_id"]].append((r["first"], r["last"]))
+    assert max(b for _, b in got[2]) == 145 and max(b for _, b in got[3]) == 145 and min(a for a, _ in got[1]) == 55
+
+
+def test_no_word_of_an_exact_repeat_is_lost(docs):
+    got = defaultdict(set)
+    for r in substring_dedup.repeated_passages(docs).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    words, seen = {k: low(t) for k, t, *_ in documents()}, defaultdict(set)
+    for k, w in words.items():
+        for i in range(len(w) - 49):
+            seen[tuple(w[i : i + 50])].add(k)
+    assert all(set(range(i, i + 50)) <= got[k] for k, w in words.items() for i in range(len(w) - 49) if len(seen[tuple(w[i : i + 50])]) > 1)
+
+
+def test_pivots_of_repeated_tokens_do_not_depend_on_the_place():
+    passage = np.tile(np.arange(1, 8, dtype=np.uint64), 20)
+    for shift in (1, 37, 63, 64):
+        tokens = np.concatenate([np.arange(1000, 1000 + shift, dtype=np.uint64), passage])
+        ends = np.array([len(tokens)])
+        _, _, c, _, _ = substring_dedup.compact_windows(tokens, np.array([shift]), ends, 46, 1)
+        _, _, c0, _, _ = substring_dedup.compact_windows(passage, np.array([0]), np.array([len(passage)]), 46, 1)
+        assert (c - shift).tolist() == c0.tolist()
+
+
 def test_bm25(docs, empty):
     counts = {k: Counter(low(t)) for k, t, *_ in documents()}
     length = {k: sum(c.values()) for k, c in counts.items()}
