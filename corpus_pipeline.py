@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismframe.llm import mixing, packing, pii, quality
@@ -26,16 +26,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 4-word shingles at 0.85: the one with the smallest id.
 
-    Rows without an id stay; of rows that share an id the one with the smallest text stays."""
-    found = materialize(jaccard_components(docs, 4, 0.85).select("doc_id", "component_id"), "groups")
-    repeated = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "repeated")
-    dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(broadcast_if_small(dropped), "doc_id", "left_anti")
+    Rows without an id stay; rows that share an id go by their own texts, the smallest of a group stays."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").limit(1)
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    first = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    many = kept.join(broadcast_if_small(repeated), "doc_id", "left_semi").withColumn("_k", F.row_number().over(first)).where("_k = 1")
-    return kept.join(broadcast_if_small(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(many.select(*docs.columns))
+        found = jaccard_components(docs, 4, 0.85).select("doc_id", "component_id")
+        dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+        return docs.join(broadcast_if_small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    # each row is a document of its own; rows without words are groups of one, or copies if they share an id
+    rows = materialize(docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), 4, 0.85).where("doc_id is not null")
+    order = F.struct(*(c for c in ("doc_id", "text", *docs.columns) if c in docs.columns), "_row")
+    placed = rows.join(found.withColumnsRenamed({"doc_id": "_row"}).select("_row", "component_id", "n_shingles"), "_row")
+    group = F.when(F.col("n_shingles") > 0, F.struct(F.lit(0).alias("none"), F.col("component_id").alias("id"))).otherwise(F.struct(F.lit(1).alias("none"), F.col("doc_id").cast("long").alias("id")))
+    first = materialize(placed.groupBy(group.alias("g")).agg(F.min_by("_row", order).alias("_row")).select("_row"), "first")
+    kept = rows.join(broadcast_if_small(first), "_row", "left_semi").select(*docs.columns)
+    return kept.unionByName(rows.where("_row is null").select(*docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
