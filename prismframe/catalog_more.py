@@ -70,11 +70,15 @@ def _stream(s, d):
 
     from prismframe.sources.shared import shared_dir
 
-    folder, name = f"{shared_dir(s)}/pixels-{uuid.uuid4().hex}", f"hist_{uuid.uuid4().hex}"
-    _px(s, d).repartition(4).write.parquet(f"{folder}/in")
+    folder = f"{shared_dir(s)}/pixels-{uuid.uuid4().hex}"
+    _px(s, d).write.parquet(f"{folder}/in")
     stream = s.readStream.schema(s.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    live.running_histogram(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
-    return s.table(name)
+    counts = live.running_histogram(stream)
+    # each batch's changed counts are a folder of their own, so a batch that is run again replaces it
+    write = lambda rows, batch: rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/{batch}")
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+    rows = s.read.schema(counts.withColumn("batch", F.lit(0).cast("long")).schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return rows.groupBy("image_id", "channel", "bin").agg(F.max_by("n", "batch").alias("n"))
 
 
 _add("x01_running_histogram", _stream, f"with {X.PIXELS_SQL}, t as (select image_id, unnest(['r', 'g', 'b']) as channel, unnest([r, g, b]) as bin from pixels) select image_id, channel, bin, count(*) as n from t group by 1, 2, 3")

@@ -41,3 +41,12 @@ def test_invert_twice_and_full_turn_are_identity(spark):
     assert same(px, geometry.resize(px, images, 1.0, "bilinear")) == 0
     flat = px.withColumns({c: F.lit(90) for c in "rgb"})
     assert same(flat, geometry.gaussian_blur(flat, images, 2.0)) == 0
+
+
+def test_running_histogram_is_not_held_by_the_driver(spark):
+    from prismframe import catalog_more
+
+    before = {t.name for t in spark.catalog.listTables()}
+    got = catalog_more.queries()["x01_running_histogram"](spark, "/root/testdata/sf0.001")
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert got.inputFiles() and got.count() == got.select("image_id", "channel", "bin").distinct().count()
