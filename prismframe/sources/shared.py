@@ -8,5 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/prismframe-checkpoints").rstrip("/")
+    """``spark.checkpoint.dir``.  Where it is unset, a temporary folder in local mode, as in tests; a cluster's
+    machines do not share one, so it must be set there."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"{tempfile.gettempdir()}/prismframe-checkpoints"
+    return named.rstrip("/")
