@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,32 +12,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismframe.sources.shared import shared_dir
+
 #: ASCII white space, as in the contracts' word class ``[^\x20\x09-\x0D]+``.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"{tempfile.gettempdir()}/prismframe-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives
-    lost executors.  The files go when the driver's JVM ends."""
+    lost executors.  The files go with ``free`` or when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     # shuffle files of finished jobs go once the driver has collected what refers to them
     jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.materialized_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing unfinished reads any more."""
+    for one in tables:
+        spark = one.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(one.materialized_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:
@@ -92,11 +94,6 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[list
             yield list(zip(*(column.to_pylist() for column in part.columns), strict=True))
 
 
-def checked(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, whatever else the table carries."""
-    return df.select(*columns)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,10 +15,12 @@ single keys plus the candidates that the inverted lists are expected to give (th
 measured over all sets).  The global order puts the shingles that many documents share last; it is a
 fixed-size bit map plus the hash, so any content of the map gives the same result.
 
-Within a list no pairs are enumerated at first: each set is verified against the first of the list and
-the one before it.  Only lists that still hold two or more components after that are joined with
-themselves, across components, behind a bit-map filter that bounds the intersection exactly.  Every
-link between different texts is thus verified or lies within one component already.
+Pairs are never enumerated within a list.  First each set is verified against the first of the list and
+the one before it.  Lists that still hold several components are then read whole, in parts of at most
+``LIST_ROWS``: a bit-map filter, which bounds the intersection exactly, tells which *components* may link, and
+their sets meet in blocks until one link is found.  Every link between different sets is thus verified or lies
+within one component already; the number of each set's links is counted by comparing the blocks of its
+component, which lists no pairs either.
 
 Nulls, empty texts and texts without words have the empty set, link with nothing and are their own
 component.  A null ``doc_id`` is kept as a row with a null component (it has no id to be reached by).
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismframe.llm.common import hashed_texts, materialize, mix, rows_of, shingles, table
+from prismframe.llm.common import broadcast_if_small, free, hashed_texts, materialize, mix, rows_of, shingles, table
 from prismframe.llm.components import connected_components
 
 HOT_BITS = 1 << 20
@@ -46,6 +48,9 @@ HOT_CHUNK = 500_000
 SKETCH_LONGS = 16
 SUBSET = 2
 LIGHT_MOST = 64
+#: Rows of a list, and sets of a component, that meet in one task; more are parted and meet part by part.
+LIST_ROWS = 4096
+CELL_SETS = 256
 
 
 def _sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -150,6 +155,11 @@ def _id_filter(members: DataFrame) -> np.ndarray:
     return out
 
 
+def _part(one: np.ndarray) -> np.ndarray:
+    """The elements in a fixed eighth of all hashes: two sets differ in no fewer elements than their parts do."""
+    return one[mix(one, 23) % np.uint64(8) == 0]
+
+
 def _whole_sets(width: int, passes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,51 +168,155 @@ def _whole_sets(width: int, passes: np.ndarray):
             for rows in rows_of([batch]):
                 sets = _sets([r[1] for r in rows], width)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_part(s).tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "elements", "part"],
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_part(s).tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "n", "elements", "part"],
                 )
 
     return run
 
 
-def _part(one: np.ndarray) -> np.ndarray:
-    """The elements in a fixed eighth of all hashes: two sets differ in no fewer elements than their parts do."""
-    return one[mix(one, 23) % np.uint64(8) == 0]
-
-
-def _may_link(threshold: Fraction):
-    """Pairs (a, b, n, n2, x, y) whose parts x and y do not rule the link out."""
+def _sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, elements, part) of the members (a materialised table of distinct ids), from the texts."""
+    hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 27)).alias("p"))
+    sets = hashed.mapInArrow(_whole_sets(width, _id_filter(members)), "doc_id long, n int, elements binary, part binary")
+    return materialize(sets.join(broadcast_if_small(members), "doc_id", "left_semi").where("n >= 2").distinct(), "sets")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches -> a table for each run of equal keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[k].to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = bool(held) and any(c[0] != held[-1][k][-1].as_py() for k, c in zip(keys, columns, strict=True))
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if at and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each left with each right set."""
+    if len(left) == len(right) == 1:
+        return np.array([[len(np.intersect1d(left[0], right[0], assume_unique=True))]])
+    names, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    often = np.bincount(at) > 1
+    place = np.cumsum(often) - 1
+    row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in left + right])
+    on = often[at]
+    row, at = row[on], place[at[on]]
+    out = np.zeros((len(left), len(right)))
+    for a in range(0, int(often.sum()), 8192):
+        some = (at >= a) & (at < a + 8192)
+        marks = np.zeros((len(left) + len(right), 8192), np.float32)
+        marks[row[some], at[some] - a] = 1
+        out += marks[: len(left)] @ marks[len(left) :].T
+    return np.rint(out).astype(np.int64)
+
+
+CELL = ["a", "b", "i", "j"]
+
+
+def _cells(threshold: Fraction, what: str):
+    """Sorted rows (a, b, i, j, side, rep, n, s) of cells -> what holds for the sets of side 0 against those of side 1.
+
+    ``may``: cells of one pair whose parts do not rule the link out; ``link``: cells with a link;
+    ``count``: each set's number of links in the cell (a cell without a side 1 is compared with itself)."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a_ids, b_ids, sizes = batch["a"], batch["b"], batch["n"].to_numpy()
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
-                a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
-                keep[k] = apart * (num + den) <= (den - num) * sizes[k]
-            yield pa.RecordBatch.from_arrays([a_ids.filter(pa.array(keep)), b_ids.filter(pa.array(keep))], ["a", "b"])
+        out: list[tuple] = []
+        for group in _groups(batches, CELL):
+            side, rep, n = (group[k].to_numpy() for k in ("side", "rep", "n"))
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["s"]]
+            alone = what == "count" and group["i"][0] == group["j"][0]
+            x, y = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
+            if len(x) and len(y):
+                both = _shared([sets[k] for k in x], [sets[k] for k in y])
+                total = n[x][:, None].astype(np.int64) + n[y]
+                if what == "may":
+                    sizes = np.array([len(s) for s in sets])
+                    on = (sizes[x][:, None] + sizes[y] - 2 * both) * (num + den) <= (den - num) * total
+                else:
+                    on = (den * both >= num * (total - both)) & (both > 0) & (rep[x][:, None] != rep[y])
+                if what == "count":
+                    found = on.sum(axis=1)
+                    out += [(int(rep[k]), int(v)) for k, v in zip(x, found, strict=True) if v]
+                    if not alone:
+                        out += [(int(rep[k]), int(v)) for k, v in zip(y, on.sum(axis=0), strict=True) if v]
+                elif on.any():
+                    out.append((group["a"][0].as_py(), group["b"][0].as_py()))
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     return run
 
 
-def _verify(threshold: Fraction):
-    """Pairs (a, b, x, y) whose whole sets x and y reach the threshold."""
+def _in_cells(rows: DataFrame, sets: DataFrame, column: str, threshold: Fraction, what: str) -> DataFrame:
+    """rows(a, b, i, j, side, rep): the cells' sets meet in one task, at most ``CELL_SETS`` of either side."""
+    filled = rows.join(sets.select(F.col("doc_id").alias("rep"), "n", F.col(column).alias("s")), "rep")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = filled.select(*CELL, "side", "rep", "n", "s").repartition(n, *CELL).sortWithinPartitions(*CELL, "side")
+    return dealt.mapInArrow(_cells(threshold, what), "a long, b long")
+
+
+def _pair_cells(pairs: DataFrame) -> DataFrame:
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("rep")), F.struct(F.lit(1).alias("side"), F.col("b").alias("rep"))))
+    return pairs.select("a", "b", F.lit(0).alias("i"), F.lit(0).alias("j"), sides.alias("e")).select(*CELL, "e.*")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose sets reach the threshold."""
+    may = materialize(_in_cells(_pair_cells(pairs), sets, "part", threshold, "may").distinct(), "may_link")
+    links = materialize(_in_cells(_pair_cells(may), sets, "elements", threshold, "link").distinct(), "linked")
+    free(may)
+    return links
+
+
+def _crossing(threshold: Fraction):
+    """Sorted rows (key, s1, s2, salt, n, c, sketch) of a list -> the pairs of components (a < b) of which some
+    sets may link: near in size and no further apart than the sketches allow."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
-                a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep[k] = both > 0 and den * both >= num * (len(a) + len(b) - both)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep)), batch["b"].filter(pa.array(keep))], ["a", "b"])
+        for group in _groups(batches, ["key", "s1", "s2"]):
+            n, c = group["n"].to_numpy().astype(np.int64), group["c"].to_numpy()
+            sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_LONGS)
+            names, at, counts = np.unique(c, return_inverse=True, return_counts=True)
+            minor, found = np.flatnonzero(at != counts.argmax()), set()
+            for some in (minor[k : k + 256] for k in range(0, len(minor), 256)):
+                apart = np.zeros((len(some), len(n)), np.int64)
+                for k in range(SKETCH_LONGS):
+                    apart += np.bitwise_count(sketch[some, k][:, None] ^ sketch[:, k])
+                x, y = n[some][:, None], n
+                on = (apart * (num + den) <= (den - num) * (x + y)) & (np.minimum(x, y) * den >= num * np.maximum(x, y)) & (at[some][:, None] != at)
+                p, q = np.nonzero(on)
+                found.update(np.unique(np.minimum(at[some][p], at[q]) * len(names) + np.maximum(at[some][p], at[q])).tolist())
+            if found:
+                codes = np.array(sorted(found))
+                yield pa.RecordBatch.from_arrays([pa.array(names[codes // len(names)]), pa.array(names[codes % len(names)])], ["a", "b"])
 
     return run
 
 
+def _blocks(comps: DataFrame, of: DataFrame) -> DataFrame:
+    """comps(id, c) -> (c, id, block, blocks) of the components in ``of`` (c), at most some ``CELL_SETS`` ids in a block."""
+    sizes = comps.groupBy("c").agg(F.count("*").alias("k")).join(of, "c", "left_semi").select("c", F.ceil(F.col("k") / CELL_SETS).cast("int").alias("blocks"))
+    return comps.join(sizes, "c").select("c", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
+
+
 def _boundary(single: DataFrame, threshold: Fraction) -> int:
     """The largest set size for which enumerating subsets costs no more rows than scanning lists.
 
@@ -220,21 +334,22 @@ def _boundary(single: DataFrame, threshold: Fraction) -> int:
     return light
 
 
-def jaccard_components(documents: DataFrame, width: int = 4, threshold: float = 0.85) -> DataFrame:
+def jaccard_components(documents: DataFrame, width: int = 4, threshold: float = 0.85, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links): see the module's text.
 
-    ``class_id`` is the smallest id with the same set; ``n_links`` counts the verified links of the
-    class (those that were needed to join components, not all that exist).
+    ``class_id`` is the smallest id with the same set; ``n_links`` is the number of other classes (different
+    sets) that link with the document's, null if ``count_links`` is off.
     """
     t = Fraction(str(threshold))
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     hot = _hot_map(docs, width)
-    marks = materialize(docs.mapInArrow(_fingerprints(width, t, hot), "doc_id long, n int, digest binary, prefix array<long>, sketch array<long>"), "marks")
-    reps = materialize(
-        marks.where("n >= 2 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")).select("rep", "n", "prefix", "sketch"),
-        "reps",
-    )
+    marks = docs.mapInArrow(_fingerprints(width, t, hot), "doc_id long, n int, digest binary, prefix array<long>, sketch array<long>")
+    marks = materialize(marks.withColumn("row", F.monotonically_increasing_id()), "marks")
+    known = marks.where("n > 0 and doc_id is not null")
+    copies = known.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    copies = materialize(copies.select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row")), "copies")
+    others = known.select("digest", "row").join(broadcast_if_small(copies), "digest").where("row <> class_row").select("row")
+    reps = marks.where("n >= 2 and doc_id is not null").join(broadcast_if_small(others), "row", "left_anti").select(F.col("doc_id").alias("rep"), "n", "prefix", "sketch")
     num, den = t.numerator, t.denominator
     needed = f"(n * {num}L + {den - 1}L) div {den}L"
     single = reps.select("rep", "n", F.explode(F.expr(f"slice(prefix, 1, cast(n - {needed} + 1 as int))")).alias("key"))
@@ -265,69 +380,99 @@ def jaccard_components(documents: DataFrame, width: int = 4, threshold: float =
         .distinct(),
         "tried",
     )
-    sketch = reps.select("rep", "n", "sketch")
     # symmetric difference <= (1 - t) / (1 + t) * (n + n2)
     apart = " + ".join(f"bit_count(sketch[{k}] ^ s2[{k}])" for k in range(SKETCH_LONGS))
     close = f"({apart}) * {num + den}L <= {den - num}L * (n + n2)"
-    one, other = (sketch.toDF(*names) for names in (("a", "n", "sketch"), ("b", "n2", "s2")))
-    likely = tried.join(one, "a").join(other, "b").where(close).select("a", "b")
-    links = materialize(_linked(docs, likely, width, t), "round1")
-    comps = materialize(connected_components(links), "comps1")
-    placed = (
-        lists.join(comps, lists.rep == comps.id, "left")
-        .select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        .withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key)})
-        .where("lo < hi")
-        .select("key", "rep", "n", "c")
-    )
-    placed = materialize(placed.join(sketch.drop("n"), "rep"), "placed")
-    other = placed.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("sketch").alias("s2"))
-    rest = (
-        placed.join(other, "key")
-        .where(f"rep < rep2 and c <> c2 and {near} and {close}")
-        .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    links = materialize(links.union(_linked(docs, rest, width, t)).distinct(), "round2")
-    return _result(spark, marks, links)
-
-
-def _linked(docs: DataFrame, pairs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose sets reach the threshold; the sets come from the texts."""
-    pairs = materialize(pairs, "likely")
-    members = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "members")
-    hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 27)).alias("p"))
-    sets = hashed.mapInArrow(_whole_sets(width, _id_filter(members)), "doc_id long, elements binary, part binary")
-    sets = materialize(sets.join(members, "doc_id", "left_semi").distinct(), "sets")
-    side = lambda key, column, out: sets.select(F.col("doc_id").alias(key), F.col(column).alias(out), F.expr("length(elements) div 8").alias(f"n_{out}"))
-    parts = pairs.join(side("a", "part", "x"), "a").join(side("b", "part", "y"), "b")
-    parts = parts.select("a", "b", (F.col("n_x") + F.col("n_y")).alias("n"), "x", "y").mapInArrow(_may_link(threshold), "a long, b long").distinct()
-    pairs = materialize(parts, "may_link")
-    whole = pairs.join(side("a", "elements", "x"), "a").join(side("b", "elements", "y"), "b")
-    return whole.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long").distinct()
-
-
-def _result(spark: SparkSession, marks: DataFrame, links: DataFrame) -> DataFrame:
+    one, other = (reps.select("rep", "n", "sketch").toDF(*names) for names in (("a", "n", "sketch"), ("b", "n2", "s2")))
+    likely = materialize(tried.join(one, "a").join(other, "b").where(close).select("a", "b"), "likely")
+    free(tried)
+    members = materialize(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "members")
+    sets = _sets_of(docs, members, width)
+    links = _linked(likely, sets, t)
+    free(likely)
+
+    comps = _components(links)
+    more = _joined(docs, reps, lists, comps, sets, members, width, t)
+    if more is not None:
+        joined, fetched = more
+        links, sets, members = links.union(joined).distinct(), sets.union(fetched), fetched.select("doc_id").union(members)
+        comps = _components(links)
+    free(lists)
+    degree = _degrees(docs, comps, sets, members, width, t) if count_links else None
+    return _result(marks, copies, links, comps, degree)
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return materialize(connected_components(links).withColumnRenamed("component", "c"), "comps")
+
+
+def _joined(docs: DataFrame, reps: DataFrame, lists: DataFrame, comps: DataFrame, sets: DataFrame, members: DataFrame, width: int, t: Fraction) -> tuple[DataFrame, DataFrame] | None:
+    """Links (a, b) between components that some list holds together, and the sets fetched for them; None if there are none to try.
+
+    Lists that still hold several components tell which of these may link; then their sets meet in exact blocks."""
+    placed = lists.join(broadcast_if_small(comps), lists.rep == comps.id, "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("g")).where("lo < hi").select("key", "g")
+    several = materialize(several, "several")
+    placed = placed.join(broadcast_if_small(several), "key").withColumn("salt", F.pmod(F.xxhash64("rep"), "g").cast("int"))
+    placed = placed.join(reps.select("rep", "sketch"), "rep")
+    # a long list is compared in parts: every row meets each of the list's parts
+    placed = placed.withColumn("o", F.explode(F.expr("sequence(0, g - 1)"))).select("key", F.least("salt", "o").alias("s1"), F.greatest("salt", "o").alias("s2"), "n", "c", "sketch")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartition(partitions, "key", "s1", "s2").sortWithinPartitions("key", "s1", "s2")
+    crossing = materialize(dealt.mapInArrow(_crossing(t), "a long, b long").distinct(), "crossing")
+    free(several)
+    if crossing.isEmpty():
+        return None
+    ends = crossing.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    grown = ends.join(broadcast_if_small(comps.select("c").distinct()), "c", "left_anti").select(F.col("c").alias("id"), "c")
+    blocks = materialize(_blocks(comps.select("id", "c").union(grown), ends), "blocks")
+    wanted = materialize(blocks.select(F.col("id").alias("doc_id")).distinct().join(members, "doc_id", "left_anti"), "wanted")
+    more = _sets_of(docs, wanted, width)
+    every = sets.union(more)
+    size_of = blocks.groupBy("c").agg(F.first("blocks").alias("k"))
+    cells = crossing.join(size_of.toDF("a", "ka"), "a").join(size_of.toDF("b", "kb"), "b")
+    cells = cells.select("a", "b", F.explode(F.expr("sequence(0, ka - 1)")).alias("i"), "kb").select("a", "b", "i", F.explode(F.expr("sequence(0, kb - 1)")).alias("j"))
+    side = lambda end, block, k: cells.join(blocks.select(F.col("c").alias(end), F.col("block").alias(block), F.col("id").alias("rep")), [end, block]).select(*CELL, F.lit(k).alias("side"), "rep")
+    rows = materialize(side("a", "i", 0).union(side("b", "j", 1)), "cells")
+    may = materialize(_in_cells(rows, every, "part", t, "may").distinct(), "may_link")
+    joined = materialize(_in_cells(rows.join(broadcast_if_small(may), ["a", "b"], "left_semi"), every, "elements", t, "link").distinct(), "joined")
+    free(crossing, blocks, rows, may)
+    return joined, more
+
+
+def _degrees(docs: DataFrame, comps: DataFrame, sets: DataFrame, held: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """(id, n_links) of the representatives: each component is compared with itself in blocks, so links are
+    counted and not listed."""
+    pairs = comps.groupBy("c").agg(F.count("*").alias("k"))
+    two = comps.join(pairs.where("k = 2"), "c", "left_semi").select("id", F.lit(1).cast("long").alias("n_links"))
+    large = materialize(_blocks(comps.select("id", "c"), pairs.where("k > 2").select("c")), "large")
+    if large.isEmpty():
+        return materialize(two, "degrees")
+    wanted = materialize(large.select(F.col("id").alias("doc_id")).distinct().join(held, "doc_id", "left_anti"), "wanted")
+    more = _sets_of(docs, wanted, width)
+    # block x meets every block y: cell (min, max), side 1 for the larger
+    met = large.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = met.select(F.col("c").alias("a"), F.col("c").alias("b"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), F.col("id").alias("rep"))
+    counted = _in_cells(rows, sets.union(more), "elements", threshold, "count").toDF("id", "n").groupBy("id").agg(F.sum("n").alias("n_links"))
+    return materialize(counted.union(two), "degrees")
+
+
+def _result(marks: DataFrame, copies: DataFrame, links: DataFrame, comps: DataFrame, degree: DataFrame | None) -> DataFrame:
     """Spread the representatives' components to all members of their classes."""
-    classes = marks.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    member = marks.select("doc_id", "n", "digest").join(classes, "digest", "left")
+    member = marks.select("doc_id", "n", "digest").join(broadcast_if_small(copies.select("digest", "class_id")), "digest", "left")
+    member = member.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
     # several texts under one id join their classes too
-    copies = member.where("class_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     repeated = member.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").limit(1).count()
     if repeated:
-        links = links.union(copies).distinct()
-    comps = materialize(connected_components(links), "comps2")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    at = F.coalesce("class_id", "doc_id") if not repeated else F.col("doc_id")
-    out = member.withColumn("id", at).join(comps, "id", "left").join(degree, "id", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("component", "class_id", "doc_id").alias("component_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+        links = links.union(member.where("class_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))).distinct()
+        comps = _components(links)
+    at = "doc_id" if repeated else "class_id"
+    out = member.withColumn("id", F.col(at)).join(broadcast_if_small(comps), "id", "left")
+    n_links = F.lit(None).cast("long")
+    if degree is not None:
+        out = out.join(broadcast_if_small(degree.toDF("class_id", "links")), "class_id", "left")
+        n_links = F.coalesce("links", F.lit(0))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("c", "class_id").alias("component_id"), "class_id", n_links.cast("long").alias("n_links"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
