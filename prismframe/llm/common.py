@@ -98,7 +98,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, most_bytes: int = 32_000_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, most_bytes: int = 8_000_000) -> DataFrame:
     """``df`` (a materialised table) with a broadcast hint if its files hold at most ``most_bytes``;
     beyond that it is left to a shuffled join."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -223,20 +223,20 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-CELL = ["a", "b", "i", "j"]
+CELL = ["hub", "i", "j"]
 
 
 def _cells(threshold: Fraction, what: str):
-    """Sorted rows (a, b, i, j, side, rep, n, s) of cells -> what holds for the sets of side 0 against those of side 1.
+    """Sorted rows (hub, i, j, side, rep, c, n, s) of cells -> what holds for the sets of side 0 against those of side 1.
 
-    ``may``: cells of one pair whose parts do not rule the link out; ``link``: cells with a link;
-    ``count``: each set's number of links in the cell (a cell without a side 1 is compared with itself)."""
+    ``may``: (hub, c) unless the parts rule a link out; ``link``: (hub, c) with a link; ``count``: each
+    set's number of links in the cell (cells with i = j are compared with themselves)."""
     num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for group in _groups(batches, CELL):
-            side, rep, n = (group[k].to_numpy() for k in ("side", "rep", "n"))
+            side, rep, c, n = (group[k].to_numpy() for k in ("side", "rep", "c", "n"))
             sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group["s"]]
             alone = what == "count" and group["i"][0] == group["j"][0]
             x, y = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
@@ -249,64 +249,105 @@ def _cells(threshold: Fraction, what: str):
                 else:
                     on = (den * both >= num * (total - both)) & (both > 0) & (rep[x][:, None] != rep[y])
                 if what == "count":
-                    found = on.sum(axis=1)
-                    out += [(int(rep[k]), int(v)) for k, v in zip(x, found, strict=True) if v]
-                    if not alone:
-                        out += [(int(rep[k]), int(v)) for k, v in zip(y, on.sum(axis=0), strict=True) if v]
-                elif on.any():
-                    out.append((group["a"][0].as_py(), group["b"][0].as_py()))
+                    sides = [(x, on.sum(axis=1))] + [(y, on.sum(axis=0))] * (not alone)
+                    out += [(int(rep[k]), int(v)) for at, found in sides for k, v in zip(at, found, strict=True) if v]
+                else:
+                    hub = group["hub"][0].as_py()
+                    out += [(hub, v) for v in np.unique(c[y[on.any(axis=0)]]).tolist()]
             if len(out) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in zip(*out, strict=True)], ["a", "b"])
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in zip(*out, strict=True)], ["a", "b"])
 
     return run
 
 
 def _in_cells(rows: DataFrame, sets: DataFrame, column: str, threshold: Fraction, what: str) -> DataFrame:
-    """rows(a, b, i, j, side, rep): the cells' sets meet in one task, at most ``CELL_SETS`` of either side."""
+    """rows(hub, i, j, side, rep, c): the cells' sets meet in one task, some ``CELL_SETS`` of either side."""
     filled = rows.join(sets.select(F.col("doc_id").alias("rep"), "n", F.col(column).alias("s")), "rep")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = filled.select(*CELL, "side", "rep", "n", "s").repartition(n, *CELL).sortWithinPartitions(*CELL, "side")
+    dealt = filled.select(*CELL, "side", "rep", "c", "n", "s").repartition(n, *CELL).sortWithinPartitions(*CELL, "side")
     return dealt.mapInArrow(_cells(threshold, what), "a long, b long")
 
 
-def _pair_cells(pairs: DataFrame) -> DataFrame:
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("rep")), F.struct(F.lit(1).alias("side"), F.col("b").alias("rep"))))
-    return pairs.select("a", "b", F.lit(0).alias("i"), F.lit(0).alias("j"), sides.alias("e")).select(*CELL, "e.*")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose sets reach the threshold."""
-    may = materialize(_in_cells(_pair_cells(pairs), sets, "part", threshold, "may").distinct(), "may_link")
-    links = materialize(_in_cells(_pair_cells(may), sets, "elements", threshold, "link").distinct(), "linked")
+def _hub_cells(pairs: DataFrame, blocks: DataFrame | None) -> DataFrame:
+    """Cells in which each hub a meets its partners b, so that a hub's sets are not copied for every partner.
+
+    Hubs and partners are ids or, with blocks(c, id, block, blocks), components: then every partner's
+    set meets every block of the hub."""
+    if blocks is None:
+        guests = pairs.select(F.col("a").alias("hub"), F.lit(0).alias("i"), F.col("b").alias("rep"), F.col("b").alias("c"))
+    else:
+        split = blocks.groupBy("c").agg(F.first("blocks").alias("k"))
+        guests = pairs.join(split.toDF("a", "k"), "a").join(blocks.select(F.col("c").alias("b"), F.col("id").alias("rep")), "b")
+        guests = guests.select(F.col("a").alias("hub"), F.explode(F.expr("sequence(0, k - 1)")).alias("i"), "rep", F.col("b").alias("c"))
+    parts = guests.where("i = 0").groupBy("hub").agg(F.ceil(F.count("*") / CELL_SETS).cast("int").alias("parts"))
+    guests = guests.join(parts, "hub").select("hub", "i", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("j"), F.lit(1).alias("side"), "rep", "c")
+    of = parts.select("hub", F.lit(0).alias("i"), F.col("hub").alias("rep"), "parts") if blocks is None else parts.join(blocks.select(F.col("c").alias("hub"), F.col("block").alias("i"), F.col("id").alias("rep")), "hub").select("hub", "i", "rep", "parts")
+    hosts = of.select("hub", "i", F.explode(F.expr("sequence(0, parts - 1)")).alias("j"), F.lit(0).alias("side"), "rep", F.col("hub").alias("c"))
+    return guests.union(hosts)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction, blocks: DataFrame | None = None) -> DataFrame:
+    """Those of the pairs (a, b) of ids, or of components, of which some sets reach the threshold."""
+    may = materialize(_in_cells(_hub_cells(pairs, blocks), sets, "part", threshold, "may").distinct(), "may_link")
+    links = materialize(_in_cells(_hub_cells(may, blocks), sets, "elements", threshold, "link").distinct(), "linked")
     free(may)
     return links
 
 
 def _crossing(threshold: Fraction):
-    """Sorted rows (key, s1, s2, salt, n, c, sketch) of a list -> the pairs of components (a < b) of which some
+    """Sorted rows (key, s1, s2, n, c, sketch) of lists -> the pairs of components (a < b) of which some
     sets may link: near in size and no further apart than the sketches allow."""
     num, den = threshold.numerator, threshold.denominator
 
+    def near(n, c, sketch, x, y) -> np.ndarray:
+        """Which of the rows x may link with the rows y of another component."""
+        total = n[x] + n[y]
+        on = (c[x] != c[y]) & (np.minimum(n[x], n[y]) * den >= num * np.maximum(n[x], n[y]))
+        shape, on = on.shape, np.flatnonzero(on)
+        x, y = np.broadcast_to(x, shape).ravel()[on], np.broadcast_to(y, shape).ravel()[on]
+        apart = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+        close = apart * (num + den) <= (den - num) * total.ravel()[on]
+        return np.stack([np.minimum(c[x], c[y])[close], np.maximum(c[x], c[y])[close]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["key", "s1", "s2"]):
-            n, c = group["n"].to_numpy().astype(np.int64), group["c"].to_numpy()
-            sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_LONGS)
-            names, at, counts = np.unique(c, return_inverse=True, return_counts=True)
-            minor, found = np.flatnonzero(at != counts.argmax()), set()
-            for some in (minor[k : k + 256] for k in range(0, len(minor), 256)):
-                apart = np.zeros((len(some), len(n)), np.int64)
-                for k in range(SKETCH_LONGS):
-                    apart += np.bitwise_count(sketch[some, k][:, None] ^ sketch[:, k])
-                x, y = n[some][:, None], n
-                on = (apart * (num + den) <= (den - num) * (x + y)) & (np.minimum(x, y) * den >= num * np.maximum(x, y)) & (at[some][:, None] != at)
-                p, q = np.nonzero(on)
-                found.update(np.unique(np.minimum(at[some][p], at[q]) * len(names) + np.maximum(at[some][p], at[q])).tolist())
-            if found:
-                codes = np.array(sorted(found))
-                yield pa.RecordBatch.from_arrays([pa.array(names[codes // len(names)]), pa.array(names[codes % len(names)])], ["a", "b"])
+        held: list[pa.RecordBatch] = []
+
+        def finish(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key, s1, s2, n, c = (rows[k].to_numpy() for k in ("key", "s1", "s2", "n", "c"))
+            edges = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1]))), len(key))
+            if not last:
+                edges = edges[:-1]  # the last list may go on
+            held = [] if last else rows.slice(edges[-1]).to_batches()
+            n, sketch = n.astype(np.int64), rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_LONGS)
+            sizes, found = np.diff(edges), []
+            # short lists, all at once: each row with the one d places on
+            end = np.repeat(np.where(sizes <= 64, edges[1:], edges[:-1]), sizes)
+            at = np.arange(edges[0], edges[-1])
+            for d in range(1, 64):
+                at = at[at + d < end[at - edges[0]]]
+                if not len(at):
+                    break
+                found += [near(n, c, sketch, x, x + d) for x in np.split(at, range(65536, len(at), 65536))]
+            for a, b in zip(edges[:-1][sizes > 64].tolist(), edges[1:][sizes > 64].tolist(), strict=True):
+                names, which, counts = np.unique(c[a:b], return_inverse=True, return_counts=True)
+                minor = a + np.flatnonzero(which != counts.argmax())
+                found += [np.unique(near(n, c, sketch, minor[k : k + 64][:, None], np.arange(a, b)), axis=1) for k in range(0, len(minor), 64)]
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
+            if pairs.size:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(x.num_rows for x in held) >= 20_000:
+                    yield from finish(False)
+        if held:
+            yield from finish(True)
 
     return run
 
@@ -429,14 +470,12 @@ def _joined(docs: DataFrame, reps: DataFrame, lists: DataFrame, comps: DataFrame
     wanted = materialize(blocks.select(F.col("id").alias("doc_id")).distinct().join(members, "doc_id", "left_anti"), "wanted")
     more = _sets_of(docs, wanted, width)
     every = sets.union(more)
-    size_of = blocks.groupBy("c").agg(F.first("blocks").alias("k"))
-    cells = crossing.join(size_of.toDF("a", "ka"), "a").join(size_of.toDF("b", "kb"), "b")
-    cells = cells.select("a", "b", F.explode(F.expr("sequence(0, ka - 1)")).alias("i"), "kb").select("a", "b", "i", F.explode(F.expr("sequence(0, kb - 1)")).alias("j"))
-    side = lambda end, block, k: cells.join(blocks.select(F.col("c").alias(end), F.col("block").alias(block), F.col("id").alias("rep")), [end, block]).select(*CELL, F.lit(k).alias("side"), "rep")
-    rows = materialize(side("a", "i", 0).union(side("b", "j", 1)), "cells")
-    may = materialize(_in_cells(rows, every, "part", t, "may").distinct(), "may_link")
-    joined = materialize(_in_cells(rows.join(broadcast_if_small(may), ["a", "b"], "left_semi"), every, "elements", t, "link").distinct(), "joined")
-    free(crossing, blocks, rows, may)
+    size = blocks.groupBy("c").agg(F.count("*").alias("k"))
+    sized = crossing.join(size.toDF("a", "ka"), "a").join(size.toDF("b", "kb"), "b")
+    # the larger one is the hub
+    hubs = materialize(sized.select(F.when(F.col("ka") >= F.col("kb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("ka") >= F.col("kb"), F.col("b")).otherwise(F.col("a")).alias("b")), "hubs")
+    joined = _linked(hubs, every, t, blocks)
+    free(crossing, blocks, hubs)
     return joined, more
 
 
@@ -452,7 +491,7 @@ def _degrees(docs: DataFrame, comps: DataFrame, sets: DataFrame, held: DataFrame
     more = _sets_of(docs, wanted, width)
     # block x meets every block y: cell (min, max), side 1 for the larger
     met = large.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = met.select(F.col("c").alias("a"), F.col("c").alias("b"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), F.col("id").alias("rep"))
+    rows = met.select(F.col("c").alias("hub"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("block") > F.col("o")).cast("int").alias("side"), F.col("id").alias("rep"), "c")
     counted = _in_cells(rows, sets.union(more), "elements", threshold, "count").toDF("id", "n").groupBy("id").agg(F.sum("n").alias("n_links"))
     return materialize(counted.union(two), "degrees")
 
