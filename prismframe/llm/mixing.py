@@ -76,9 +76,11 @@ def mix(
     """Rows of ``sized`` (doc_id, source, size, ...) with source_size, target, rounds, cut_from,
     cut_to and taken.  A document is taken ``rounds`` times whole, and once more its words from
     ``cut_from`` up to ``cut_to`` or, where the run goes around the stream's end within it, also those
-    up to ``wrap_to``."""
+    up to ``wrap_to``.  Further columns are carried; those named like a result are replaced."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    docs = sized.withColumn("_key", key)
+    outputs = ["source_size", "target", "rounds", "cut_from", "cut_to", "wrap_to", "taken"]
+    carried = [c for c in sized.columns if c not in outputs]
+    docs = sized.select(F.struct(*carried).alias("_all"), "doc_id", "source", "size", key.alias("_key"))
     sources = materialize(docs.groupBy("_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), "sources")
     n, least = sources.agg(F.count("*"), F.min(F.when(F.col("source_size") > 0, F.col("source_size")))).first()
     block = max(1, min(1024, (least or 1) // 2000))
@@ -108,7 +110,7 @@ def mix(
     within = lambda c: F.least(F.greatest(F.col(c) - F.col("_a"), F.lit(0)), F.col("size"))
     out = out.withColumns({"cut_from": within("_from"), "cut_to": within("_to"), "wrap_to": within("_wrap")})
     taken = F.col("rounds") * F.col("size") + F.col("cut_to") - F.col("cut_from") + F.col("wrap_to")
-    return out.withColumn("taken", taken.cast("long")).drop(*(c for c in out.columns if c.startswith("_")), "quota")
+    return out.withColumn("taken", taken.cast("long")).select("_all.*", *outputs)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,10 +65,9 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 
 def ngrams(text: Column) -> Column:
-    """Array of (unigram bucket, bigram bucket); the last bigram ends the text."""
+    """The hashes of a text's tokens, of which ``_PAIR`` and ``score`` make unigrams and bigrams."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(0))
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    return hashes
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 _PAIR = f"zip_with(_t, slice(_t, 2, greatest(size(_t), 1)), (a, b) -> {{}})"
@@ -145,10 +144,16 @@ def _plateau(good: dict[int, int], bad: dict[int, int], care: float) -> float:
     return (low + high) / 2 * 4 / BINS
 
 
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+
+
 def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs(text, ...) with the base columns, score and kept."""
-    scored = model.score(base_columns(docs))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(model.threshold)))
+    """docs(text, ...) with the base columns, score and kept.  Further columns are carried, whatever their
+    names; those named like a result are replaced."""
+    carried = [c for c in docs.columns if c not in RESULTS]
+    scored = model.score(base_columns(docs.select(F.struct(*carried).alias("carried_row"), F.col("text").cast("string").alias("text"))))
+    judged = scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(model.threshold)))
+    return judged.select("carried_row.*", *RESULTS)
 
 
 def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:

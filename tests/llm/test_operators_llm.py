@@ -321,24 +321,3 @@ def test_bm25(docs, empty):
 
 def test_digest_of_no_spans(docs):
     assert hashlib.sha256(b"").hexdigest() == docs.select(F.sha2(pii._written(F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")), 256)).first()[0]
-
-
-def test_pipeline_near_duplicates_by_brute_force(spark):
-    import corpus_pipeline
-
-    rng = np.random.default_rng(8)
-    some = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
-    base, other = some(100), some(100)
-    near = base[:50] + ["x"] + base[51:]
-    for repeat in (False, True):
-        rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(other)), (None, " ".join(base)), (4, ""), (5, None)]
-        rows += [(3, " ".join(some(80))), (6, " ".join(near)), (6, " ".join(some(90))), (4, ""), (3, " ".join(other[:99]))] * repeat
-        sets = [(k, t, {tuple(w[i : i + 4]) for w in [low(t)] for i in range(len(w) - 3)}) for k, t in rows]
-        want, left = [], sorted((s for s in sets if s[0] is not None), key=lambda s: (s[0], s[1] or ""))
-        for k, t, s in left:  # the links of these rows are transitive
-            linked = lambda o: (100 * len(s & o[2]) >= 85 * len(s | o[2])) if s and o[2] else not s and not o[2] and k == o[0]  # noqa: B023, E731
-            if not any(linked(o) for o in want):
-                want.append((k, t, s))
-        want += [s for s in sets if s[0] is None]
-        got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
-        assert Counter((r[0], r[1]) for r in got) == Counter((k, t) for k, t, _ in want)
