@@ -270,9 +270,9 @@ def test_a_group_loses_no_match_to_its_leader():
     side = lambda: rng.integers(0, 2**32, 45, dtype=np.uint64).astype(np.uint32)
     left, right, pivot = side(), side(), np.uint32([1])
     near = [np.concatenate(x).tobytes() for x in ((left, pivot, side()), (left, pivot, right), (side(), pivot, right))]
-    columns = [pa.array([64] * 3), pa.array([1, 2, 3]), pa.array([100] * 3, pa.int32()), pa.array([45] * 3, pa.int32()), pa.array(near, pa.binary())]
+    columns = [pa.array([64] * 3), pa.array([0] * 3), pa.array([7, 8, 9]), pa.array([1, 2, 3]), pa.array([100] * 3, pa.int32()), pa.array([45] * 3, pa.int32()), pa.array(near, pa.binary())]
     got = defaultdict(list)
-    for batch in substring_dedup._verified(46, 0.8)([pa.RecordBatch.from_arrays(columns, ["value", "doc_id", "c", "after", "near"])]):
+    for batch in substring_dedup._verified(46, 0.8)([pa.RecordBatch.from_arrays(columns, ["value", "part", "like", "doc_id", "c", "after", "near"])]):
         for r in batch.to_pylist():
             got[r["doc_id"]].append((r["first"], r["last"]))
     assert max(b for _, b in got[2]) == 145 and max(b for _, b in got[3]) == 145 and min(a for a, _ in got[1]) == 55
