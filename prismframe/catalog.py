@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismframe.functions import color as C
+from prismframe.functions import exif
 from prismframe.functions import labels as L
 from prismframe.operators import geometry as G
 from prismframe.operators import stats as S
@@ -191,9 +192,9 @@ _add("t02_resolve_trim", _span, _FR + f", {_SPAN} select * from sp")
 _add("t03_trim_frames", lambda s, d: T.trim_frames(_fc(s, d), _span(s, d)), _FR + f", {_SPAN}, j as (select fc.*, end_us > a and start_us < b as hit from fc join (select clip_id, start_us as a, end_us as b from sp) using (clip_id)), k as (select *, bool_or(hit) over (partition by clip_id) as any_hit from j) select clip_id, frame_idx, start_us, end_us from k where hit or (not any_hit and frame_idx = 0)")
 _add("t06_frame_asof", lambda s, d: T.frame_asof(_fc(s, d), _ticks(s, d).distinct()), _FR + f", {_TICKS}, td as (select distinct * from tk) " + _ASOF.format("td"))
 _add("t07_looped_frame", lambda s, d: T.frame_asof(_fc(s, d), T.looped_ticks(_ticks(s, d).withColumn("t_us", F.col("t_us") * 1000), _tot(s, d)).distinct()), _FR + f", {_TICKS}, td as (select distinct clip_id, ((t_us * 1000) % greatest(duration_us, 1) + greatest(duration_us, 1)) % greatest(duration_us, 1) as t_us from tk join tot using (clip_id)) " + _ASOF.format("td"))
-_add("t04_frame_at", lambda s, d: _ticks(s, d).join(_tot(s, d), "clip_id").selectExpr("clip_id", "t_us", "if(duration_us <= 0, 0L, least(frame_count, cast(floor(least(greatest(t_us / duration_us, 0D), 1D) * frame_count + 0.5) as long))) as frame"), _FR + f", {_TICKS} select clip_id, t_us, case when duration_us <= 0 then 0 else least(frame_count, cast(floor(least(greatest(t_us / duration_us, 0), 1) * frame_count + 0.5) as bigint)) end as frame from tk join tot using (clip_id)")
+_add("t04_frame_at", lambda s, d: _ticks(s, d).join(_tot(s, d), "clip_id").selectExpr("clip_id", "t_us", T.frame_at("t_us", "duration_us", "frame_count") + " as frame"), _FR + f", {_TICKS} select clip_id, t_us, case when duration_us <= 0 then 0 else least(frame_count, cast(floor(least(greatest(t_us / duration_us, 0), 1) * frame_count + 0.5) as bigint)) end as frame from tk join tot using (clip_id)")
 _add("t09_step_frame", lambda s, d: T.step_frames(_fc(s, d)), _FR + "select clip_id, frame_idx, min(frame_idx) over (partition by clip_id) as first_idx, max(frame_idx) over (partition by clip_id) as last_idx, coalesce(lag(frame_idx) over k, frame_idx) as prev_idx, coalesce(lead(frame_idx) over k, frame_idx) as next_idx from fc window k as (partition by clip_id order by frame_idx)")
-_add("t11_frame_interval", lambda s, d: _tot(s, d).selectExpr("clip_id", "clip_id % 150 as fps").selectExpr("clip_id", "if(fps <= 1, 1 / 60D, 1 / least(greatest(cast(fps as double), 24D), 120D)) as seconds"), _FR + "select clip_id, case when clip_id % 150 <= 1 then 1 / 60.0 else 1 / least(greatest((clip_id % 150)::double, 24), 120) end as seconds from tot")
+_add("t11_frame_interval", lambda s, d: _tot(s, d).selectExpr("clip_id", "clip_id % 150 as fps").selectExpr("clip_id", T.frame_interval("fps") + " as seconds"), _FR + "select clip_id, case when clip_id % 150 <= 1 then 1 / 60.0 else 1 / least(greatest((clip_id % 150)::double, 24), 120) end as seconds from tot")
 _PK = "pk as (select user_id as clip_id, event_type as stream, seq, case when seq % 7 = 0 and seq > 0 then prev else ms end as pts, 40 + event_id % 3 as dur from (select *, lag(ms) over (partition by user_id, event_type order by seq) as prev from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as seq, (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) // 1000 as ms from events)))"
 
 
@@ -210,9 +211,10 @@ _add("t14_rescale_ts", lambda s, d: _ticks(s, d).selectExpr("clip_id", "t_us", "
 _add("j06_latest_generation", lambda s, d: T.latest_generation(X.read(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id"), "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
 
 # Media and labels.
-_CLS = f"{X.MEDIA_SQL}, cl as (select *, lower(regexp_extract(path, '[.]([^./]*)$', 1)) as ext from media), kd as (select *, case when ext in {M.VIDEO} then 'video' when ext in {M.ANIMATION} then 'animation' when ext in {M.STILL} then 'still' end as kind from cl)"
-_add("s02_classify", lambda s, d: M.classify(X.media(s, d)), f"with {_CLS} select * from kd")
-_add("s01_media_scan", lambda s, d: M.classify(X.media(s, d)).where("kind is not null").select("path", "kind"), f"with {_CLS} select path, kind from kd where kind is not null")
+_FAMILY = " ".join(f"when ext in {e if len(e) > 1 else str(e).replace(',', '')} then '{k}'" for k, e in M.FAMILIES.items())
+_CLS = f"{X.MEDIA_SQL}, cl as (select *, image_id % 24 = 3 as animated, lower(regexp_extract(path, '[.]([^./]*)$', 1)) as ext from media), kd as (select *, case when ext in {M.VIDEO} then 'video' when ext in {M.ANIMATION} or (ext = 'webp' and animated) then 'animation' else 'still' end as kind, ext in {M.VIDEO + M.ANIMATION + M.STILL} as supported from cl), fm as (select *, case when kind <> 'still' then kind {_FAMILY} else 'generic' end as family from kd)"
+_add("s02_classify", lambda s, d: M.classify(X.media(s, d).withColumn("animated", F.expr("image_id % 24 = 3"))), f"with {_CLS} select * from fm")
+_add("s01_media_scan", lambda s, d: M.classify(X.media(s, d)).where("supported").select("path", "ext"), f"with {_CLS} select path, ext from kd where supported")
 _add("s05_export_name", lambda s, d: X.media(s, d).selectExpr("image_id", f"{M.export_name('path', 'png')} as name"), f"with {X.MEDIA_SQL} select image_id, case when st = '' then 'export' else st end || '.png' as name from (select image_id, regexp_replace(regexp_extract(path, '[^/]*$'), '[.][^.]*$', '') as st from media)")
 _add("j04_gallery_nav", lambda s, d: M.gallery_nav(X.media(s, d)), f"with {X.MEDIA_SQL} select folder, path, row_number() over k as i, count(*) over (partition by folder) as n, coalesce(lead(path) over k, min(path) over (partition by folder)) as next_path, coalesce(lag(path) over k, max(path) over (partition by folder)) as prev_path from media window k as (partition by folder order by path)")
 _add("j08_search", lambda s, d: M.search(X.media(s, d), "path", "BLOG."), f"with {X.MEDIA_SQL} select * from media where contains(lower(path), 'blog.')")
@@ -225,4 +227,4 @@ _add("f06_hex_color", lambda s, d: _px(s, d).selectExpr("image_id", "x", "y", f"
 _add("f07_filename", lambda s, d: X.media(s, d).selectExpr("image_id", f"{L.filename('path')} as name", f"upper({L.extension('path')}) as ext"), f"with {X.MEDIA_SQL} select image_id, regexp_extract(path, '[^/]*$') as name, upper(regexp_extract(path, '[.]([^./]*)$', 1)) as ext from media")
 _add("f12_hash21", lambda s, d: _px(s, d).select("image_id", "x", "y", C.hash21(F.col("x"), F.col("y"), 9).alias("v")), f"with {X.PIXELS_SQL} select image_id, x, y, {_hash_sql('x::bigint', 'y::bigint', 9)} as v from pixels")
 _add("f14_luma", lambda s, d: _px(s, d).selectExpr("image_id", "x", "y", "floor(1000 * (0.2126D * r + 0.7152D * g + 0.0722D * b)) as luma"), f"with {X.PIXELS_SQL} select image_id, x, y, cast(floor(1000 * (0.2126::double * r + 0.7152::double * g + 0.0722::double * b)) as bigint) as luma from pixels")
-_add("f22_bitrate_label", lambda s, d: X.read(s, d, "orders").selectExpr("o_orderkey", f"{L.bitrate('(o_orderkey % 5000 - 5) * 1001')} as bitrate", f"{L.channels('o_orderkey % 9')} as channels"), "select o_orderkey, case when v <= 0 then null when v >= 1000000 then format('{:.1f} Mbps', v / 1000000.0) else format('{:d} kbps', v // 1000) end as bitrate, case o_orderkey % 9 when 1 then 'Mono' when 2 then 'Stereo' when 6 then '5.1' when 8 then '7.1' else (o_orderkey % 9) || ' ch' end as channels from (select *, (o_orderkey % 5000 - 5) * 1001 as v from orders)")
+_add("f22_bitrate_label", lambda s, d: X.read(s, d, "orders").selectExpr("o_orderkey", f"{exif.bitrate('(o_orderkey % 5000 - 5) * 1001')} as bitrate", f"{L.channels('o_orderkey % 9')} as channels"), "select o_orderkey, case when v <= 0 then null when v >= 1000000 then format('{:.1f} Mbps', v / 1000000.0) else format('{:.0f} kbps', v / 1000.0) end as bitrate, case o_orderkey % 9 when 1 then 'Mono' when 2 then 'Stereo' when 6 then '5.1' when 8 then '7.1' else (o_orderkey % 9) || ' ch' end as channels from (select *, (o_orderkey % 5000 - 5) * 1001 as v from orders)")

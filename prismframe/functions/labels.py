@@ -45,9 +45,5 @@ def hex_color(r: str, g: str, b: str, a: str) -> str:
     return f"concat(format_string('#%02X%02X%02X', {r}, {g}, {b}), if({a} < 255, format_string('%02X', {a}), ''))"
 
 
-def bitrate(bps: str) -> str:
-    return f"case when {bps} <= 0 then null when {bps} >= 1000000 then format_string('%.1f Mbps', {bps} / 1000000D) else format_string('%d kbps', {bps} div 1000) end"
-
-
 def channels(n: str) -> str:
     return f"case {n} when 1 then 'Mono' when 2 then 'Stereo' when 6 then '5.1' when 8 then '7.1' else concat(cast({n} as string), ' ch') end"

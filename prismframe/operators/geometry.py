@@ -46,9 +46,13 @@ def gaussian_taps(lengths: DataFrame, radius: float) -> DataFrame:
     return taps.select("n", "o", F.least(F.greatest(F.col("o") + F.col("t.k"), F.lit(0)), F.col("n") - 1).alias("s"), "t.weight").groupBy("n", "o", "s").agg(F.sum("weight").alias("weight"))
 
 
-def resample_taps(lengths: DataFrame, scale: float, kind: str) -> DataFrame:
-    """lengths(n) -> (n, o, s, weight) of ``nearest``, ``bilinear`` or ``lanczos`` taps, normalised."""
-    out = lengths.withColumn("m", F.greatest(F.floor(F.col("n") * scale + 0.5), F.lit(1)).cast("int")).withColumn("f", F.col("m") / F.col("n"))
+def resample_taps(lengths: DataFrame, scale: float | None, kind: str) -> DataFrame:
+    """lengths(n) -> (n, o, s, weight) of ``nearest``, ``bilinear`` or ``lanczos`` taps, normalised.
+
+    Without a scale, ``lengths`` has the new length m of each n."""
+    if scale is not None:
+        lengths = lengths.withColumn("m", F.greatest(F.floor(F.col("n") * scale + 0.5), F.lit(1)).cast("int"))
+    out = lengths.withColumn("f", F.col("m") / F.col("n"))
     out = out.select("*", F.explode(F.expr("sequence(0, m - 1)")).alias("o"))
     if kind == "nearest":
         return out.selectExpr("n", "o", "least(cast(floor((o + 0.5) / f) as int), n - 1) as s", "1D as weight")
@@ -99,7 +103,11 @@ def mip_level(pixels: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def pixel_sort(pixels: DataFrame, threshold: float = 0.5, angle: int = 90) -> DataFrame:
-    """Runs of bright pixels along rows (0, 180) or columns (90, 270), stably sorted by brightness; 180 and 270 mirror the ranks."""
+    """Runs of bright pixels along rows (0, 180) or columns (90, 270), stably sorted by brightness; 180 and 270 mirror the ranks.
+
+    Other angles are for ``lens.pixel_sort``."""
+    if angle not in (0, 90, 180, 270):
+        raise ValueError("only rows and columns are sorted here")
     line, at = ("y", "x") if angle % 180 == 0 else ("x", "y")
     cutoff = math.floor(min(max(threshold * 255 + 0.5, 0), 255))
     df = pixels.withColumn("key", F.expr("cast(floor(least(0.2126D * r + 0.7152D * g + 0.0722D * b + 0.5, 255)) as int)"))

@@ -31,7 +31,7 @@ def minmax_normalize(samples: DataFrame) -> DataFrame:
 def composite_layers(layers: DataFrame) -> DataFrame:
     """layers(image_id, layer_idx, x, y, r, g, b, a), bottom to top in whole numbers."""
     under = "(acc.a * (255 - s.a) div 255)"
-    mix = ", ".join(f"'{c}', if(s.a + {under} = 0, 0, (s.{c} * s.a + acc.{c} * {under}) div (s.a + {under}))" for c in "rgb")
+    mix = ", ".join(f"'{c}', if(s.a + {under} = 0, 0, (s.{c} * s.a + acc.{c} * acc.a * (255 - s.a) div 255) div (s.a + {under}))" for c in "rgb")
     fold = f"aggregate(array_sort(collect_list(struct(layer_idx, r, g, b, a))), named_struct('r', 0L, 'g', 0L, 'b', 0L, 'a', 0L), (acc, s) -> named_struct({mix}, 'a', s.a + {under}))"
     long = layers.selectExpr("image_id", "layer_idx", "x", "y", *(f"cast({c} as long) as {c}" for c in CHANNELS))
     return long.groupBy("image_id", "x", "y").agg(F.expr(fold).alias("p")).select("image_id", "x", "y", *(F.col(f"p.{c}").cast("int").alias(c) for c in CHANNELS))

@@ -10,10 +10,18 @@ def _by_bin() -> Window:
 
 
 def rgb_histogram(pixels: DataFrame) -> DataFrame:
-    """(image_id, channel, bin, n) with all 256 bins of each channel; counts combine map-side."""
+    """(image_id, channel, bin, n) with all 256 bins of each channel; pixels are read once, counts combine map-side."""
     counted = pixels.unpivot(["image_id"], ["r", "g", "b"], "channel", "bin").groupBy("image_id", "channel", "bin").agg(F.count("*").alias("n"))
-    every = counted.select("image_id", "channel").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("bin"))
-    return every.join(counted, ["image_id", "channel", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # at most 256 entries to a channel
+    held = counted.groupBy("image_id", "channel").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("counts"))
+    every = held.select("image_id", "channel", "counts", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("bin"))
+    return every.select("image_id", "channel", "bin", F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0)).alias("n"))
+
+
+def sampled_histogram(pixels: DataFrame, images: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """The histogram of every k-th row and column of images of more than ``most`` pixels, k by the image's size (at least 2)."""
+    stride = images.selectExpr("image_id", f"if(cast(w as long) * h > {most}, greatest(2, cast(ceil(sqrt(cast(w as long) * h / {float(most)}D)) as int)), 1) as k")
+    return rgb_histogram(pixels.join(stride, "image_id").where("x % k = 0 and y % k = 0"))
 
 
 def smooth_bins(hist: DataFrame) -> DataFrame:

@@ -24,8 +24,13 @@ def clip_totals(frames: DataFrame) -> DataFrame:
 
 
 def resolve_trim(clips: DataFrame, trims: DataFrame) -> DataFrame:
-    """clips(clip_id, duration_us), trims(clip_id, start_us, end_us nullable) -> spans of at least 1 ms; ``full`` if nothing is cut."""
-    df = clips.join(trims, "clip_id").withColumn("d", F.greatest("duration_us", F.lit(1000)))
+    """clips(clip_id, duration_us), trims(clip_id, start_us, end_us nullable) -> spans of at least 1 ms; ``full`` if nothing is cut.
+
+    Clips without a trim keep their whole length; with a column ``trim_idx`` (and ``enabled``) each clip's first enabled trim counts."""
+    if "trim_idx" in trims.columns:  # the first enabled one counts
+        enabled = trims.where("enabled") if "enabled" in trims.columns else trims
+        trims = enabled.groupBy("clip_id").agg(F.min_by(F.struct("start_us", "end_us"), "trim_idx").alias("t")).select("clip_id", "t.start_us", "t.end_us")
+    df = clips.join(trims, "clip_id", "left").withColumns({"start_us": F.coalesce("start_us", F.lit(0)), "d": F.greatest("duration_us", F.lit(1000))})
     df = df.withColumn("e", F.greatest(F.least(F.coalesce("end_us", "d"), F.col("d")), F.lit(1000)))
     return df.selectExpr("clip_id", "greatest(least(start_us, e - 1000), 0) as start_us", "e as end_us", "start_us <= 0 and e = d as full")
 
@@ -64,9 +69,10 @@ def repair_pts(packets: DataFrame, start: int, end: int) -> DataFrame:
     """packets(clip_id, stream, seq, pts) kept in [start, end), rebased, strictly rising: the running
     maximum of pts - rank, plus the rank, is the least rising sequence at or above the input."""
     by = Window.partitionBy("clip_id", "stream").orderBy("seq")
-    df = packets.where(f"pts >= {start} and pts < {end}").withColumn("pts", F.col("pts") - start).withColumn("rn", F.row_number().over(by))
+    df = packets.where(f"pts is null or (pts >= {start} and pts < {end})").withColumn("pts", F.col("pts") - start).withColumn("rn", F.row_number().over(by))
     top = F.max(F.col("pts") - F.col("rn")).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("out_pts", top + F.col("rn")).select("clip_id", "stream", "seq", "pts", "out_pts")
+    # a missing timestamp follows the one before it (-1 before the first)
+    return df.withColumn("out_pts", F.coalesce(top, F.lit(-1)) + F.col("rn")).select("clip_id", "stream", "seq", "pts", "out_pts")
 
 
 def trim_packets(packets: DataFrame, start: int, end: int) -> DataFrame:
@@ -78,5 +84,37 @@ def latest_generation(results: DataFrame, key: str = "key", generation: str = "g
     return results.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
-def pending_work(images: DataFrame, results: DataFrame) -> DataFrame:
-    return images.join(results.select("image_id", "recipe_hash"), ["image_id", "recipe_hash"], "left_anti")
+def still_frame(frames: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The frame of a kept span for a still: wanted(clip_id, idx in the whole clip), re-anchored into the span and clamped."""
+    span = frames.groupBy("clip_id").agg(F.min("frame_idx").alias("first"), F.count("*").alias("n"))
+    at = wanted.join(span, "clip_id").selectExpr("clip_id", "idx", "cast(first + least(greatest(idx - first, 0), n - 1) as int) as frame_idx")
+    return at.join(frames, ["clip_id", "frame_idx"])
+
+
+def frame_at(t: str, duration: str, n: str) -> str:
+    """SQL: the frame number (0..n) of a time."""
+    return f"if({duration} <= 0, 0L, least({n}, cast(floor(least(greatest({t} / {duration}, 0D), 1D) * {n} + 0.5) as long)))"
+
+
+def trim_report(spans: DataFrame, totals: DataFrame) -> DataFrame:
+    """spans(clip_id, start_us, end_us) -> first and last frame number and how many are kept (never below 0)."""
+    at = lambda c: frame_at(c, "duration_us", "frame_count")
+    out = spans.join(totals, "clip_id").selectExpr("clip_id", "start_us", "end_us", f"{at('start_us')} as a", f"{at('end_us')} as b")
+    return out.selectExpr("clip_id", "a as first_frame", "b as last_frame", "greatest(b - a, 0L) as kept", "greatest(end_us - start_us, 0L) as kept_us")
+
+
+def export_progress(frames: DataFrame, spans: DataFrame, totals: DataFrame) -> DataFrame:
+    """Each kept frame's share of the frames expected in its span, at most 1 (null where none are expected)."""
+    expected = spans.join(totals, "clip_id").selectExpr("clip_id", "case when full then frame_count when frame_count > 0 and duration_us > 0 then cast(floor((end_us - start_us) / duration_us * frame_count + 0.5) as long) else 0L end as expected")
+    done = frames.withColumn("done", F.row_number().over(_by_frame()))
+    return done.join(expected, "clip_id").selectExpr("clip_id", "frame_idx", "expected", "if(expected > 0, least(done / expected, 1D), null) as progress")
+
+
+def frame_interval(fps: str) -> str:
+    """SQL: seconds between frames; rates are held in 24..120, 60 where there is none."""
+    return f"if({fps} <= 1, 1 / 60D, 1 / least(greatest(cast({fps} as double), 24D), 120D))"
+
+
+def clip_duration(ticks: str, num: str, den: str, container_us: str) -> str:
+    """SQL: microseconds of a stream's own duration if it has one, else the container's (at least 0)."""
+    return f"if(({ticks}) > 0 and ({den}) <> 0, cast(floor(({ticks}) * ({num}) / ({den}) * 1000000 + 0.5) as long), greatest(coalesce({container_us}, 0L), 0L))"

@@ -39,17 +39,38 @@ def effective(recipe: list[Step]) -> list[Step]:
     return out
 
 
-def output_dims(images: DataFrame, step: Step) -> DataFrame:
-    """images(image_id, w, h) after a step."""
+def _dims(step: Step) -> tuple[str, str]:
+    """SQL of the width and height after a step."""
     p = step.params
     if step.kind == "crop":
         side = lambda n, at, size: f"greatest(1, least({size}, {n} - greatest(0, least({at}, {n} - 1))))"
-        return images.selectExpr("image_id", f"{side('w', p['x'], p['w'])} as w", f"{side('h', p['y'], p['h'])} as h")
+        return side("w", p["x"], p["w"]), side("h", p["y"], p["h"])
     if step.kind == "resize":
-        return images.selectExpr("image_id", *(f"cast(greatest(floor({n} * {p['scale']}D + 0.5), 1) as int) as {n}" for n in "wh"))
+        return tuple(f"cast(greatest(floor({n} * {p['scale']}D + 0.5), 1) as int)" for n in "wh")
     if step.kind == "rotate" and p["quarters"] % 2:
-        return images.selectExpr("image_id", "h as w", "w as h")
-    return images
+        return "h", "w"
+    return "w", "h"
+
+
+def output_dims(images: DataFrame, step: Step) -> DataFrame:
+    """images(image_id, w, h) after a step."""
+    w, h = _dims(step)
+    return images.selectExpr("image_id", f"{w} as w", f"{h} as h")
+
+
+def doc_to_source(images: DataFrame, recipe: list[Step]) -> DataFrame:
+    """(image_id, scale_x, scale_y, origin_x, origin_y, far_x, far_y): a place p of the result shows the source's
+    origin + p * scale, and the whole result the source's region from the origin to far."""
+    df = images.selectExpr("image_id", "w", "h", "w as w0", "h as h0", "1D as sx", "1D as sy", "0D as ox", "0D as oy")
+    for step in effective(recipe):
+        w, h = _dims(step)
+        if step.kind == "crop":
+            at = lambda n, v: f"greatest(0, least({v}, {n} - 1))"
+            df = df.selectExpr("image_id", f"{w} as w", f"{h} as h", "w0", "h0", "sx", "sy", f"ox + {at('w', step.params['x'])} * sx as ox", f"oy + {at('h', step.params['y'])} * sy as oy")
+        else:
+            df = df.selectExpr("image_id", f"{w} as w", f"{h} as h", "w0", "h0", f"sx * w / {w} as sx", f"sy * h / {h} as sy", "ox", "oy")
+    clamp = lambda v, n: f"least(greatest({v}, 0D), cast({n} as double))"
+    return df.selectExpr("image_id", "sx as scale_x", "sy as scale_y", f"{clamp('ox', 'w0')} as origin_x", f"{clamp('oy', 'h0')} as origin_y", f"{clamp('ox + w * sx', 'w0')} as far_x", f"{clamp('oy + h * sy', 'h0')} as far_y")
 
 
 def recipe_dims(images: DataFrame, recipe: list[Step]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from prismframe.operators.timeline import frame_asof
 from prismframe.sources.media import classify
 
 
@@ -16,7 +17,7 @@ def stream_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """New supported files of a folder as they arrive; contents are not kept."""
     kind = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(kind).option("recursiveFileLookup", "true").load(folder)
-    return classify(files.select("path", "length", "modificationTime")).where("kind is not null")
+    return classify(files.select("path", "length", "modificationTime")).where("supported")
 
 
 def running_histogram(pixels: DataFrame) -> DataFrame:
@@ -30,8 +31,31 @@ def latest_epoch(frames: DataFrame) -> DataFrame:
     def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest = state.get[0] if state.exists else -1
         rows = pd.concat(list(parts), ignore_index=True)
-        newest = max(newest, int(rows["epoch"].max()))
+        known = rows["epoch"].dropna()  # rows without an epoch belong to none and go
+        newest = max(newest, int(known.max())) if len(known) else newest
         state.update((newest,))
         yield rows[rows["epoch"] == newest]
 
     return frames.groupBy("clip_id").applyInPandasWithState(keep, "clip_id long, epoch long, pts long", "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def presented_frames(frames: DataFrame, ticks: DataFrame, folder: str, clock: str = "clip_id long, frame_idx int, start_us long") -> None:
+    """frames (a stream of clip_id, frame_idx, start_us) -> in ``folder``/out, for every batch, the frame that each tick shows.
+
+    Frames are kept as files, a folder for each batch; a batch answers the ticks of its own clips with all frames so
+    far, so the answers of a clip's last batch are the final ones (``shown_frames``)."""
+
+    def show(rows: DataFrame, batch: int) -> None:
+        rows.select("clip_id", "frame_idx", "start_us").write.mode("overwrite").parquet(f"{folder}/frames/{batch}")
+        spark = rows.sparkSession
+        known = spark.read.schema(clock).option("recursiveFileLookup", "true").parquet(f"{folder}/frames")
+        touched = spark.read.schema(clock).parquet(f"{folder}/frames/{batch}").select("clip_id").distinct()
+        shown = frame_asof(known.join(touched, "clip_id", "left_semi").distinct(), ticks.join(touched, "clip_id", "left_semi"))
+        shown.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/{batch}")
+
+    frames.writeStream.foreachBatch(show).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def shown_frames(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.schema("clip_id long, t_us long, frame_idx int, batch long").option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return rows.groupBy("clip_id", "t_us").agg(F.max_by("frame_idx", "batch").alias("frame_idx"))
