@@ -33,8 +33,8 @@ _STEM_END = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 class _WordTokenizer:
     """Texts to little-endian ids, for vocabularies whose tokens never span white space, ignore case
-    and end each word with a marked token.  Words and stems are tokenised once and remembered (at most
-    ``limit`` and half as many, then all are forgotten)."""
+    and end each word with a marked token.  Words and stems are tokenised once and remembered (about
+    ``limit``, then all are forgotten)."""
 
     def __init__(self, vocabulary: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,7 +47,6 @@ class _WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -69,29 +68,27 @@ class _WordTokenizer:
     def _learn(self, new: set[bytes]) -> None:
         """A word is its stem and the ASCII marks after it if the stem ends in a letter or digit: marks
         and letters are never in one token.  Only stems and runs of marks are then tokenised."""
-        parts, stems = {}, set()
-        for word in new:
+        plain = {word for word in new if word.isalpha() and word.islower()}
+        parts, odd = {}, set()
+        for word in new - plain:
             stem = word.lower().rstrip(_MARKS)
             # a word that may hold a special token stays whole and keeps its case
             part = (stem, word[len(stem) :]) if stem and stem[-1] in _STEM_END and b"<|" not in word else (word, b"")
             parts[word] = part
-            stems.update(part)
-        stems.discard(b"")
-        stems.difference_update(self.stems)
-        if len(self.stems) + len(stems) > self.limit // 2:
-            self.stems.clear()
-            stems = {p for part in parts.values() for p in part if p}
-        plain, odd = [], []
-        for stem in stems:
-            (plain if stem.isalpha() or (text := stem.decode()).isalpha() and text.islower() else odd).append(stem)
+            for one in part:
+                if one and one not in self.words:
+                    letters = one.isalpha() and one.islower() or (not one.isascii() and (text := one.decode()).isalpha() and text.islower())
+                    (plain if letters else odd).add(one)
+        plain = list(plain)
         if plain and not self._at_once(plain):
-            odd += plain
+            odd.update(plain)
         if odd:
+            odd = list(odd)
             for stem, one in zip(odd, self.tokenizer.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False), strict=True):
-                self.stems[stem] = np.array(one.ids, "<u4").tobytes()
-        self.stems[b""] = b""
+                self.words[stem] = np.array(one.ids, "<u4").tobytes()
+        self.words[b""] = b""
         for word, (stem, marks) in parts.items():
-            self.words[word] = self.stems[stem] + self.stems[marks]
+            self.words[word] = self.words[stem] + self.words[marks]
 
     def _at_once(self, plain: list[bytes]) -> bool:
         """Words of letters only, as one text: each gives tokens up to the next marked one.  False if
@@ -102,7 +99,7 @@ class _WordTokenizer:
             return False
         data, at = ids.tobytes(), 0
         for stem, end in zip(plain, (4 * ends).tolist(), strict=True):
-            self.stems[stem] = data[at:end]
+            self.words[stem] = data[at:end]
             at = end
         return True
 
