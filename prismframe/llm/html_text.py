@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 
 from prismframe.llm.common import table
 
+#: No part of a tag is looked for beyond the next ``<``, so reading is linear; an unbalanced quote ends at the next ``>``.
+#: A head without an end tag ends at the first element that cannot stand in it.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?:svg|template)\b[^<>]*/>|<head\b[^<>]*>.*?(?:</head\s*>|(?=<(?:body|div|p|h[1-6]|article|main|section|header|nav|ul|table)\b)|\Z)"
+    r"|<(script|style|template|noscript|svg)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+(?=>)|[^<>]*+)>|<[!?][^<>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -158,8 +162,8 @@ class Labeller:
     def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def _run(self, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, mask: np.ndarray):
-        """x is (steps, pages, INPUT); padded steps leave the state as it is."""
+    def _run(self, x: np.ndarray, wx: np.ndarray, wh: np.ndarray, mask: np.ndarray, keep: bool = True):
+        """x is (steps, pages, INPUT); padded steps leave the state as it is.  Gates are kept for training only."""
         steps, pages, _ = x.shape
         h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
         gates = x @ wx
@@ -171,7 +175,8 @@ class Labeller:
             new = f * c + i * u
             th = np.tanh(new)
             m = mask[t][:, None]
-            kept.append((h, c, i, f, o, u, th))
+            if keep:
+                kept.append((h, c, i, f, o, u, th))
             c, h = m * new + (1 - m) * c, m * (o * th) + (1 - m) * h
             out[t] = h
         return out, kept
@@ -179,8 +184,8 @@ class Labeller:
     def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         steps = max(map(len, pages))
         x, mask = self._padded(pages, steps)
-        hf, _ = self._run(x, self.fx, self.fh, mask)
-        hb, _ = self._run(x[::-1], self.bx, self.bh, mask[::-1])
+        hf, _ = self._run(x, self.fx, self.fh, mask, keep=False)
+        hb, _ = self._run(x[::-1], self.bx, self.bh, mask[::-1], keep=False)
         p = self._sigmoid((np.concatenate([hf, hb[::-1], x], 2) @ self.o + self.c)[..., 0])
         return [p[: len(v), k] for k, v in enumerate(pages)]
 
@@ -332,8 +337,12 @@ def _extract(labeller: Labeller, step: int = 64):
                 texts = [""] * len(found)
                 # pages of like length together, so that padding stays small
                 full = sorted((i for i, b in enumerate(found) if b), key=lambda i: len(found[i]))
-                for k in range(0, len(full), 32):
-                    some = full[k : k + 32]
+                at_once: list[list[int]] = []
+                for i in full:  # at most 32 pages and some 20,000 padded blocks
+                    if not at_once or len(at_once[-1]) == 32 or (len(at_once[-1]) + 1) * len(found[i]) > 20_000:
+                        at_once.append([])
+                    at_once[-1].append(i)
+                for some in at_once:
                     for i, p in zip(some, labeller.probabilities([vectors(found[i]) for i in some]), strict=True):
                         texts[i] = "\n".join(text for (_, text, _), keep in zip(found[i], p >= 0.5, strict=True) if keep)
                 out = [part[c] for c in part.schema.names if c != "html"]
@@ -342,9 +351,12 @@ def _extract(labeller: Labeller, step: int = 64):
     return run
 
 
-def extract(pages: DataFrame, train_words: int = 5_000, seed: int = 42) -> DataFrame:
-    """pages(page_id, url, html) -> (page_id, url, text)."""
-    cut = pages.where("html is not null").orderBy(F.xxhash64(F.lit(seed), "page_id"), "page_id").limit(200).select(F.regexp_replace("html", "<[^>]*>", " ").alias("t"))
+def extract(pages: DataFrame, train_words: int = 5_000, train_pages: int = 200, seed: int = 42) -> DataFrame:
+    """pages(page_id, url, html) -> (page_id, url, text).
+
+    The labeller is trained on laid-out pages of at most ``train_words`` words of ``train_pages`` pages.  A null or empty page
+    gives an empty text; repeated rows are extracted each; other columns are ignored; an empty table gives no rows."""
+    cut = pages.where("html is not null").orderBy(F.xxhash64(F.lit(seed), "page_id"), "page_id").limit(train_pages).select(F.regexp_replace("html", "<[^>]*>", " ").alias("t"))
     words = cut.select(F.explode(F.regexp_extract_all("t", F.lit(r"\p{L}+"), F.lit(0))).alias("w")).distinct().orderBy(F.xxhash64(F.lit(seed), "w"), "w").limit(train_words)
     vocabulary = sorted(r["w"] for r in words.collect()) or ["word"]
     return pages.select("page_id", "url", "html").mapInArrow(_extract(train_labeller(vocabulary, seed=seed)), "page_id long, url string, text string")
