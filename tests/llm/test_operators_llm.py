@@ -321,3 +321,22 @@ def test_bm25(docs, empty):
 
 def test_digest_of_no_spans(docs):
     assert hashlib.sha256(b"").hexdigest() == docs.select(F.sha2(pii._written(F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")), 256)).first()[0]
+
+
+def test_recall_of_edited_passages_with_the_default_hashes(spark):
+    rng = np.random.default_rng(12)
+    some = lambda n: [f"{a}{b}" for a, b in rng.integers(0, 10**6, (n, 2))]
+    edits = {"insertion": lambda w, k: w[:k] + some(1) + w[k:], "deletion": lambda w, k: w[:k] + w[k + 1 :], "substitution": lambda w, k: w[:k] + some(1) + w[k + 1 :], "none": lambda w, k: w}
+    texts, pairs = {}, {}
+    for kind, edit in edits.items():
+        for n in range(40):
+            passage = some(60)
+            one, other = len(texts), len(texts) + 1
+            texts[one] = " ".join(some(int(rng.integers(5, 80))) + passage + some(20))
+            texts[other] = " ".join(some(int(rng.integers(5, 80))) + edit(passage, int(rng.integers(20, 40))) + some(20))
+            pairs.setdefault(kind, []).append((one, other))
+    texts |= {1000 + k: " ".join(some(120)) for k in range(50)}
+    found = set(covered(spark, texts))
+    assert not any(k >= 1000 for k in found)
+    recall = {kind: np.mean([a in found and b in found for a, b in some_pairs]) for kind, some_pairs in pairs.items()}
+    assert recall["none"] == 1 and min(recall.values()) >= 0.9, recall
