@@ -63,15 +63,18 @@ def _gps(s, d):
 
 _DEG = "({0}.n / {0}.d + {1}.n / {1}.d / 60.0 + {2}.n / {2}.d / 3600.0)"
 _one = lambda k: f"(select l_orderkey, min(n)::double as n, min(d) % 3 as d, min(m) as m from tags where l_linenumber = {k} group by 1) t{k}"
+_LAT = f"({_DEG.format('t1', 't2', 't3')} * case when t1.m % 2 = 1 then -1 else 1 end)"
+_LON = f"({_DEG.format('t2', 't3', 't4')} * case when t1.m > 3 then -1 else 1 end)"
+_four = lambda v: f"case when {v} < 0 then '-' else '' end || floor(abs({v}) * 10000 + 0.5)::bigint // 10000 || '.' || lpad((floor(abs({v}) * 10000 + 0.5)::bigint % 10000)::varchar, 4, '0')"
 _add(
     "f20_gps", _gps,
-    f"with {_TAGS} select o.l_orderkey, case when t1.d > 0 and t2.d > 0 and t3.d > 0 and t4.d > 0 then format('{{:.4f}}, {{:.4f}}', {_DEG.format('t1', 't2', 't3')} * case when t1.m % 2 = 1 then -1 else 1 end, {_DEG.format('t2', 't3', 't4')} * case when t1.m > 3 then -1 else 1 end) end as label "
+    f"with {_TAGS} select o.l_orderkey, case when t1.d > 0 and t2.d > 0 and t3.d > 0 and t4.d > 0 then {_four(_LAT)} || ', ' || {_four(_LON)} end as label "
     f"from (select distinct l_orderkey from tags) o " + " ".join(f"left join {_one(k)} on t{k}.l_orderkey = o.l_orderkey" for k in (1, 2, 3, 4)),
 )
 
 # Geometry, lenses and sorting along diagonals.
-_MATRIX = "cos(radians(clip_id * 37 % 360)) as m0, sin(radians(clip_id * 37 % 360)) as m1"
-_add("g08_base_rotation", lambda s, d: _tot(s, d).selectExpr("clip_id", _MATRIX.split(", ")[0], _MATRIX.split(", ")[1]).selectExpr("clip_id", "pmod(cast(floor(degrees(atan2(m1, m0)) / 90 + 0.5) as long), 4) as quarters"), _FR + "select clip_id, (((clip_id * 37 % 360) + 45) // 90) % 4 as quarters from tot")
+_MATRIX = "cos(radians(clip_id * 37 % 360 + 0.3D)) as m0, sin(radians(clip_id * 37 % 360 + 0.3D)) as m1"
+_add("g08_base_rotation", lambda s, d: _tot(s, d).selectExpr("clip_id", _MATRIX.split(", ")[0], _MATRIX.split(", ")[1]).selectExpr("clip_id", "pmod(cast(floor(degrees(atan2(m1, m0)) / 90 + 0.5) as long), 4) as quarters"), _FR + "select clip_id, floor(((clip_id * 37 % 360) + 45.3) / 90)::bigint % 4 as quarters from tot")
 _add("g02_resize_dims", lambda s, d: lens.resize_dims(_im(s, d), "percent", 37.5, 150), f"with {X.IMAGES_SQL} select image_id, w, h, greatest(floor(w * 37.5 / 100 + 0.5), 1)::int as new_w, greatest(floor(h * 150 / 100.0 + 0.5), 1)::int as new_h from images")
 _add(
     "g02_resize_to_pixels", lambda s, d: lens.resize_to(_px(s, d), _im(s, d), "pixels", 40, 77, "nearest"),

@@ -60,7 +60,9 @@ def gps(lat: str, lat_ref: str, lon: str, lon_ref: str) -> str:
     """Signed decimal degrees of two arrays of (num, den); null if either is incomplete."""
     sign = lambda ref, letter: f"if(contains(coalesce({ref}, ''), '{letter}'), -1, 1)"
     a, b = f"({degrees(lat)}) * {sign(lat_ref, 'S')}", f"({degrees(lon)}) * {sign(lon_ref, 'W')}"
-    return f"if(({a}) is null or ({b}) is null, null, format_string('%.4f, %.4f', {a}, {b}))"
+    units = lambda v: f"cast(floor(abs({v}) * 10000 + 0.5) as long)"
+    label = lambda v: f"if({v} < 0, '-', ''), {units(v)} div 10000, '.', lpad(cast({units(v)} % 10000 as string), 4, '0')"
+    return f"if(({a}) is null or ({b}) is null, null, concat({label(f'({a})')}, ', ', {label(f'({b})')}))"
 
 
 def text_field(text: str) -> str:
