@@ -1,12 +1,16 @@
 """Operator 1: exact top-k search with BM25 over sharded inverted indexes with block maxima.
 
 Document frequencies, the number of documents and their mean length are counted over all documents.
-Documents are dealt by hash over shards of about ``shard_docs``; each shard builds an inverted index whose
-posting lists are cut into blocks of ``BLOCK`` documents, with the largest impact of each (term,
-block).  A query first sums the block maxima of its terms, an upper bound for every document of a
-block, then scores blocks in falling order of their bounds and stops when the next bound is below its
-k-th best score so far: block-max WAND's pruning, with the blocks as pivots so that numpy does the work.  The shards' top
-k are merged exactly, since all scores use the global statistics; ties go to the smaller id.
+Documents are dealt by hash over shards; each shard builds an inverted index whose posting lists are cut into blocks of
+``BLOCK`` documents, with the largest impact of each list and of each (list, block).  Queries come in groups of a
+bounded size, which go to the shards whole; the index is rebuilt for each group, never copied.
+
+Block-max WAND, for numpy: a query reads its lists in falling order of their upper bounds.  The k-th best sum so far is
+the threshold.  Once the lists not read cannot reach it by themselves, only documents met so far can be pivots:
+those whose sum and the lists' upper bounds reach the threshold, and then those whose sum and their block's maxima do.
+When scoring the pivots costs less than reading on, they are scored exactly, the highest bound first, until the
+next bound is below the k-th best score.  The shards' top k are merged exactly, since all scores use the global
+statistics and one order of summation; ties go to the smaller id.
 
 Only terms that some query has (a fixed-size filter, then exact) are indexed, which changes no score.
 Words are lower-cased (A-Z).  Null texts have no words and match nothing; queries without words have no results; rows
@@ -22,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismframe.llm.common import hashed_texts, materialize, mix, rows_of, table
+from prismframe.llm.common import free, hashed_texts, materialize, mix, rows_of, table
 
 BLOCK = 64
 K1, B = 1.2, 0.75
 CHUNK = 1_000_000
+#: Bounds are raised by this factor, since sums of rounded impacts stand for exact ones.
+SLACK = 1 + 1e-5
+#: How many entries of posting lists are read in the time of one of a document's own entries.
+OWN_COST = 4
 
 
 def _terms(rows: list[tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -115,63 +123,93 @@ def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class ShardIndex:
-    """Posting lists sorted by (term, document), in blocks with their largest impacts."""
+    """Posting lists sorted by (term, document) with the largest impact of each list and of each block, and the
+    documents' own terms for exact scores.  Lists hold rounded impacts; ``SLACK`` covers that in every bound."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, mean: float):
         order = np.argsort(ids, kind="stable")  # ties between equal scores then go to the smaller id
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         self.ids = ids[order]
-        doc = np.repeat(rank, lengths)
-        impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * np.repeat(sizes, lengths) / mean))
+        ends = np.cumsum(lengths)
+        self.own_begin, self.own_end = (ends - lengths)[order], ends[order]
+        self.own_impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * np.repeat(sizes, lengths) / mean))
+        doc = np.repeat(rank, lengths).astype(np.int32)
         by = np.lexsort((doc, terms))
-        terms, self.doc, self.impact = terms[by], doc[by], impact[by]
-        block = self.doc // BLOCK
+        terms, self.doc, self.impact = terms[by], doc[by], self.own_impact[by].astype(np.float32)
         new_term = np.append(True, terms[1:] != terms[:-1]) if len(terms) else np.zeros(0, bool)
-        new = new_term | np.append(True, block[1:] != block[:-1]) if len(terms) else new_term
-        self.begin = np.flatnonzero(new)
+        self.own_term = np.empty(len(by), np.int32)
+        self.own_term[by] = np.cumsum(new_term) - 1
+        self.terms, self.begin = terms[new_term], np.flatnonzero(new_term)
         self.end = np.append(self.begin[1:], len(terms))
-        self.block = block[self.begin]
+        block = self.doc // BLOCK
+        new = new_term | np.append(True, block[1:] != block[:-1]) if len(terms) else new_term
+        at = np.flatnonzero(new)
+        self.block = block[at]
+        self.block_most = np.maximum.reduceat(self.impact, at) if len(terms) else self.impact
+        self.first = np.flatnonzero(new_term[at])
+        self.last = np.append(self.first[1:], len(at))
         self.most = np.maximum.reduceat(self.impact, self.begin) if len(terms) else self.impact
-        self.terms = terms[new_term]
-        self.first = np.flatnonzero(new_term[self.begin])
-        self.last = np.append(self.first[1:], len(self.begin))
         self.n_blocks = -(-len(ids) // BLOCK)
+        self.weight = np.zeros(len(self.terms))
+
+    def _scores(self, docs: np.ndarray) -> np.ndarray:
+        """Exact scores of documents by their own terms, always summed in the order of the terms."""
+        begin, end = self.own_begin[docs], self.own_end[docs]
+        places = _ranges(begin, end)
+        return np.bincount(np.repeat(np.arange(len(docs)), end - begin), self.weight[self.own_term[places]] * self.own_impact[places], len(docs))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best documents; terms are sorted."""
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
-        on = self.terms[at] == terms
+        on = self.terms[at] == terms if len(self.terms) else np.zeros(len(at), bool)
         at, weights = at[on], weights[on]
-        entries = _ranges(self.first[at], self.last[at])
-        weight = np.repeat(weights, self.last[at] - self.first[at])
-        blocks = self.block[entries]
-        bound = np.bincount(blocks, weight * self.most[entries], self.n_blocks) * (1 + 1e-9)
+        if not len(at):
+            return self.ids[:0], np.empty(0)
+        bound = weights * self.most[at]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        scores = np.full(self.n_blocks * BLOCK, -1.0)
-        threshold, done, step = 0.0, 0, max(4, -(-2 * k // BLOCK))
-        while done < len(order) and bound[order[done]] >= threshold:
-            some = order[done : done + step]
-            some = some[bound[some] >= threshold]
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[some] = True
-            hit = chosen[blocks]
-            b, e = self.begin[entries[hit]], self.end[entries[hit]]
-            places = _ranges(b, e)
-            found = np.bincount(self.doc[places], np.repeat(weight[hit], e - b) * self.impact[places], len(scores))
-            docs = np.flatnonzero(found)
-            scores[docs] = found[docs]
-            if len(docs):
-                held = scores[scores > 0]
-                if len(held) >= k:
-                    threshold = np.partition(held, len(held) - k)[len(held) - k]
-            done += len(some)
-            step = min(2 * step, 64)
-        best = np.flatnonzero((scores > 0) & (scores >= threshold))
-        best = best[np.lexsort((best, -scores[best]))][:k]
-        return self.ids[best], scores[best]
+        at, weights, bound = at[order], weights[order], bound[order]
+        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0) * SLACK  # what lists from here on can add
+        sizes = self.end[at] - self.begin[at]
+        upto = np.append(0, np.cumsum(sizes))
+        n, k = len(self.ids), min(k, len(self.ids))
+        sums, read, step, threshold = np.zeros(n), 0, max(n // 4, 1024), 0.0
+        while True:
+            until = max(read + 1, int(np.searchsorted(upto, upto[read] + step, "right")) - 1)
+            lists = [slice(b, e) for b, e in zip(self.begin[at[read:until]].tolist(), self.end[at[read:until]].tolist(), strict=True)]
+            add = np.concatenate([self.impact[one] for one in lists]) * np.repeat(weights[read:until], sizes[read:until])
+            sums += np.bincount(np.concatenate([self.doc[one] for one in lists]), add, n)
+            read, step = until, 3 * step
+            threshold = np.partition(sums, n - k)[n - k] / SLACK
+            if rest[read] >= threshold > 0 or (threshold == 0 and read < len(at)):
+                continue  # a document of none of the lists so far could still be among the best
+            pivots = np.flatnonzero((sums > 0) & (sums * SLACK + rest[read] >= threshold))
+            if read < len(at):
+                entries = _ranges(self.first[at[read:]], self.last[at[read:]])
+                more = np.repeat(weights[read:], self.last[at[read:]] - self.first[at[read:]]) * self.block_most[entries]
+                most = (sums[pivots] + np.bincount(self.block[entries], more, self.n_blocks)[pivots // BLOCK]) * SLACK
+                pivots, most = pivots[most >= threshold], most[most >= threshold]
+                if OWN_COST * (self.own_end[pivots] - self.own_begin[pivots]).sum() > upto[-1] - upto[read]:
+                    continue  # reading on is cheaper, and the bounds get tighter
+                pivots = pivots[np.argsort(-most, kind="stable")]
+                most = -np.sort(-most)
+            else:
+                most = np.full(len(pivots), np.inf)
+            break
+        self.weight[at] = weights
+        docs, scores, done = pivots[:0], np.empty(0), 0
+        step = len(pivots) if read == len(at) else 2 * k
+        while done < len(pivots) and most[done] >= threshold:
+            some = pivots[done : done + step]
+            docs, scores = np.append(docs, some), np.append(scores, self._scores(some))
+            best = np.lexsort((docs, -scores))[:k]
+            docs, scores = docs[best], scores[best]
+            if len(docs) == k:
+                threshold = max(threshold, scores[-1])
+            done, step = done + len(some), 2 * step
+        self.weight[at] = 0
+        return self.ids[docs], scores
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,29 +217,42 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return array.flatten().to_numpy(zero_copy_only=False), np.diff(array.offsets.to_numpy())
 
 
-def _search(mean: float, k: int):
-    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
+def _search(mean: float, k: int, asked: list[tuple[int, np.ndarray, np.ndarray]]):
+    """The best documents of one shard for each (query, sorted terms, weights)."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        terms, lengths = _flat(docs["terms"])
+        counts, _ = _flat(docs["counts"])
+        index = ShardIndex(docs["doc_id"].to_numpy(), docs["n_words"].to_numpy(), lengths, terms.view(np.uint64), counts, mean)
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
-        if docs.num_rows and queries.num_rows:
-            terms, lengths = _flat(docs["terms"])
-            counts, _ = _flat(docs["counts"])
-            index = ShardIndex(docs["doc_id"].to_numpy(), docs["n_words"].to_numpy(), lengths, terms.view(np.uint64), counts, mean)
-            q_terms, q_lengths = _flat(queries["terms"])
-            q_weights, _ = _flat(queries["weights"])
-            ends = np.cumsum(q_lengths)
-            for query, a, b in zip(queries["query_id"].to_pylist(), (ends - q_lengths).tolist(), ends.tolist(), strict=True):
-                t = q_terms[a:b].view(np.uint64)
-                order = np.argsort(t)
-                ids, scores = index.search(t[order], q_weights[a:b][order], k)
-                for column, values in zip(out, (np.full(len(ids), query), ids, scores), strict=True):
-                    column.append(values)
+        for query, own, weights in asked:
+            ids, scores = index.search(own, weights, k)
+            for column, values in zip(out, (np.full(len(ids), query), ids, scores), strict=True):
+                column.append(values)
         return pa.table([pa.array(np.concatenate(c)) for c in out], ["query_id", "doc_id", "score"])
 
     return run
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 16_384, block_queries: int = 8_192) -> DataFrame:
-    """documents(doc_id, text), queries(query_id, text) -> (query_id, rank, doc_id, score), the best first."""
+def _fetched(queries: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """A group of queries, whose size is bounded, as (query, sorted terms, their weights)."""
+    found = queries.toArrow()
+    terms, lengths = _flat(found["terms"])
+    weights, _ = _flat(found["weights"])
+    ends = np.cumsum(lengths)
+    out = []
+    for query, a, b in zip(found["query_id"].to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+        own = terms[a:b].view(np.uint64)
+        order = np.argsort(own)
+        out.append((query, own[order], weights[a:b][order]))
+    return out
+
+
+def search(documents: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 16_384, shard_words: int = 16_000_000, group_terms: int = 1 << 20) -> DataFrame:
+    """documents(doc_id, text), queries(query_id, text) -> (query_id, rank, doc_id, score), the best first.
+
+    A shard has about ``shard_docs`` documents or ``shard_words`` words, whichever is less; a group of queries has
+    about ``group_terms`` terms (16 bytes each), and each group is a job over all shards."""
     clean = lambda df, key: df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col("text").cast("string").cast("binary").alias("text"))
     docs, asked = clean(documents, "doc_id"), clean(queries, "query_id")
     asked = materialize(asked.mapInArrow(_query_terms, "query_id long, term long, n long").groupBy("query_id", "term").agg(F.sum("n").alias("n")), "asked")
@@ -209,21 +260,31 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, shard_docs: in
     counted = docs.mapInArrow(_frequencies(passes), "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
     counted = materialize(counted, "counted")
     n, words = counted.where("term is null").agg(F.sum("df"), F.sum("words")).first()
-    n, mean = n or 0, max((words or 0) / max(n or 0, 1), 1e-9)
-    shards, groups = max(1, -(-n // shard_docs)), max(1, -(-asked.select("query_id").distinct().count() // block_queries))
+    n, words = n or 0, words or 0
+    mean = max(words / max(n, 1), 1e-9)
+    shards, groups = max(1, -(-n // shard_docs), -(-words // shard_words)), max(1, -(-asked.count() // group_terms))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     ready = (
         asked.join(counted, "term").select("query_id", F.struct("term", (idf * F.col("n")).alias("weight")).alias("t"))
         .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list("t")).alias("t"))
-        .select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+        .agg(F.collect_list("t").alias("t"))
+        .select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part"))
     )
+    ready = materialize(ready, "ready")
+    free(asked, counted)
     indexed = docs.mapInArrow(_postings(passes), "doc_id long, n_words int, terms array<long>, counts array<int>")
-    indexed = indexed.withColumns({"shard": F.pmod(F.xxhash64("doc_id"), F.lit(shards)), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))})
-    keys = ["shard", "part"]
-    found = indexed.groupBy(*keys).cogroup(ready.groupBy(*keys)).applyInArrow(_search(mean, k), "query_id long, doc_id long, score double")
+    indexed = indexed.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    if groups > 1:
+        indexed = materialize(indexed, "postings")  # read once for each group
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    done = []
+    for part in range(groups):
+        some = _fetched(ready.where(F.col("part") == part).select("query_id", "terms", "weights"))
+        found = indexed.groupBy("shard").applyInArrow(_search(mean, k, some), "query_id long, doc_id long, score double")
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        done.append(materialize(found.select("query_id", "rank", "doc_id", "score"), "found"))
+    free(ready, *([indexed] if groups > 1 else []))
+    return documents.sparkSession.read.schema(done[0].schema).parquet(*(one.materialized_at for one in done))
 
 
 def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:

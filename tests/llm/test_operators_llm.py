@@ -306,7 +306,7 @@ def test_bm25(docs, empty):
     df = Counter(w for c in counts.values() for w in c)
     queries = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
     got = defaultdict(list)
-    for r in bm25.search(docs, queries, k=5, shard_docs=16).orderBy("query_id", "rank").collect():
+    for r in bm25.search(docs, queries, k=5, shard_docs=16, group_terms=100).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["doc_id"], round(r["score"], 6)))
     for q in (100, 200):
         scores = {}
@@ -319,6 +319,30 @@ def test_bm25(docs, empty):
     assert bm25.search(empty, empty.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
 
 
+def test_bm25_prunes_exactly():
+    rng = np.random.default_rng(5)
+    bags = [np.unique(rng.zipf(1.3, int(rng.integers(1, 200))) % 5000, return_counts=True) for _ in range(1500)]
+    bags += bags[:200]
+    ids, sizes = rng.permutation(len(bags)), np.array([c.sum() for _, c in bags])
+    lengths, terms = np.array([len(t) for t, _ in bags]), np.concatenate([t for t, _ in bags]).astype(np.uint64)
+    index = bm25.ShardIndex(ids, sizes, lengths, terms, np.concatenate([c for _, c in bags]), float(sizes.mean()))
+    df = Counter(terms.tolist())
+    for q in range(0, 300, 5):
+        own, counts = bags[q]
+        own, weights = own.astype(np.uint64), counts * np.log(1 + len(bags) / np.array([df[t] for t in own.tolist()]))
+        weight = dict(zip(own.tolist(), weights.tolist(), strict=True))
+        scores = {}
+        for i, n, (t, c) in zip(ids.tolist(), sizes.tolist(), bags, strict=True):
+            s = sum(weight[x] * m * 2.2 / (m + 1.2 * (0.25 + 0.75 * n / sizes.mean())) for x, m in zip(t.tolist(), c.tolist(), strict=True) if x in weight)
+            if s:
+                scores[i] = round(s, 9)
+        best = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10]
+        found, values = index.search(own, weights, 10)
+        assert list(zip(found.tolist(), np.round(values, 9).tolist(), strict=True)) == best
+    nothing = bm25.ShardIndex(ids[:0], sizes[:0], lengths[:0], terms[:0], terms[:0], 1.0)
+    assert len(nothing.search(terms[:3], np.ones(3), 10)[0]) == 0
+
+
 def test_digest_of_no_spans(docs):
     assert hashlib.sha256(b"").hexdigest() == docs.select(F.sha2(pii._written(F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")), 256)).first()[0]
 
