@@ -2,7 +2,7 @@
 
 Seeds are the exact base entities (email, ip, card, phone).  Phrases of words with digits or ``@`` are candidate
 instances; each occurrence carries lexical patterns (its shape, the shape with the word before, with
-the word after, and the two words before).  Instances and patterns form a graph that Spark scores for
+the word after, and the two words before; neighbouring words are taken whole).  Instances and patterns form a graph that Spark scores for
 ``rounds`` rounds: a pattern's confidence for a kind is the positive weight of its distinct instances
 over their number (plus one), and counts once ``support`` positive instances stand behind it; an
 instance's weight is the noisy-or of its patterns' confidences.  Instances at ``accept`` or above join
@@ -30,6 +30,10 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PHRASE = rf"(?<![^{_WS}])[^{_WS}0-9@]*+[0-9@][^{_WS}]*+(?:\x20[^{_WS}0-9@]*+[0-9@][^{_WS}]*+)*+"
+_WORD = rf"[^{_WS}]++"
+_LAST = rf"(?<![^{_WS}])({_WORD})[{_WS}]*+\z"
+_LAST_BUT_ONE = rf"(?<![^{_WS}])({_WORD})[{_WS}]++{_WORD}[{_WS}]*+\z"
+_FIRST = rf"^[{_WS}]*+({_WORD})"
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[1-9]|)"
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
@@ -64,16 +68,20 @@ def _scan(docs: DataFrame) -> DataFrame:
         )
     )
     phrases = F.expr(f"if(_at or _digit, {_matches(_PHRASE)}, cast(array() as {_SPANS}))")
+    # what is before a phrase, as far back as two words can lie, and what is after it: gaps and other phrases, whole
+    before = "concat_ws('', get(_m, i - 2).m, get(_g, i - 1), get(_m, i - 1).m, get(_g, i))"
+    after = "concat_ws('', get(_g, i + 1), get(_m, i + 1).m)"
     return (
         out.withColumn("spans", F.expr(f"cast(concat({spans}) as array<struct<k:int,s:int,e:int>>)"))
-        .withColumn("_m", phrases)
+        .withColumns({"_m": phrases, "_g": F.expr(f"if(_at or _digit, split(text, r'{_PHRASE}'), array(''))")})
         .withColumn(
             "phrases",
-            F.expr(r"""transform(_m, x -> named_struct(
+            F.expr(rf"""transform(_m, (x, i) -> named_struct(
                 's', x.s + length(regexp_extract(x.m, r'^[^A-Za-z0-9+@]*', 0)),
                 'core', regexp_replace(x.m, r'^[^A-Za-z0-9+@]*+|(?<![^A-Za-z0-9])(?=[^A-Za-z0-9]*+$)[^A-Za-z0-9]++$|(?<=[A-Za-z0-9])[^A-Za-z0-9]++$', ''),
-                'before', substring(text, greatest(1, x.s - 47), x.s - greatest(0, x.s - 48)),
-                'after', substring(text, x.e + 1, 48)))"""),
+                'l1', lower(regexp_extract({before}, r'{_LAST}', 1)),
+                'l2', lower(regexp_extract({before}, r'{_LAST_BUT_ONE}', 1)),
+                'r1', lower(regexp_extract({after}, r'{_FIRST}', 1))))"""),
         )
         .select("doc_id", "h", "spans", "phrases")
     )
@@ -82,10 +90,9 @@ def _scan(docs: DataFrame) -> DataFrame:
 def _occurrences(scan: DataFrame) -> DataFrame:
     """One row for each phrase: where it is, its instance, its patterns, the kind of the base span that it is."""
     one = scan.where("size(phrases) > 0").select("doc_id", "h", "spans", F.explode("phrases").alias("p"))
-    one = one.select("doc_id", "h", "spans", F.col("p.s").alias("s"), F.expr("p.s + length(p.core)").alias("e"), F.lower("p.core").alias("core"), "p.before", "p.after")
-    word = lambda c, n: F.lower(F.coalesce(F.try_element_at(F.filter(F.split(c, f"[{_WS}]+"), lambda w: w != ""), F.lit(n)), F.lit("")))
+    one = one.select("doc_id", "h", "spans", F.col("p.s").alias("s"), F.expr("p.s + length(p.core)").alias("e"), F.lower("p.core").alias("core"), "p.l1", "p.l2", "p.r1")
     shape = F.regexp_replace(F.regexp_replace("core", "[0-9]", "9"), r"[a-z\x{80}-\x{10FFFF}]+", "a")
-    one = one.withColumns({"shape": shape, "l1": word("before", -1), "l2": word("before", -2), "r1": word("after", 1)})
+    one = one.withColumn("shape", shape)
     patterns = F.array(F.xxhash64(F.lit("S"), "shape"), F.xxhash64(F.lit("L"), "shape", "l1"), F.xxhash64(F.lit("R"), "shape", "r1"), F.xxhash64(F.lit("LL"), "l1", "l2"))
     seed = F.expr("try_element_at(filter(spans, x -> x.s = s and x.e = e), 1).k")
     touched = F.expr("exists(spans, x -> x.s < e and x.e > s)")

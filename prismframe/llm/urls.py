@@ -8,7 +8,7 @@ are those that a rule decides.  Every URL is judged.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule and are judged by their
 features.  Without labelled URLs of both kinds everything not ruled is allowed.  Repeated rows are judged alike; other
-columns are ignored; an empty table gives no rows.
+columns are carried whatever their names, but for those of the results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -148,13 +148,16 @@ def fit(labelled: DataFrame, sample_most: int = 20_000, keys_most: int = 200, se
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, **fitting) -> DataFrame:
-    """pages(url, ...) with host, path, rule, verdict and p_block."""
-    urls = apply_rules(pages.withColumns(split_url(F.col("url"))), rules)
+    """pages(url, ...) with host, path, rule, verdict and p_block, which replace columns of these names."""
+    results = ["host", "path", "rule", "verdict", "p_block"]
+    own = [c for c in pages.columns if c.lower() not in results]
+    urls = pages.select("url", F.struct(*(F.col(f"`{c}`") for c in own)).alias("_page"))
+    urls = apply_rules(urls.withColumns(split_url(F.col("url"))), rules)
     labelled = urls.where("ruled is not null").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("blocked"))
     model = fit(lexical(labelled), **fitting)
     out = model.block_probability(lexical(urls))
     verdict = F.coalesce("ruled", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
-    return out.withColumn("verdict", verdict).select(*pages.columns, "host", "path", "rule", "verdict", "p_block")
+    return out.withColumn("verdict", verdict).select(*(F.col("_page")[c].alias(c) for c in own), *results)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,13 @@ def test_pii_base_and_discovery(docs, empty, spark):
     found = {r["doc_id"]: r for r in pii.find_pii(shown).collect()}
     assert [(x["k"], x["s"], x["e"]) for x in found[99]["more"]] == [(1, 13, 23)]
     assert found[100]["spans"] == [] and pii.find_pii(empty).count() == 0
+    long = "x" * 90  # neighbouring words count whole, however long, over line ends and other phrases
+    shown = [(i, f"w {long}a\n{long}b {10 + i}.0.0.1 {long}c") for i in range(40)] + [(99, f"q\t{long}a  {long}b 10.0.0.999"), (98, f"12  34\n7\t{long}e x9 ")]
+    contexts = {r["doc_id"]: [(p["l2"], p["l1"], p["r1"]) for p in r["phrases"]] for r in pii._scan(spark.createDataFrame(shown, "doc_id long, text string")).collect()}
+    assert contexts[5] == [(f"{long}a", f"{long}b", f"{long}c")] and contexts[99] == [(f"{long}a", f"{long}b", "")]
+    assert contexts[98] == [("", "", "34"), ("", "12", "7"), ("12", "34", f"{long}e"), ("7", f"{long}e", "")]
+    found = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(shown, "doc_id long, text string")).collect()}
+    assert [shown[40][1][x["s"] : x["e"]] for x in found[99]["more"]] == ["10.0.0.999"]
     line = spark.createDataFrame([("a me@x.org b",)], "t string").select(pii.redact(F.col("t"), F.expr("array(named_struct('k', 0, 's', 2, 'e', 10))")).alias("t")).first()["t"]
     assert line == "a [EMAIL] b"
 
@@ -168,6 +175,30 @@ def test_urls(spark):
     assert {r["verdict"] for r in got.values()} <= {"allow", "block"}
 
 
+def test_url_trees_on_held_out_urls(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    good = lambda: f"https://www.{word(6)}.net/{word(5)}/{word(8)}"
+    bad = lambda: f"http://{word(4)}-{rng.integers(10**8)}.biz/{word(3)}?{'&'.join(f'{word(2)}={rng.integers(10**6)}' for _ in range(5))}"
+    rows = [(k, bad() if k % 2 else good(), float(k % 2)) for k in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, blocked double")
+    features = urls.lexical(pages.withColumns(urls.split_url(F.col("url"))))
+    model = urls.fit(features.where("page_id < 300"))
+    got = model.block_probability(features.where("page_id >= 300")).select("blocked", "p_block").collect()
+    assert model.trees is not None and len(got) == 300
+    assert np.mean([(r["p_block"] >= 0.5) == (r["blocked"] == 1) for r in got]) > 0.97
+    # rules of both kinds label URLs for the trees; columns of any name are carried
+    rules = (urls.Rule("allow", "net", "/"), urls.Rule("block", "a.biz", "/"))
+    ruled = [(k, bad().replace(".biz", ".a.biz") if k % 2 else good(), k, "x", 1) for k in range(200)] + [(1000, bad(), 7, "x", 1), (1001, None, 8, "x", 1)]
+    own = spark.createDataFrame(ruled, "page_id long, url string, depth long, host string, _features int")
+    judged = urls.judge(own, rules)
+    assert judged.columns == ["page_id", "url", "depth", "_features", "host", "path", "rule", "verdict", "p_block"]
+    judged = {r["page_id"]: r for r in judged.collect()}
+    assert judged[1000]["verdict"] == "block" and judged[1000]["rule"] is None and judged[1000]["depth"] == 7
+    assert judged[1001]["host"] == "" and judged[0]["rule"] == "net/" and len(judged) == 202
+    assert urls.judge(own.limit(0), rules).count() == 0
+
+
 def test_block_labeller_on_unseen_layouts():
     vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(1500)]
     labeller = html_text.train_labeller(vocabulary)
