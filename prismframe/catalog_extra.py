@@ -147,24 +147,34 @@ def _folder(s) -> str:
     return f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
 
 
-def _epochs(s, d):
-    """All rows of an epoch older than one that an earlier batch has shown are dropped: batches are files, one epoch each here."""
-    folder = _folder(s)
-    rows = X.read(s, d, "events").selectExpr("user_id as clip_id", "cast(event_id % 3 as long) as epoch", "event_id as pts")
-    rows.repartition(1).write.parquet(f"{folder}/in")
-    kept = live.latest_epoch(s.readStream.schema(rows.schema).parquet(f"{folder}/in"))
-    kept.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(rows.schema).parquet(f"{folder}/out")
+def _fed(s, rows, batches, build):
+    """What a stream gives that gets ``rows`` in the order of their column ``batch``, each batch once the one before is done."""
+    folder, rows = _folder(s), rows.withColumn("batch", F.col("batch").cast("int"))
+    rows.write.partitionBy("batch").parquet(f"{folder}/all")
+    kind = rows.drop("batch").schema
+    for k in range(batches):
+        s.read.schema(kind).parquet(f"{folder}/all/batch={k}").write.mode("append").parquet(f"{folder}/in")
+        out = build(s.readStream.schema(kind).parquet(f"{folder}/in"))
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+def _epochs(s, d, order):
+    """Batches of one epoch each, in the given order: an epoch older than one seen before is dropped by what the state holds."""
+    rows = X.read(s, d, "events").selectExpr("user_id as clip_id", "event_id as pts", f"event_id % {len(order)} as batch")
+    rows = rows.selectExpr("clip_id", f"element_at(array({', '.join(f'{e}L' for e in order)}), cast(batch + 1 as int)) as epoch", "pts", "batch")
+    return _fed(s, rows, len(order), live.latest_epoch)
 
 
 def _presented(s, d):
-    folder = _folder(s)
-    clock = _fc(s, d).select("clip_id", "frame_idx", F.col("start_us").cast("long").alias("start_us"))
-    clock.repartition(4, "frame_idx").write.parquet(f"{folder}/in")
-    stream = s.readStream.schema(clock.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    live.presented_frames(stream, _ticks(s, d).distinct(), folder)
-    return live.shown_frames(s, folder)
+    """Frames and ticks in four batches by time: a tick meets the frames of earlier batches in the state."""
+    clock, ticks = _fc(s, d), _ticks(s, d).distinct()
+    quarter = f"cast(least(greatest(t_us div {max(1, (ticks.agg(F.max('t_us')).first()[0] or 0) // 4)}, 0), 3) as int) as batch"
+    rows = clock.selectExpr("clip_id", "0L as epoch", "false as tick", "cast(start_us as long) as t_us", "frame_idx")
+    rows = rows.union(ticks.selectExpr("clip_id", "0L", "true", "t_us", "cast(null as int)"))
+    return _fed(s, rows.selectExpr("*", quarter), 4, live.present)
 
 
-_add("x02_latest_epoch", _epochs, "with t as (select user_id as clip_id, event_id % 3 as epoch, event_id as pts from events) select * from t qualify epoch = max(epoch) over (partition by clip_id)")
+# by falling epochs, the newest first: all later batches are old for the clips that had it
+_add("x02_latest_epoch", lambda s, d: _epochs(s, d, (2, 1, 0)).select("clip_id", "epoch", "pts"), "with t as (select user_id as clip_id, 2 - event_id % 3 as epoch, event_id as pts from events) select * from t qualify epoch = max(epoch) over (partition by clip_id)")
 _add("x03_presented_frames", _presented, _FR + f", {_TICKS}, td as (select distinct * from tk) select t.clip_id, t.t_us, max(f.frame_idx) as frame_idx from td t left join fc f on f.clip_id = t.clip_id and f.start_us <= t.t_us group by all")

@@ -79,4 +79,4 @@ def _stream(s, d):
 
 _add("x01_running_histogram", _stream, f"with {X.PIXELS_SQL}, t as (select image_id, unnest(['r', 'g', 'b']) as channel, unnest([r, g, b]) as bin from pixels) select image_id, channel, bin, count(*) as n from t group by 1, 2, 3")
 
-from prismframe import catalog_extra  # noqa: E402, F401
+from prismframe import catalog_extra, catalog_recipes  # noqa: E402, F401

@@ -12,7 +12,9 @@ def format_size(n: str) -> str:
 
 
 def format_count(n: str) -> str:
-    return f"case when {n} >= 1000000 then format_string('%.1fM', {n} / 1000000D) when {n} >= 1000 then format_string('%.1fK', {n} / 1000D) else cast({n} as string) end"
+    """Millions and thousands with one decimal, of a 32-bit quotient whose exact decimal value is rounded, ties to the even digit."""
+    short = lambda by: f"cast(bround(cast(cast(cast({n} as float) / cast({by} as float) as float) as decimal(38, 18)), 1) as string)"
+    return f"case when {n} >= 1000000 then concat({short(1000000)}, 'M') when {n} >= 1000 then concat({short(1000)}, 'K') else cast({n} as string) end"
 
 
 def gcd(a: str, b: str) -> str:

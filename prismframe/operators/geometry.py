@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 CHANNELS = ("r", "g", "b", "a")
 
@@ -102,6 +103,37 @@ def mip_level(pixels: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFram
     return df.groupBy("image_id", "x", "y").agg(*(F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in CHANNELS)), small
 
 
+def pyramid(pixels: DataFrame, images: DataFrame, folder: str) -> DataFrame:
+    """(level, image_id, x, y, r, g, b, a) of all levels, from 0 (the pixels) down to one pixel, as one table in ``folder``.
+
+    A picture has as many levels as its longer side has binary digits and leaves the loop after its last one; every level
+    is written once and the next one read from it."""
+    spark = pixels.sparkSession
+    last = images.agg(F.max(F.expr("length(bin(greatest(w, h)))"))).first()[0] or 0
+    schema = pixels.select("image_id", "x", "y", *CHANNELS).schema
+    for level in range(last):
+        if level:
+            left = images.where("greatest(w, h) > 1")
+            pixels, images = mip_level(pixels.join(left.select("image_id"), "image_id", "left_semi"), left)
+        pixels.select("image_id", "x", "y", *CHANNELS).write.mode("overwrite").parquet(f"{folder}/level={level}")
+        pixels = spark.read.schema(schema).parquet(f"{folder}/level={level}")
+    if not last:
+        return pixels.selectExpr("0 as level", "image_id", "x", "y", *CHANNELS).limit(0)
+    return spark.read.schema(schema.add("level", IntegerType())).parquet(folder).select("level", "image_id", "x", "y", *CHANNELS)
+
+
+def base_rotation(matrix: str) -> str:
+    """SQL: clockwise quarter turns of a display matrix (an array of nine numbers by rows, 16.16 fixed point or plain), 0 if it has none."""
+    a, b = f"get({matrix}, 0)", f"get({matrix}, 1)"
+    return f"if(coalesce({a}, 0) = 0 and coalesce({b}, 0) = 0, 0, cast(pmod(cast(floor(degrees(atan2(cast({b} as double), cast({a} as double))) / 90 + 0.5) as int), 4) as int))"
+
+
+def fit_scale(images: DataFrame, width: float, height: float) -> DataFrame:
+    """images with the scales at which a picture, upright and turned, just fits a window."""
+    fit = lambda w, h: f"least({float(width)}D / {w}, {float(height)}D / {h})"
+    return images.selectExpr("image_id", f"{fit('w', 'h')} as upright", f"{fit('h', 'w')} as turned")
+
+
 def pixel_sort(pixels: DataFrame, threshold: float = 0.5, angle: int = 90) -> DataFrame:
     """Runs of bright pixels along rows (0, 180) or columns (90, 270), stably sorted by brightness; 180 and 270 mirror the ranks.
 

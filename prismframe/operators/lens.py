@@ -29,29 +29,52 @@ def motion_taps(angle: float, distance: float) -> list[tuple[int, int, float]]:
     return [(x, y, w) for (x, y), w in taps.items()]
 
 
+def _reached(c: str, n: str, d: str) -> tuple[str, str]:
+    """SQL: first and last place (none if the last is less) that reads source place ``c`` at an offset ``d`` along a side of ``n``;
+    the side's ends stand for all places beyond them."""
+    return f"if({c} = 0, 0, greatest({c} - {d}, 0))", f"if({c} = {n} - 1, {n} - 1, least({c} - {d}, {n} - 1))"
+
+
+def scatter(pixels: DataFrame, images: DataFrame, taps: list[tuple[int, int, float]]) -> DataFrame:
+    """out(x, y) = sum of weight * in(x + dx, y + dy), places beyond an edge being the edge's.
+
+    Each pixel gives its shares to the places that read it, so shares are added up before the only shuffle, and no
+    pixel is looked up.  Weights are whole multiples of 2^-40, so sums do not depend on their order."""
+    each = F.explode(F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(round(w * (1 << 40))).cast("long").alias("weight")) for x, y, w in taps)))
+    (x0, x1), (y0, y1) = _reached("x", "w", "t.dx"), _reached("y", "h", "t.dy")
+    given = G.with_dims(pixels, images).select("*", each.alias("t"))
+    given = given.selectExpr("image_id", f"{x0} as x0", f"{x1} as x1", f"{y0} as y0", f"{y1} as y1", "t.weight", *G.CHANNELS).where("x0 <= x1 and y0 <= y1")
+    given = given.selectExpr("image_id", "explode(sequence(x0, x1)) as x", "y0", "y1", "weight", *G.CHANNELS).selectExpr("image_id", "x", "explode(sequence(y0, y1)) as y", "weight", *G.CHANNELS)
+    sums = [F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.sum(F.col(c) * F.col("weight")) / (1 << 40) + 0.5))).cast("int").alias(c) for c in G.CHANNELS]
+    return given.groupBy("image_id", "x", "y").agg(*sums)
+
+
 def motion_blur(pixels: DataFrame, images: DataFrame, angle: float = 0.0, distance: float = 20.0) -> DataFrame:
     """The mean of up to 128 samples along a line through each pixel; places beyond an edge are the edge's."""
-    if not distance:
-        return pixels
-    taps = F.explode(F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(round(w * (1 << 40))).cast("long").alias("weight")) for x, y, w in motion_taps(angle, distance))))
-    at = G.with_dims(pixels.select("image_id", "x", "y"), images).select("*", taps.alias("t"))
-    at = at.selectExpr("image_id", "x as ox", "y as oy", "cast(least(greatest(x + t.dx, 0), w - 1) as int) as x", "cast(least(greatest(y + t.dy, 0), h - 1) as int) as y", "t.weight")
-    at = at.groupBy("image_id", "ox", "oy", "x", "y").agg(F.sum("weight").alias("weight"))
-    sums = [F.floor(F.sum(F.col(c) * F.col("weight")) / (1 << 40) + 0.5).cast("int").alias(c) for c in G.CHANNELS]
-    return at.join(pixels, ["image_id", "x", "y"]).groupBy("image_id", F.col("ox").alias("x"), F.col("oy").alias("y")).agg(*sums)
+    return scatter(pixels, images, motion_taps(angle, distance)) if distance else pixels
 
 
 def chromatic_aberration(pixels: DataFrame, images: DataFrame, amount: float = 5.0) -> DataFrame:
-    """Red is sampled further from the centre and blue nearer to it, by ``amount`` pixels at the image's side."""
-    sized = G.with_dims(pixels, images).selectExpr("*", "cast(y as long) * w + x as pt", "(x + 0.5D) / w as u", "(y + 0.5D) / h as v")
+    """Red is sampled further from the centre and blue nearer to it, by ``amount`` pixels at the image's side.
+
+    The places sampled depend on sizes only, along each side apart: two small tables of taps are joined to the pixels, each of
+    which gives its shares to the places that sample it, in one shuffle."""
+    sizes = images.select("w", "h").distinct()
 
-    def channel(c: str, sign: int) -> DataFrame:
-        moved = lambda p, n: f"least(greatest({p} + ({p} - 0.5D) * ({sign} * {float(amount)}D / w), 0D), 1D) * {n} - 0.5D"
-        points = sized.selectExpr("image_id", "pt", f"{moved('u', 'w')} as fx", f"{moved('v', 'h')} as fy")
-        return P.sample_bilinear(pixels, images, points).select("image_id", "pt", F.col(c).alias(f"{c}_moved"))
+    def taps(n: str, place: str, out: str, weight: str) -> DataFrame:
+        u = f"(({out} + 0.5D) / {n})"
+        moved = f"least(greatest({u} + ({u} - 0.5D) * (sign * {float(amount)}D / w), 0D), 1D) * {n} - 0.5D"
+        at = sizes.selectExpr("w", "h", f"explode(sequence(0, {n} - 1)) as {out}").selectExpr("*", "explode(array(1, -1)) as sign").selectExpr("*", f"{moved} as f")
+        corner = lambda d, share: f"struct(cast(least(greatest(floor(f) + {d}, 0), {n} - 1) as int) as s, {share} as share)"
+        at = at.selectExpr("w", "h", out, "sign", f"explode(array({corner(0, '1 - (f - floor(f))')}, {corner(1, 'f - floor(f)')})) as c")
+        return at.where("c.share > 0").selectExpr("w", "h", "sign", f"c.s as {place}", out, f"c.share as {weight}")
 
-    out = sized.join(channel("r", 1), ["image_id", "pt"]).join(channel("b", -1), ["image_id", "pt"])
-    return out.selectExpr("image_id", "x", "y", "r_moved as r", "g", "b_moved as b", "a")
+    sized = G.with_dims(pixels, images)
+    shares = sized.join(taps("w", "x", "ox", "wx"), ["w", "h", "x"]).join(taps("h", "y", "oy", "wy"), ["w", "h", "y", "sign"])
+    shares = shares.selectExpr("image_id", "ox as x", "oy as y", *(f"if(sign = {sign}, cast({c} * round(wx * wy * {1 << 40}L) as long), 0L) as {c}" for c, sign in (("r", 1), ("b", -1))), "0 as g", "0 as a")
+    own = pixels.selectExpr("image_id", "x", "y", "0L as r", "0L as b", "g", "a")
+    mixed = lambda c: F.floor(F.sum(c) / (1 << 40) + 0.5).cast("int").alias(c)
+    return shares.unionByName(own).groupBy("image_id", "x", "y").agg(mixed("r"), F.max("g").alias("g"), mixed("b"), F.max("a").alias("a")).select("image_id", "x", "y", *G.CHANNELS)
 
 
 def resize_dims(images: DataFrame, mode: str, w: float, h: float) -> DataFrame:
@@ -63,7 +86,11 @@ def resize_dims(images: DataFrame, mode: str, w: float, h: float) -> DataFrame:
 
 def resize_to(pixels: DataFrame, images: DataFrame, mode: str, w: float, h: float, kind: str = "bilinear") -> DataFrame:
     """Each side to its own size: width first, then height; an image that keeps its size is untouched."""
-    sized = resize_dims(images, mode, w, h)
+    return resize_sized(pixels, resize_dims(images, mode, w, h), kind)
+
+
+def resize_sized(pixels: DataFrame, sized: DataFrame, kind: str = "bilinear") -> DataFrame:
+    """To the sizes in images(image_id, w, h, new_w, new_h)."""
     out = pixels
     for axis, n in (("x", "w"), ("y", "h")):
         lengths = sized.select(F.col(n).alias("n"), F.col(f"new_{n}").alias("m")).distinct()

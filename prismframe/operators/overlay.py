@@ -45,21 +45,36 @@ def draw_layer(pixels: DataFrame, images: DataFrame, layer: DataFrame, layer_ima
     return out.selectExpr("image_id", "x", "y", *map(blended, "rgb"), "if(coalesce(la, 0D) <= 0, a, cast(floor((la + a / 255D * (1 - la)) * 255 + 0.5) as int)) as a")
 
 
-def draw_labels(pixels: DataFrame, boxes: DataFrame, field: DataFrame, edge: float = 0.5, soft: float = 0.1, cell: int = 32) -> DataFrame:
+def draw_labels(pixels: DataFrame, boxes: DataFrame, field: DataFrame, edge: float = 0.5, soft: float | None = None, cell: int = 32) -> DataFrame:
     """Glyphs over pixels: boxes(image_id, glyph, left, top, right, bottom, cx, cy, angle, opacity, cr, cg, cb) in block space around
-    (cx, cy), turned by ``angle`` radians, and field(glyph, u, v, d) distances on a grid of each glyph (u, v from 0).
+    (cx, cy), turned by ``angle`` radians, and distances of each glyph on a grid (u, v from 0): field(glyph, u, v, d), or
+    field(glyph, u, v, r, g, b) in bytes, of which the median counts.
 
-    Boxes meet pixels by grid cells of the image; coverage is the largest over glyphs, then the colour is blended."""
+    A distance is taken between the four grid points around, and coverage rises smoothly around ``edge`` by the softness: ``soft``, or
+    1.5 / the longer side of all boxes around one centre (0.0001 to 0.5).  Boxes meet pixels by grid cells of the image;
+    coverage is the largest over glyphs, then the colour is blended."""
+    if "d" not in field.columns:
+        field = field.selectExpr("glyph", "u", "v", "greatest(least(r, g), least(greatest(r, g), b)) / 255D as d")
     grid = field.groupBy("glyph").agg((F.max("u") + 1).alias("gw"), (F.max("v") + 1).alias("gh"))
+    if soft is None:
+        side = boxes.groupBy("image_id", "cx", "cy", "angle").agg(F.expr("greatest(max(right) - min(left), max(bottom) - min(top), 1D)").alias("side"))
+        boxes = boxes.join(side, ["image_id", "cx", "cy", "angle"]).selectExpr("*", "least(greatest(1.5D / side, 0.0001D), 0.5D) as aa").drop("side")
+    else:
+        boxes = boxes.withColumn("aa", F.lit(float(soft)))
     reach = "greatest(sqrt(left * left + top * top), sqrt(right * right + bottom * bottom), sqrt(left * left + bottom * bottom), sqrt(right * right + top * top))"
     span = lambda c, out: f"explode(sequence(cast(floor(({c} - reach) / {cell}) as int), cast(floor(({c} + reach) / {cell}) as int))) as {out}"
     dealt = boxes.join(grid, "glyph").selectExpr("*", f"{reach} as reach").selectExpr("*", span("cx", "gx")).selectExpr("*", span("cy", "gy"))
     near = pixels.selectExpr("image_id", "x", "y", f"x div {cell} as gx", f"y div {cell} as gy").join(dealt, ["image_id", "gx", "gy"])
     near = near.selectExpr("*", "(x + 0.5 - cx) * cos(angle) + (y + 0.5 - cy) * sin(angle) as bx", "(y + 0.5 - cy) * cos(angle) - (x + 0.5 - cx) * sin(angle) as by")
-    near = near.where("bx >= left and bx < right and by >= top and by < bottom")
-    near = near.selectExpr("*", "least(cast(floor((bx - left) / (right - left) * gw) as int), gw - 1) as u", "least(cast(floor((by - top) / (bottom - top) * gh) as int), gh - 1) as v")
-    t = f"least(greatest((d - {edge - soft}) / {2 * soft}, 0D), 1D)"
-    cover = near.join(field, ["glyph", "u", "v"]).selectExpr("image_id", "x", "y", f"{t} * {t} * (3 - 2 * {t}) * opacity as la", "cr", "cg", "cb")
+    near = near.where("bx >= left and bx < right and by >= top and by < bottom").withColumn("box", F.struct("left", "top", "aa", "opacity", "cr", "cg", "cb"))
+    place = lambda p, lo, hi, n: f"least(greatest(({p} - {lo}) / ({hi} - {lo}) * {n} - 0.5D, 0D), {n} - 1D)"
+    near = near.selectExpr("*", f"{place('bx', 'left', 'right', 'gw')} as fu", f"{place('by', 'top', 'bottom', 'gh')} as fv").selectExpr("*", "cast(floor(fu) as int) as u0", "cast(floor(fv) as int) as v0")
+    corner = lambda du, dv: f"struct(least(u0 + {du}, gw - 1) as u, least(v0 + {dv}, gh - 1) as v, {'(fu - u0)' if du else '(1 - fu + u0)'} * {'(fv - v0)' if dv else '(1 - fv + v0)'} as share)"
+    near = near.selectExpr("image_id", "x", "y", "glyph", "box", "explode(array(" + ", ".join(corner(du, dv) for dv in (0, 1) for du in (0, 1)) + ")) as t").selectExpr("image_id", "x", "y", "glyph", "box", "t.*")
+    shares = F.sum((F.col("d") * F.round(F.col("share") * (1 << 40))).cast("decimal(38,12)")).cast("double") / float(1 << 40)
+    met = near.join(field, ["glyph", "u", "v"]).groupBy("image_id", "x", "y", "glyph", "box").agg(shares.alias("d"))
+    t = f"least(greatest((d - {edge} + box.aa) / (2 * box.aa), 0D), 1D)"
+    cover = met.selectExpr("image_id", "x", "y", f"{t} * {t} * (3 - 2 * {t}) * box.opacity as la", "box.cr as cr", "box.cg as cg", "box.cb as cb")
     best = cover.groupBy("image_id", "x", "y").agg(F.max(F.struct("la", "cr", "cg", "cb")).alias("p")).select("image_id", "x", "y", "p.*")
     out = pixels.join(best, ["image_id", "x", "y"], "left")
     blended = lambda c: f"if(coalesce(la, 0D) <= 0, {c}, cast(floor({P.blend_over(f'c{c} / 255D', f'{c} / 255D', 'la', 'a / 255D')} * 255 + 0.5) as int)) as {c}"

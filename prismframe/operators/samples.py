@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from prismframe.operators.geometry import CHANNELS, with_dims
 
 
+def expand_layout(samples: DataFrame) -> DataFrame:
+    """samples(image_id, x, y, c: array of 1 to 4 channels) -> r, g, b, a: grey stands for all three, missing alpha is 255."""
+    n = "size(c)"
+    return samples.selectExpr("image_id", "x", "y", "c[0] as r", f"if({n} > 2, get(c, 1), c[0]) as g", f"if({n} > 2, get(c, 2), c[0]) as b", f"case {n} when 2 then get(c, 1) when 4 then get(c, 3) else 255 end as a")
+
+
+def to_u8(c: str, bits: int = 16) -> str:
+    """SQL: the upper 8 of ``bits`` bits."""
+    return f"shiftright({c}, {bits - 8})"
+
+
+def swizzle(pixels: DataFrame, order: str = "bgra") -> DataFrame:
+    """Channels stored as ``order``, read as r, g, b, a."""
+    return pixels.selectExpr("image_id", "x", "y", *(f"{'rgba'[order.index(c)]} as {c}" for c in CHANNELS))
+
+
 def tonemap(c: str, peak: str) -> str:
     """SQL: Reinhard by the peak channel, gamma 1/2.2, truncated to 8 bits."""
     return f"cast(floor(pow(least(greatest({c} * if({peak} > 1e-6, 1 / (1 + {peak}), 1D), 0D), 1D), 1 / 2.2D) * 255) as int)"
@@ -57,14 +73,38 @@ def sample_nearest(pixels: DataFrame, images: DataFrame, points: DataFrame) -> D
     return points.join(images, "image_id").selectExpr("image_id", "pt", f"{place('fu', 'w')} as x", f"{place('fv', 'h')} as y").join(pixels, ["image_id", "x", "y"])
 
 
-def pixel_patch(pixels: DataFrame, points: DataFrame, n: int) -> DataFrame:
-    """The n x n neighbourhood of each point (image_id, pt, px, py); outside is transparent black."""
-    k = n // 2
-    grid = points.selectExpr("*", f"explode(sequence(-{k}, {k})) as dx").selectExpr("*", f"explode(sequence(-{k}, {k})) as dy")
-    near = grid.selectExpr("image_id", "pt", "dx", "dy", "cast(px + dx as int) as x", "cast(py + dy as int) as y").join(pixels, ["image_id", "x", "y"], "left")
+def pick_color(pixels: DataFrame, images: DataFrame, sources: DataFrame, points: DataFrame) -> DataFrame:
+    """points(image_id, pt, px, py) on sources(image_id, w, h) -> the colour there of a picture of another size (``images``), with
+    uv = place / size of the source.  Places map by whole-number ratios and are held within the picture."""
+    at = points.join(sources.selectExpr("image_id", "w as sw", "h as sh"), "image_id").join(images.select("image_id", "w", "h"), "image_id")
+    place = lambda p, n, s: f"cast(greatest(least({p} * cast({n} as long) div greatest({s}, 1), {n} - 1), 0) as int)"
+    at = at.selectExpr("image_id", "pt", f"{place('px', 'w', 'sw')} as x", f"{place('py', 'h', 'sh')} as y", "px / cast(sw as double) as u", "py / cast(sh as double) as v")
+    return at.join(pixels, ["image_id", "x", "y"])
+
+
+#: The step in the picture of a step (dx, dy) on the screen, for each number of quarter turns.
+_TURNED = (("dx", "dy"), ("dy", "-dx"), ("-dx", "-dy"), ("-dy", "dx"))
+
+
+def pixel_patch(pixels: DataFrame, points: DataFrame, n: int, quarters: int = 0) -> DataFrame:
+    """The n x n neighbourhood of each point (image_id, pt, px, py) as seen after so many quarter turns; outside is transparent black."""
+    k, (x, y) = n // 2, _TURNED[quarters % 4]
+    grid = points.selectExpr("*", f"explode(sequence(-{k}, {n - 1 - k})) as dx").selectExpr("*", f"explode(sequence(-{k}, {n - 1 - k})) as dy")
+    near = grid.selectExpr("image_id", "pt", "dx", "dy", f"cast(px + {x} as int) as x", f"cast(py + {y} as int) as y").join(pixels, ["image_id", "x", "y"], "left")
     return near.select("image_id", "pt", "dx", "dy", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in CHANNELS))
 
 
+def rects_contain(outer: DataFrame, inner: DataFrame, slack: float = 0.5, cell: int = 16) -> DataFrame:
+    """Pairs (image_id, id, id2) of rectangles (image_id, id, l, t, r, b) where the outer one, grown by ``slack``, holds the inner one.
+
+    An inner rectangle stands in the cell of its corner only, an outer one in all cells it reaches, so each pair meets once."""
+    span = lambda lo, hi, out: f"explode(sequence(cast(floor(({lo} - {slack}) / {cell}) as int), cast(floor(({hi} + {slack}) / {cell}) as int))) as {out}"
+    wide = outer.where("r >= l and b >= t").selectExpr("*", span("l", "r", "cx")).selectExpr("*", span("t", "b", "cy"))
+    one = inner.where("r >= l and b >= t").selectExpr("image_id", "id as id2", "l as l2", "t as t2", "r as r2", "b as b2", f"cast(floor(l / {cell}D) as int) as cx", f"cast(floor(t / {cell}D) as int) as cy")
+    held = f"l2 >= l - {slack} and t2 >= t - {slack} and r2 <= r + {slack} and b2 <= b + {slack}"
+    return wide.join(one, ["image_id", "cx", "cy"]).where(held).select("image_id", "id", "id2")
+
+
 def blend_over(c: str, d: str, sa: str, da: str) -> str:
     """SQL: channel of source (c, alpha sa) over destination (d, alpha da), straight alpha in 0..1."""
     out = f"({sa} + {da} * (1 - {sa}))"

@@ -49,6 +49,41 @@ def fingerprint(pixels: DataFrame) -> DataFrame:
     return row.groupBy("image_id").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("y", "row")))).alias("digest"))
 
 
+def hist_scale(hist: DataFrame) -> DataFrame:
+    """(image_id, channel, bin, n, top, ratio): each bin's share of the image's largest bin, 0 for an empty histogram."""
+    top = hist.groupBy("image_id").agg(F.max("n").alias("top"))
+    return hist.join(top, "image_id").selectExpr("image_id", "channel", "bin", "n", "top", "if(top > 0, n / cast(top as double), 0D) as ratio")
+
+
+def occupied_bins(hist: DataFrame) -> DataFrame:
+    return hist.groupBy("image_id", "channel").agg(F.count_if(F.col("n") > 0).alias("bins"))
+
+
+def bounding_box(pixels: DataFrame, touched: str) -> DataFrame:
+    """The box (x0, y0, x1, y1; ends exclusive) of each image's pixels for which the SQL condition holds."""
+    box = [F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1")]
+    return pixels.where(touched).groupBy("image_id").agg(*box)
+
+
+def assign_tiles(pixels: DataFrame, size: int) -> DataFrame:
+    """Pixels with their tile and their place in it."""
+    return pixels.selectExpr("image_id", f"x div {size} as tx", f"y div {size} as ty", f"cast(x % {size} as int) as ix", f"cast(y % {size} as int) as iy", "r", "g", "b", "a")
+
+
+def pack_rows(pixels: DataFrame) -> DataFrame:
+    """(image_id, y, packed): a line's pixels in order of x, four bytes each."""
+    byte = "concat(" + ", ".join(f"unhex(lpad(hex(v.{c}), 2, '0'))" for c in "rgba") + ")"
+    line = pixels.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "r", "g", "b", "a"))).alias("line"))
+    return line.selectExpr("image_id", "y", f"unhex(array_join(transform(line, v -> hex({byte})), '')) as packed")
+
+
+def unpack_rows(rows: DataFrame) -> DataFrame:
+    """The pixels of ``pack_rows``."""
+    value = lambda k: f"cast(conv(substring(p, {2 * k + 1}, 2), 16, 10) as int)"
+    each = rows.selectExpr("image_id", "y", "posexplode(regexp_extract_all(hex(packed), '.{8}', 0)) as (x, p)")
+    return each.selectExpr("image_id", "x", "y", *(f"{value(k)} as {c}" for k, c in enumerate("rgba")))
+
+
 def tile_grid(images: DataFrame, size: int) -> DataFrame:
     cells = images.selectExpr("*", f"explode(sequence(0, cast(ceil(w / {size}) as int) - 1)) as tx").selectExpr("*", f"explode(sequence(0, cast(ceil(h / {size}) as int) - 1)) as ty")
     return cells.selectExpr("image_id", "tx", "ty", f"least({size}, w - tx * {size}) as tile_w", f"least({size}, h - ty * {size}) as tile_h")

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from prismframe import catalog_more as catalog
@@ -21,7 +22,7 @@ def duck():
 
 def rows(frame):
     columns = sorted(frame.columns)
-    value = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) else str(v)
+    value = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, (int, float)) else str(v)
     return columns, sorted(map(repr, ([value(v) for v in r] for r in frame[columns].astype(object).itertuples(index=False))))
 
 
