@@ -10,7 +10,7 @@ pages' own words (``train_words`` at most) in a range of layouts whose blocks' l
 with menus, headers, footers, sidebars, notices, adverts, forms and reader comments around or inside
 the article.  The network is small (fixed size), trained on the driver and shipped to the tasks.
 
-Scripts, styles, templates, comments and markup never become blocks.  ``<br>`` is white space.  Null
+Heads, scripts, styles, templates, drawings (svg), comments and markup never become blocks; what stands in ``<noscript>`` does.  ``<br>`` is white space.  Null
 and empty html give an empty text.  Null urls and repeated rows are carried; other columns are ignored.
 """
 
@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 
 from prismframe.llm.common import table
 
-#: No part of a tag is looked for beyond the next ``<``, so reading is linear; an unbalanced quote ends at the next ``>``.
-#: A head without an end tag ends at the first element that cannot stand in it.
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|template)\b[^<>]*/>|<head\b[^<>]*>.*?(?:</head\s*>|(?=<(?:body|div|p|h[1-6]|article|main|section|header|nav|ul|table)\b)|\Z)"
-    r"|<(script|style|template|noscript|svg)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+(?=>)|[^<>]*+)>|<[!?][^<>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?][^<>]*>", re.DOTALL)
+#: A tag up to its end, with whole quoted values, which may hold ``<`` and ``>``; or, where quotes are broken, up to the next ``>`` before
+#: any ``<``.
+_QUOTED, _PLAIN = re.compile(r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"), re.compile(r"[^<>]*+")
+#: Failed readings of whole quoted values may cost so many times the page's length; then quotes count as broken, so that reading is linear.
+_BROKEN = 8
+#: Elements whose content is no text, and where they end; a head without an end tag ends at the first element that cannot stand in it.
+_RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "template", "svg")}
+_RAW["head"] = re.compile(r"</head\s*>|(?=<(?:body|div|p|h[1-6]|article|main|section|header|nav|ul|table)\b)", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
@@ -70,25 +71,40 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 del stack[k:]
                 return
 
-    at, in_link = 0, False
-    for m in _TOKEN.finditer(page):
+    at = look = spent = 0
+    in_link = False
+    while m := _TOKEN.search(page, look):
+        end, name, attributes = m.end(), m[2], ""
+        if name:
+            until = _QUOTED.match(page, end).end() if spent <= _BROKEN * len(page) else end
+            if page[until : until + 1] != ">":
+                spent += until - end
+                until = _PLAIN.match(page, end).end()
+            if page[until : until + 1] != ">":
+                look = end  # no tag: its characters are text
+                continue
+            attributes, end = page[end:until], until + 1
         if m.start() > at:
             held.append(piece := page[at : m.start()])
             if in_link:
                 linked[0] += len(piece)
-        at = m.end()
-        name = m[3]
+        at = look = end
         if not name:
             continue
         name = name.lower()
+        if name in _RAW and not m[1]:
+            if name not in ("svg", "template") or not attributes.endswith("/"):
+                closing = _RAW[name].search(page, end)
+                at = look = closing.end() if closing else len(page)
+            continue
         if name in _INLINE:
             if name == "br":
                 held.append(" ")
             elif name == "a":
-                in_link = not m[2]
+                in_link = not m[1]
             continue
         close()
-        if m[2]:
+        if m[1]:
             if any(n == name for n, _ in stack):
                 pop((name,))
             continue
@@ -96,8 +112,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             stack.pop()
         elif name in _SAME and stack and stack[-1][0] in _SAME[name]:
             pop(_SAME[name])
-        if name not in _VOID and not m[4].endswith("/"):
-            stack.append((name, _parts(name, m[4])))
+        if name not in _VOID and not attributes.endswith("/"):
+            stack.append((name, _parts(name, attributes)))
     if at < len(page):
         held.append(page[at:])
     close()
