@@ -100,3 +100,30 @@ def test_rows_keep_their_roles_and_near_control_strings(spark):
     back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["back"]] for r in out}
     assert back == {1: [("human", "[s> <INST] <s>"), ("gpt", ""), ("assistant", "a\\b</s>")], None: [("", "x")]}
     assert next(r["formatted"] for r in out if r["conv_id"] == 1).startswith("<s>human[INST][s> <INST] <\\s>[/INST]</s>")
+
+
+def test_other_fields_and_empty_lists_keep_their_layout(spark):
+    records = [
+        '{"id":7,"prompt":"p","completion":"c","meta":{"a":1}}', '{"messages":[],"source":"x"}', '{"messages":[{"role":"user","content":"q","name":"n"},{"role":"gpt","content":"r"}],"model":"m"}',
+        '{"system":"s","messages":[{"role":"user","content":"q"}],"prompt":"unused"}', '{"data":{"question":"q","answer":"a","n":1},"n":2}', '{"prompt":"p"}', "no json", None, '{"prompt":"[1","completion":"{x"}',
+        '{"messages":[{"content":"only"}]}', '{"turns":[]}',
+    ]
+    got = chat.format_chats(spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, record string")).orderBy("i").collect()
+    assert [r["layout"] for r in got] == ["prompt-completion", "messages", "messages", "messages+system", "nested-data", None, None, None, "prompt-completion", None, "turns"]
+    said = [None if r["turns"] is None else [(t["role"], t["text"]) for t in r["turns"]] for r in got]
+    assert said[0] == [("user", "p"), ("assistant", "c")] and said[1] == [] and said[2] == [("user", "q"), ("assistant", "r")] and said[3] == [("system", "s"), ("user", "q")]
+    assert said[8] == [("user", "[1"), ("assistant", "{x")] and said[10] == []
+
+
+def test_texts_of_more_than_twenty_million_characters(spark):
+    rows = spark.sql("select 1L as conv_id, 0L as turn, 'user' as role, 'q' as text union all select 1L, 1L, 'assistant', repeat('ab<s>', 4300000)")
+    for out in (chat.format_turn_rows(chat.turns_of_rows(rows)), chat.format_chats(chat.records_of_rows(rows)), chat.format_chats(chat.recorded(chat.turns_of_rows(rows)))):
+        one = out.selectExpr("layout", "size(turns) as n", "length(turns[1].text) as said", "loss[0].end - loss[0].start as masked").first()
+        assert (one["n"], one["said"], one["masked"]) == (2, 21_500_000, 25_800_000)
+
+
+def test_repeated_rows_and_an_empty_table_of_turns(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "x", 3), (1, 0, "user", "x", 4), (1, None, "system", "y" * 100_000, 3)], "conv_id long, turn long, role string, text string, turns long")
+    one = chat.format_turn_rows(chat.turns_of_rows(rows)).first()
+    assert [(t["role"], len(t["text"])) for t in one["turns"]] == [("system", 100_000), ("user", 1), ("user", 1)]
+    assert chat.format_turn_rows(chat.turns_of_rows(rows.limit(0))).count() == 0
