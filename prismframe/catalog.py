@@ -133,6 +133,11 @@ _add("a04_hist_scale", lambda spark, d: _hist(spark, d).groupBy("image_id").agg(
 _add("a12_occupied_bins", lambda spark, d: _hist(spark, d).groupBy("image_id", "channel").agg(F.count_if(F.col("n") > 0).alias("bins")), _PX + "select image_id, channel, count(*) filter (n > 0) as bins from hist group by 1, 2")
 _add("a08_diff_stats", lambda spark, d: S.diff_stats(X.pixels(spark, d), C.fuse([C.exposure(0.1)])(X.pixels(spark, d)), 8), f"with {X.PIXELS_SQL}, t as (select image_id, unnest([abs(r - {_Q.format('r / 255.0 * pow(2.0, 0.1)')}), abs(g - {_Q.format('g / 255.0 * pow(2.0, 0.1)')}), abs(b - {_Q.format('b / 255.0 * pow(2.0, 0.1)')}), 0]) as d from pixels) select image_id, max(d) as max_diff, 100 * avg((d > 8)::int::double) as pct_over from t group by 1")
 _add("a09_fingerprint", lambda spark, d: S.fingerprint(X.pixels(spark, d)))
+_add(
+    "a09_same_pictures", lambda spark, d: S.same_pictures(C.fuse([C.threshold(0.5)])(X.pixels(spark, d).where("x in (0, 30) and y < 2"))),
+    f"with {X.PIXELS_SQL}, t as (select image_id, string_agg(case when 0.2126 * r + 0.7152 * g + 0.0722 * b >= 127.5 then '1' else '0' end, '' order by y, x) as bits from pixels where x in (0, 30) and y < 2 group by 1) "
+    "select image_id, min(image_id) over (partition by bits) as first_id, count(*) over (partition by bits) as copies from t",
+)
 _add("a10_bounding_box", lambda spark, d: X.pixels(spark, d).where("r > 180").groupBy("image_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1")), f"with {X.PIXELS_SQL} select image_id, min(x) as x0, min(y) as y0, max(x) + 1 as x1, max(y) + 1 as y1 from pixels where r > 180 group by 1")
 
 # Geometry.

@@ -80,7 +80,33 @@ _add(
     "g02_resize_to_pixels", lambda s, d: lens.resize_to(_px(s, d), _im(s, d), "pixels", 40, 77, "nearest"),
     f"with {X.PIXELS_SQL}, {X.IMAGES_SQL}, o as (select image_id, w, h, unnest(range(40)) as x from images), p as (select *, unnest(range(77)) as y from o), q as (select image_id, x::int as x, y::int as y, least(floor((x + 0.5) / (40.0::double / w)), w - 1) as sx, least(floor((y + 0.5) / (77.0::double / h)), h - 1) as sy from p) select q.image_id, q.x, q.y, r, g, b, a from q join pixels s on s.image_id = q.image_id and s.x = sx and s.y = sy",
 )
-_add("k02_scaled_blur", lambda s, d: lens.wide_gaussian_blur(_px(s, d), _im(s, d), 100))
+
+
+def _passes(steps: list[tuple[str, str, str, str]], sizes: str) -> str:
+    """DuckDB SQL of tap passes, each (axis, old length, new length, SQL of v by t or k) over the CTE ``sz`` (image_id and lengths)."""
+    parts, at = [f"with {X.PIXELS_SQL}, {X.IMAGES_SQL}, {sizes}"], "pixels"
+    for i, (axis, n, m, rule) in enumerate(steps):
+        reach, weight = rule.split("|")
+        wide = "1.0::double" if "k * k" in weight else "greatest(n / m::double, 1)"
+        parts.append(f"o{i} as (select *, (o + 0.5) * n / m::double as pos, {wide} as wide from (select n, m, unnest(range(m)) as o from (select distinct {n} as n, {m} as m from sz)))")
+        if "k * k" in weight:  # around each place, edges repeated
+            parts.append(f"v{i} as (select n, m, o, least(greatest(o + k, 0), n - 1) as s, {weight} as v from (select *, unnest(range(-{reach}, {reach} + 1)) as k from o{i}))")
+        else:
+            parts.append(f"v{i} as (select n, m, o, s, {weight} as v from (select *, abs((s + 0.5 - pos) / wide) as t from (select *, unnest(range(greatest(floor(pos - {reach} * wide), 0)::int, least(ceil(pos + {reach} * wide), n)::int)) as s from o{i})))")
+        parts.append(f"w{i} as (select n, m, o, s, round(sum(v) / total * 1099511627776)::bigint as wt from (select *, sum(v) over (partition by n, m, o) as total from v{i}) group by n, m, o, s, total)")
+        other = "y" if axis == "x" else "x"
+        parts.append(f"q{i} as (select image_id, o::int as {axis}, {other}, " + ", ".join(f"greatest(0, least(255, floor(sum({c}::bigint * wt) / 1099511627776.0::double + 0.5)))::int as {c}" for c in "rgba") + f" from {at} join sz using (image_id) join w{i} on w{i}.n = {n} and w{i}.m = {m} and w{i}.s = {axis} group by image_id, o, {other})")
+        at = f"q{i}"
+    return ", ".join(parts) + f" select image_id, x, y, r, g, b, a from {at}"
+
+
+_LANCZOS = "3|case when t < 1e-6 then 1.0::double when t >= 3 then 0 else 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * t * pi() * t) end"
+_HALVES = "sz as (select *, greatest(floor(w * 0.5 + 0.5), 1)::int as sw, greatest(floor(h * 0.5 + 0.5), 1)::int as sh from images)"
+_NARROW = "50|exp(-(k * k) / (2 * (50 / 3.0::double) * (50 / 3.0::double)))"
+_add(
+    "k02_scaled_blur", lambda s, d: lens.wide_gaussian_blur(_px(s, d), _im(s, d), 100),
+    _passes([("x", "w", "sw", _LANCZOS), ("y", "h", "sh", _LANCZOS), ("x", "sw", "sw", _NARROW), ("y", "sh", "sh", _NARROW), ("x", "sw", "w", "1|greatest(1 - t, 0)"), ("y", "sh", "h", "1|greatest(1 - t, 0)")], _HALVES),
+)
 
 
 def _motion_sql(angle: float, distance: float) -> str:
@@ -96,7 +122,16 @@ def _motion_sql(angle: float, distance: float) -> str:
 
 
 _add("k03_motion_blur", lambda s, d: lens.motion_blur(_px(s, d), _im(s, d), 30, 12), _motion_sql(30, 12))
-_add("k04_chromatic_aberration", lambda s, d: lens.chromatic_aberration(_px(s, d), _im(s, d), 5))
+_NEAR = "greatest(least({}, {} - 1), 0)"
+_add(
+    "k04_chromatic_aberration", lambda s, d: lens.chromatic_aberration(_px(s, d), _im(s, d), 5),
+    f"with {X.PIXELS_SQL}, {X.IMAGES_SQL}, z as (select image_id, x, y, w, h, (x + 0.5) / w::double as u, (y + 0.5) / h::double as v, unnest([1, -1]) as sg from pixels join images using (image_id)), "
+    "f as (select *, greatest(least(u + (u - 0.5) * (sg * 5 / w::double), 1), 0) * w - 0.5 as fx, greatest(least(v + (v - 0.5) * (sg * 5 / w::double), 1), 0) * h - 0.5 as fy from z), c as (select *, unnest([0, 1]) as dx from f), c2 as (select *, unnest([0, 1]) as dy from c), "
+    "t as (select image_id, x, y, sg, (case when dx = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end) * (case when dy = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end) as wt, "
+    f"{_NEAR.format('floor(fx) + dx', 'w')}::int as sx, {_NEAR.format('floor(fy) + dy', 'h')}::int as sy from c2), "
+    "g as (select t.image_id, t.x, t.y, floor(sum(case when sg = 1 then q.r * round(wt * 1099511627776)::bigint end) / 1099511627776.0::double + 0.5)::int as r, floor(sum(case when sg = -1 then q.b * round(wt * 1099511627776)::bigint end) / 1099511627776.0::double + 0.5)::int as b from t join pixels q on q.image_id = t.image_id and q.x = sx and q.y = sy group by 1, 2, 3) "
+    "select image_id, x, y, g.r, p.g, g.b, p.a from pixels p join g using (image_id, x, y)",
+)
 _angles = lambda s, d: X.read(s, d, "events").selectExpr("event_id as id", "cast(event_id * 7 % 7200 as double) / 10 - 360 as angle")
 _STEPS = ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(lens._candidates()))
 _add(
@@ -127,11 +162,43 @@ _strokes = lambda s, d: X.read(s, d, "events").groupBy(F.col("user_id").alias("s
 _add("o02_brush", lambda s, d: overlay.brush(_strokes(s, d), 0.5), "with t as (select user_id as stroke, (count(*) % 40)::double as size, user_id % 5 / 4.0 as hardness from events group by 1, 3), u as (select *, greatest(size * 0.25, 0.5) as radius from t) select stroke, size, hardness, radius + 0.5 as outer, case when hardness >= 1 then radius + 0.5 else greatest(least(radius * hardness, radius - 0.5), 0) end as inner, greatest((radius + 0.5) * 0.25, 0.35) as spacing from u".replace("as outer", 'as "outer"').replace("as inner", 'as "inner"'))
 _masks = lambda s, d: _px(s, d).selectExpr("image_id", "explode(sequence(0, 2)) as stroke", "x", "y", "r", "g", "b").where("(x + y + stroke) % 3 > 0").selectExpr("image_id", "stroke", "x", "y", "element_at(array(r, g, b), stroke + 1) as mask")
 _paint = lambda s: s.sql("select * from values (0, 0.5D, 255, 20, 40), (1, 1D, 0, 200, 90), (2, 0.25D, 10, 10, 250) as t(stroke, opacity, cr, cg, cb)")
-_add("o05_draw_strokes", lambda s, d: overlay.draw_strokes(_masks(s, d), _paint(s)))
-_add("o07_draw_layer", lambda s, d: overlay.draw_layer(_px(s, d), _im(s, d), overlay.draw_strokes(_masks(s, d), _paint(s)).where("x < 32 and y < 24"), _im(s, d).selectExpr("image_id", "32 as w", "24 as h")))
+_OVER = "({c} * {sa} + {d} * {da} * (1 - {sa})) / ({sa} + {da} * (1 - {sa}))"
+_U8 = "floor(({}) * 255 + 0.5)::int"
+
+
+def _strokes_sql() -> str:
+    """CTEs of the three strokes drawn one after another onto an empty layer: l3 has the layer."""
+    out = [f"with {X.PIXELS_SQL}, l0 as (select *, r as m0, g as m1, b as m2, 0 as r0, 0 as g0, 0 as b0, 0 as a0 from pixels)"]
+    for k, (opacity, *colour) in enumerate(((0.5, 255, 20, 40), (1, 0, 200, 90), (0.25, 10, 10, 250))):
+        out.append(f"s{k} as (select *, case when (x + y + {k}) % 3 > 0 then m{k} / 255.0::double * {opacity}::double else 0.0::double end as al from l{k})")
+        new = ", ".join(f"case when al <= 0 then {c}0 else {_U8.format(_OVER.format(c=f'({v} / 255.0::double)', d=f'({c}0 / 255.0::double)', sa='al', da='(a0 / 255.0::double)'))} end as {c}0" for c, v in zip("rgb", colour, strict=True))
+        out.append(f"l{k + 1} as (select image_id, x, y, m0, m1, m2, {new}, case when al <= 0 then a0 else {_U8.format('al + (a0 / 255.0::double) * (1 - al)')} end as a0 from s{k})")
+    return ", ".join(out)
+
+
+_BLEND = ", ".join(f"case when coalesce(la, 0) <= 0 then p.{c} else {_U8.format(_OVER.format(c=f'l{c}', d=f'p.{c} / 255.0::double', sa='la', da='(p.a / 255.0::double)'))} end as {c}" for c in "rgb") + f", case when coalesce(la, 0) <= 0 then p.a else {_U8.format('la + p.a / 255.0::double * (1 - la)')} end as a"
+_add("o05_draw_strokes", lambda s, d: overlay.draw_strokes(_masks(s, d), _paint(s)), _strokes_sql() + " select image_id, x, y, r0 as r, g0 as g, b0 as b, a0 as a from l3")
+_add(
+    "o07_draw_layer",
+    lambda s, d: overlay.draw_layer(_px(s, d), _im(s, d), overlay.draw_strokes(_masks(s, d), _paint(s)).where("x < 32 and y < 24"), _im(s, d).selectExpr("image_id", "32 as w", "24 as h")),
+    _strokes_sql() + f", {X.IMAGES_SQL}, f as (select image_id, x, y, (x + 0.5) * 32 / w::double - 0.5 as fx, (y + 0.5) * 24 / h::double - 0.5 as fy from pixels join images using (image_id)), c as (select *, unnest([0, 1]) as dx from f), c2 as (select *, unnest([0, 1]) as dy from c), "
+    "t as (select image_id, x, y, least(greatest(floor(fx) + dx, 0), 31)::int as sx, least(greatest(floor(fy) + dy, 0), 23)::int as sy, round((case when dx = 1 then fx - floor(fx) else 1 - fx + floor(fx) end) * (case when dy = 1 then fy - floor(fy) else 1 - fy + floor(fy) end) * 1099511627776)::bigint as wt from c2), "
+    "b as (select t.image_id, t.x, t.y, " + ", ".join(f"sum({c}0 * wt) / 1099511627776.0::double / 255 as l{c}" for c in "rgba") + " from t join l3 on l3.image_id = t.image_id and l3.x = sx and l3.y = sy group by 1, 2, 3) "
+    f"select image_id, x, y, {_BLEND} from pixels p left join b using (image_id, x, y)",
+)
 _boxes = lambda s, d: _im(s, d).selectExpr("image_id", "explode(array(0, 1, 2)) as glyph", "w", "h").selectExpr("image_id", "glyph", "glyph * 9D - 13 as left", "-5D as top", "glyph * 9D - 5 as right", "5D as bottom", "w / 2D as cx", "h / 2D as cy", "0.3D as angle", "0.75D as opacity", "250 as cr", "240 as cg", "10 as cb")
 _glyphs = lambda s: s.range(192).selectExpr("cast(id div 64 as int) as glyph", "cast(id div 8 % 8 as int) as v", "cast(id % 8 as int) as u").selectExpr("glyph", "u", "v", "(8 - abs(u - 3.5D) - abs(v - 3.5D)) / 8 as d")
-_add("o08_draw_labels", lambda s, d: overlay.draw_labels(_px(s, d), _boxes(s, d), _glyphs(s)))
+_FIELD = "(8 - abs({} - 3.5::double) - abs({} - 3.5::double)) / 8"
+_mixed = lambda v: f"(1 - fu + floor(fu)) * {_FIELD.format('floor(fu)', v)} + (fu - floor(fu)) * {_FIELD.format('least(floor(fu) + 1, 7)', v)}"
+_add(
+    "o08_draw_labels", lambda s, d: overlay.draw_labels(_px(s, d), _boxes(s, d), _glyphs(s)),
+    f"with {X.PIXELS_SQL}, {X.IMAGES_SQL}, k as (select image_id, x, y, (x + 0.5 - w / 2.0::double) as px, (y + 0.5 - h / 2.0::double) as py, unnest([0, 1, 2]) as glyph from pixels join images using (image_id)), "
+    "n as (select *, px * cos(0.3::double) + py * sin(0.3::double) as bx, py * cos(0.3::double) - px * sin(0.3::double) as byy, glyph * 9 - 13 as lo from k), "
+    "f as (select image_id, x, y, least(greatest((bx - lo) / 8 * 8 - 0.5, 0), 7) as fu, least(greatest((byy + 5) / 10 * 8 - 0.5, 0), 7) as fv from n where bx >= lo and bx < lo + 8 and byy >= -5 and byy < 5), "
+    f"d as (select image_id, x, y, (1 - fv + floor(fv)) * ({_mixed('floor(fv)')}) + (fv - floor(fv)) * ({_mixed('least(floor(fv) + 1, 7)')}) as d from f), "
+    "t as (select *, least(greatest((d - 0.5 + 1.5 / 26.0::double) / (2 * 1.5 / 26.0::double), 0), 1) as t from d), l as (select image_id, x, y, t * t * (3 - 2 * t) * 0.75 as la, 250 / 255.0::double as lr, 240 / 255.0::double as lg, 10 / 255.0::double as lb from t) "
+    f"select image_id, x, y, {_BLEND} from pixels p left join l using (image_id, x, y)",
+)
 _add("a05_sampled_histogram", lambda s, d: stats.sampled_histogram(_px(s, d), _im(s, d), most=1000), f"with {X.PIXELS_SQL}, {X.IMAGES_SQL}, k as (select *, case when w * h > 1000 then greatest(2, ceil(sqrt(w * h / 1000.0::double)))::int else 1 end as k from images), p as (select image_id, unnest([r, g, b]) as bin, unnest(['r', 'g', 'b']) as channel from pixels join k using (image_id) where x % k = 0 and y % k = 0), n as (select image_id, channel, bin, count(*) as n from p group by 1, 2, 3), every as (select distinct image_id, c as channel, b::int as bin from images, (select unnest(['r', 'g', 'b']) as c), (select unnest(range(256)) as b)) select image_id, channel, bin, coalesce(n, 0) as n from every left join n using (image_id, channel, bin)")
 
 # Timelines.

@@ -50,33 +50,37 @@ def gaussian_taps(lengths: DataFrame, radius: float) -> DataFrame:
 def resample_taps(lengths: DataFrame, scale: float | None, kind: str) -> DataFrame:
     """lengths(n) -> (n, o, s, weight) of ``nearest``, ``bilinear`` or ``lanczos`` taps, normalised.
 
-    Without a scale, ``lengths`` has the new length m of each n."""
+    Without a scale, ``lengths`` has new lengths m of each n, and so have the taps."""
+    keys = ["n"] if scale is not None else ["n", "m"]
     if scale is not None:
         lengths = lengths.withColumn("m", F.greatest(F.floor(F.col("n") * scale + 0.5), F.lit(1)).cast("int"))
     out = lengths.withColumn("f", F.col("m") / F.col("n"))
     out = out.select("*", F.explode(F.expr("sequence(0, m - 1)")).alias("o"))
     if kind == "nearest":
-        return out.selectExpr("n", "o", "least(cast(floor((o + 0.5) / f) as int), n - 1) as s", "1D as weight")
+        return out.selectExpr(*keys, "o", "least(cast(floor((o + 0.5) / f) as int), n - 1) as s", "1D as weight")
     reach = 1.0 if kind == "bilinear" else 3.0
-    out = out.selectExpr("n", "o", "(o + 0.5D) / f as at", "greatest(1D, 1 / f) as wide").withColumn("radius", F.col("wide") * reach)
+    out = out.selectExpr(*keys, "o", "(o + 0.5D) / f as at", "greatest(1D, 1 / f) as wide").withColumn("radius", F.col("wide") * reach)
     out = out.selectExpr("*", "cast(greatest(floor(at - radius), 0) as int) as lo").selectExpr("*", "cast(greatest(least(ceil(at + radius), n), lo + 1) as int) as hi")
-    out = out.selectExpr("n", "o", "at", "wide", "explode(sequence(lo, hi - 1)) as s").withColumn("t", F.expr("abs((s + 0.5 - at) / wide)"))
+    out = out.selectExpr(*keys, "o", "at", "wide", "explode(sequence(lo, hi - 1)) as s").withColumn("t", F.expr("abs((s + 0.5 - at) / wide)"))
     if kind == "bilinear":
         weight = F.expr("greatest(1 - t, 0D)")
     else:
         weight = F.expr("case when t < 1e-6 then 1D when t >= 3 then 0D else 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * t * pi() * t) end")
     out = out.withColumn("weight", weight).where("weight <> 0")
-    total = out.groupBy("n", "o").agg(F.sum("weight").alias("total"))
-    return out.join(total, ["n", "o"]).selectExpr("n", "o", "s", "weight / if(abs(total) < 1e-6, 1D, total) as weight")
+    total = out.groupBy(*keys, "o").agg(F.sum("weight").alias("total"))
+    return out.join(total, [*keys, "o"]).selectExpr(*keys, "o", "s", "weight / if(abs(total) < 1e-6, 1D, total) as weight")
 
 
-def apply_taps(pixels: DataFrame, images: DataFrame, taps: DataFrame, axis: str) -> DataFrame:
-    """One pass along an axis: an equi-join on the input place, then weighted sums, quantised.
+def apply_taps(pixels: DataFrame, images: DataFrame, taps: DataFrame, axis: str, new: str | None = None) -> DataFrame:
+    """One pass along an axis: an equi-join on the input place, then weighted sums, quantised.  ``new`` names the column of
+    ``images`` with the new length, for taps that have several new lengths m of one length n.
 
     Taps depend on lengths only, so the table is small for a corpus of few sizes and Spark broadcasts
     it by its measured size; the sums combine map-side."""
     n, other = ("w", "y") if axis == "x" else ("h", "x")
-    joined = with_dims(pixels, images).join(taps.select(F.col("n").alias(n), "o", F.col("s").alias(axis), "weight"), [n, axis])
+    m = ["m"] if new else []
+    sized = pixels.join(images.select("image_id", "w", "h", F.col(new).alias("m")), "image_id") if new else with_dims(pixels, images)
+    joined = sized.join(taps.select(F.col("n").alias(n), *m, "o", F.col("s").alias(axis), "weight"), [n, *m, axis])
     # whole multiples of 2^-40 add up exactly in any order
     sums = [F.sum((F.col(c) * F.round(F.col("weight") * (1 << 40))).cast("long")).alias(c) for c in CHANNELS]
     out = joined.groupBy("image_id", F.col("o").alias(axis), other).agg(*sums)

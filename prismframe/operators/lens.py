@@ -90,13 +90,12 @@ def resize_to(pixels: DataFrame, images: DataFrame, mode: str, w: float, h: floa
 
 
 def resize_sized(pixels: DataFrame, sized: DataFrame, kind: str = "bilinear") -> DataFrame:
-    """To the sizes in images(image_id, w, h, new_w, new_h)."""
+    """To the sizes in images(image_id, w, h, new_w, new_h); pictures of one size may go to several."""
     out = pixels
     for axis, n in (("x", "w"), ("y", "h")):
         lengths = sized.select(F.col(n).alias("n"), F.col(f"new_{n}").alias("m")).distinct()
         taps = G.resample_taps(lengths, None, kind)
-        keys = sized.select("image_id", "w", "h")
-        out = G.apply_taps(out, keys, taps, axis)
+        out = G.apply_taps(out, sized, taps, axis, f"new_{n}")
     return out
 
 
@@ -111,11 +110,7 @@ def wide_gaussian_blur(pixels: DataFrame, images: DataFrame, radius: float = 5.0
     small = resize_dims(images, "percent", 100 * k, 100 * k)
     less = small.selectExpr("image_id", "new_w as w", "new_h as h")
     blurred = G.gaussian_blur(resize_to(pixels, images, "percent", 100 * k, 100 * k, "lanczos"), less, radius * k)
-    back = small.selectExpr("image_id", "new_w as w", "new_h as h", "w as up_w", "h as up_h")
-    for axis, n in (("x", "w"), ("y", "h")):
-        taps = G.resample_taps(back.select(F.col(n).alias("n"), F.col(f"up_{n}").alias("m")).distinct(), None, "bilinear")
-        blurred = G.apply_taps(blurred, less, taps, axis)
-    return blurred
+    return resize_sized(blurred, small.selectExpr("image_id", "new_w as w", "new_h as h", "w as new_w", "h as new_h"))
 
 
 def _candidates() -> list[tuple[int, int]]:

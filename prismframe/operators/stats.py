@@ -49,6 +49,13 @@ def fingerprint(pixels: DataFrame) -> DataFrame:
     return row.groupBy("image_id").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("y", "row")))).alias("digest"))
 
 
+def same_pictures(pixels: DataFrame) -> DataFrame:
+    """(image_id, first_id, copies): the smallest id among the pictures with the same pixels, and how many these are."""
+    prints = fingerprint(pixels)
+    groups = prints.groupBy("digest").agg(F.min("image_id").alias("first_id"), F.count("*").alias("copies"))
+    return prints.join(groups, "digest").select("image_id", "first_id", "copies")
+
+
 def hist_scale(hist: DataFrame) -> DataFrame:
     """(image_id, channel, bin, n, top, ratio): each bin's share of the image's largest bin, 0 for an empty histogram."""
     top = hist.groupBy("image_id").agg(F.max("n").alias("top"))
