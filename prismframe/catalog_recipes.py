@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prismframe.catalog import _CLS, _CLUMA, _FR, _HIST, _TICKS, _add, _color, _color_sql, _fc, _hash_sql, _hist, _im, _nd, _px, _PX, _ticks, _tot
-from prismframe.catalog_extra import _epochs, _fed, _folder
+from prismframe.catalog_extra import _BLEND, _boxes, _epochs, _fed, _folder, _glyphs, _masks, _mixed, _paint, _strokes_sql
 from prismframe.catalog_more import _BASE, _points, _samples
 from prismframe.functions import color as C
 from prismframe.functions import labels as L
@@ -36,6 +36,20 @@ _add(
     "select q.image_id, (19 - q.y)::int as x, q.x::int as y, " + ", ".join(f"255 - {_Q.format(f'{c} / 255.0 * pow(2.0, 0.4)')} as {c}" for c in "rgb")
     + ", a from q join pixels s on s.image_id = q.image_id and s.x = sx and s.y = sy",
 )
+# half the size, then a layer and labels that stand in the pixels of the whole picture
+_DRAWN = [R.Step("resize", {"scale": 0.5, "kind": "nearest"}), R.Step("drawing"), R.Step("text")]
+_add(
+    "recipe_drawn", lambda s, d: R.render(_px(s, d), _im(s, d), _DRAWN, {"masks": _masks(s, d), "strokes": _paint(s), "boxes": _boxes(s, d), "field": _glyphs(s)}),
+    _strokes_sql() + f", {X.IMAGES_SQL}, st as (select image_id, x // 2 as x, y // 2 as y, r, g, b, a from pixels where x % 2 = 1 and y % 2 = 1), c as (select *, unnest([0, 1]) as dx from st), c2 as (select *, unnest([0, 1]) as dy from c), "
+    "k as (select t.image_id, t.x, t.y, " + ", ".join(f"sum({c}0) / 4.0::double / 255 as l{c}" for c in "rgba") + " from c2 t join l3 on l3.image_id = t.image_id and l3.x = 2 * t.x + dx and l3.y = 2 * t.y + dy group by 1, 2, 3), "
+    f"drawn as (select image_id, x, y, {_BLEND} from st p left join k using (image_id, x, y)), "
+    "z as (select image_id, x, y, 2 * (x + 0.5) - w / 2.0::double as px, 2 * (y + 0.5) - h / 2.0::double as py, unnest([0, 1, 2]) as glyph from drawn join images using (image_id)), "
+    "n as (select *, px * cos(0.3::double) + py * sin(0.3::double) as bx, py * cos(0.3::double) - px * sin(0.3::double) as byy, glyph * 9 - 13 as lo from z), "
+    "f as (select image_id, x, y, least(greatest(bx - lo - 0.5, 0), 7) as fu, least(greatest((byy + 5) / 10 * 8 - 0.5, 0), 7) as fv from n where bx >= lo and bx < lo + 8 and byy >= -5 and byy < 5), "
+    f"d as (select image_id, x, y, (1 - fv + floor(fv)) * ({_mixed('floor(fv)')}) + (fv - floor(fv)) * ({_mixed('least(floor(fv) + 1, 7)')}) as d from f), "
+    "t as (select *, least(greatest((d - 0.5 + 1.5 / 26.0::double) / (2 * 1.5 / 26.0::double), 0), 1) as t from d), l as (select image_id, x, y, t * t * (3 - 2 * t) * 0.75 as la, 250 / 255.0::double as lr, 240 / 255.0::double as lg, 10 / 255.0::double as lb from t) "
+    f"select image_id, x::int as x, y::int as y, {_BLEND} from drawn p left join l using (image_id, x, y)",
+)
 _SAMPLED = [R.Step("invert"), R.Step("resize", {"mode": "pixels", "width": 128, "height": 128}), R.Step("exposure", {"stops": 0.4})]
 _add(
     "a05_recipe_histogram", lambda s, d: R.sampled_histogram(_px(s, d), _im(s, d), _SAMPLED, above=1000, samples=100),

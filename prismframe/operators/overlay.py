@@ -45,14 +45,15 @@ def draw_layer(pixels: DataFrame, images: DataFrame, layer: DataFrame, layer_ima
     return out.selectExpr("image_id", "x", "y", *map(blended, "rgb"), "if(coalesce(la, 0D) <= 0, a, cast(floor((la + a / 255D * (1 - la)) * 255 + 0.5) as int)) as a")
 
 
-def draw_labels(pixels: DataFrame, boxes: DataFrame, field: DataFrame, edge: float = 0.5, soft: float | None = None, cell: int = 32) -> DataFrame:
+def draw_labels(pixels: DataFrame, boxes: DataFrame, field: DataFrame, edge: float = 0.5, soft: float | None = None, cell: int = 32, places: DataFrame | None = None) -> DataFrame:
     """Glyphs over pixels: boxes(image_id, glyph, left, top, right, bottom, cx, cy, angle, opacity, cr, cg, cb) in block space around
     (cx, cy), turned by ``angle`` radians, and distances of each glyph on a grid (u, v from 0): field(glyph, u, v, d), or
     field(glyph, u, v, r, g, b) in bytes, of which the median counts.
 
     A distance is taken between the four grid points around, and coverage rises smoothly around ``edge`` by the softness: ``soft``, or
     1.5 / the longer side of all boxes around one centre (0.0001 to 0.5).  Boxes meet pixels by grid cells of the image;
-    coverage is the largest over glyphs, then the colour is blended."""
+    coverage is the largest over glyphs, then the colour is blended.  With places(image_id, scale_x, scale_y) boxes stand in a
+    frame in which a pixel is so large."""
     if "d" not in field.columns:
         field = field.selectExpr("glyph", "u", "v", "greatest(least(r, g), least(greatest(r, g), b)) / 255D as d")
     grid = field.groupBy("glyph").agg((F.max("u") + 1).alias("gw"), (F.max("v") + 1).alias("gh"))
@@ -64,8 +65,12 @@ def draw_labels(pixels: DataFrame, boxes: DataFrame, field: DataFrame, edge: flo
     reach = "greatest(sqrt(left * left + top * top), sqrt(right * right + bottom * bottom), sqrt(left * left + bottom * bottom), sqrt(right * right + top * top))"
     span = lambda c, out: f"explode(sequence(cast(floor(({c} - reach) / {cell}) as int), cast(floor(({c} + reach) / {cell}) as int))) as {out}"
     dealt = boxes.join(grid, "glyph").selectExpr("*", f"{reach} as reach").selectExpr("*", span("cx", "gx")).selectExpr("*", span("cy", "gy"))
-    near = pixels.selectExpr("image_id", "x", "y", f"x div {cell} as gx", f"y div {cell} as gy").join(dealt, ["image_id", "gx", "gy"])
-    near = near.selectExpr("*", "(x + 0.5 - cx) * cos(angle) + (y + 0.5 - cy) * sin(angle) as bx", "(y + 0.5 - cy) * cos(angle) - (x + 0.5 - cx) * sin(angle) as by")
+    at = pixels.selectExpr("image_id", "x", "y", "x + 0.5D as px", "y + 0.5D as py")
+    if places is not None:
+        at = at.join(places, "image_id").selectExpr("image_id", "x", "y", "px * scale_x as px", "py * scale_y as py")
+    cells = at.selectExpr("*", f"cast(floor(px / {cell}) as int) as gx", f"cast(floor(py / {cell}) as int) as gy")
+    near = cells.join(dealt, ["image_id", "gx", "gy"])
+    near = near.selectExpr("*", "(px - cx) * cos(angle) + (py - cy) * sin(angle) as bx", "(py - cy) * cos(angle) - (px - cx) * sin(angle) as by")
     near = near.where("bx >= left and bx < right and by >= top and by < bottom").withColumn("box", F.struct("left", "top", "aa", "opacity", "cr", "cg", "cb"))
     place = lambda p, lo, hi, n: f"least(greatest(({p} - {lo}) / ({hi} - {lo}) * {n} - 0.5D, 0D), {n} - 1D)"
     near = near.selectExpr("*", f"{place('bx', 'left', 'right', 'gw')} as fu", f"{place('by', 'top', 'bottom', 'gh')} as fv").selectExpr("*", "cast(floor(fu) as int) as u0", "cast(floor(fv) as int) as v0")

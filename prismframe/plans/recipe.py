@@ -72,8 +72,10 @@ def recipe_dims(images: DataFrame, recipe: list[Step]) -> DataFrame:
 
 
 def render(pixels: DataFrame, images: DataFrame, recipe: list[Step], tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The recipe's pixels, as one logical plan.  Steps that draw find their tables by name in ``tables``."""
+    """The recipe's pixels, as one logical plan.  Steps that draw find their tables by name in ``tables``; what they
+    draw stands in the source's pixels and is stretched to the picture at their step."""
     run: list = []
+    sources = images
 
     def flush(df: DataFrame) -> DataFrame:
         if run:
@@ -86,7 +88,7 @@ def render(pixels: DataFrame, images: DataFrame, recipe: list[Step], tables: dic
         if t.point:
             run.append(t.point(**p))
             continue
-        pixels = t.apply(Picture(flush(pixels), images, tables or {}), p)
+        pixels = t.apply(Picture(flush(pixels), images, tables or {}, sources), p)
         images = output_dims(images, step)
     return flush(pixels).select("image_id", "x", "y", *geometry.CHANNELS)
 

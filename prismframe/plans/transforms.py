@@ -20,11 +20,12 @@ Params = dict
 
 @dataclass(frozen=True)
 class Picture:
-    """What a step works on: pixels, images(image_id, w, h) and tables by name."""
+    """What a step works on: pixels, images(image_id, w, h), tables by name and the sizes before the recipe's first step."""
 
     pixels: DataFrame
     images: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    sources: DataFrame | None = None
 
 
 def _same(p: Params) -> tuple[str, str]:
@@ -105,8 +106,18 @@ def _resize_canon(p: Params) -> Params:
 
 
 def _drawing(one: Picture, p: Params) -> DataFrame:
+    """A layer is painted over the source, so it has the source's size unless the table ``sizes`` says otherwise."""
     layer = overlay.draw_strokes(one.tables[p["masks"]], one.tables[p["strokes"]])
-    return overlay.draw_layer(one.pixels, one.images, layer, one.tables[p["sizes"]] if p["sizes"] else one.images)
+    return overlay.draw_layer(one.pixels, one.images, layer, one.tables[p["sizes"]] if p["sizes"] else one.sources or one.images)
+
+
+def _text(one: Picture, p: Params) -> DataFrame:
+    """Boxes stand in the source's pixels."""
+    places = None
+    if one.sources is not None:
+        sizes = one.sources.selectExpr("image_id", "w as sw", "h as sh").join(one.images.select("image_id", "w", "h"), "image_id")
+        places = sizes.selectExpr("image_id", "sw / cast(w as double) as scale_x", "sh / cast(h as double) as scale_y")
+    return overlay.draw_labels(one.pixels, one.tables[p["boxes"]], one.tables[p["field"]], places=places)
 
 
 for _one in (
@@ -133,6 +144,6 @@ for _one in (
     Transform("chromatic_aberration", {"amount": 5.0}, lambda o, p: lens.chromatic_aberration(o.pixels, o.images, p["amount"]), neutral=lambda p: p["amount"] == 0),
     Transform("pixel_sort", {"threshold": 0.5, "angle": 90.0}, lambda o, p: lens.pixel_sort(o.pixels, o.images, p["threshold"], p["angle"]), prescale=False, canon=lambda p: p | {"angle": p["angle"] % 360}),
     Transform("drawing", {"masks": "masks", "strokes": "strokes", "sizes": None}, _drawing, prescale=False),
-    Transform("text", {"boxes": "boxes", "field": "field"}, lambda o, p: overlay.draw_labels(o.pixels, o.tables[p["boxes"]], o.tables[p["field"]]), prescale=False),
+    Transform("text", {"boxes": "boxes", "field": "field"}, _text, prescale=False),
 ):
     register(_one)

@@ -38,13 +38,23 @@ def test_mixed_recipe_is_its_steps_in_turn(spark, picture):
     by_hand = lens.chromatic_aberration(lens.motion_blur(fused(px, im, color.exposure(0.3), color.invert()), im, 20, 4), im, 2)
     by_hand, im = G.crop(by_hand, im, 1, 1, 10, 7), images(spark, 10, 7)
     by_hand, im = lens.resize_to(by_hand, im, "pixels", 6, 9), images(spark, 6, 9)
-    by_hand = overlay.draw_layer(by_hand, im, overlay.draw_strokes(masks, strokes), im)
+    by_hand = overlay.draw_layer(by_hand, im, overlay.draw_strokes(masks, strokes), images(spark))  # the layer has the source's size
     by_hand, im = G.rotate(lens.pixel_sort(by_hand, im, 0.3, 30), im, 1), images(spark, 9, 6)
     by_hand = fused(G.gaussian_blur(by_hand, im, 1), im, color.sepia())
     assert (array_of(got, 9, 6) == array_of(by_hand, 9, 6)).all() and got.count() == 54
     assert tuple(R.recipe_dims(images(spark), recipe).first()) == (1, 9, 6)
 
 
+def test_labels_stand_in_the_pixels_of_the_source(spark):
+    flat = np.full((20, 40, 4), 50)
+    boxes = spark.createDataFrame([(1, 0, -12.0, -4.0, 4.0, 6.0, 20.0, 10.0, 0.0, 1.0, 250, 10, 60)], "image_id long, glyph int, left double, top double, right double, bottom double, cx double, cy double, angle double, opacity double, cr int, cg int, cb int")
+    field = spark.createDataFrame([(0, 0, 0, 1.0)], "glyph int, u int, v int, d double")  # covered everywhere
+    out = array_of(R.render(table(spark, flat), images(spark, 40, 20), [S("resize", {"mode": "pixels", "width": 10, "height": 10}), S("text")], {"boxes": boxes, "field": field}), 10, 10)
+    # the box spans 8 to 24 of 40 and 6 to 16 of 20
+    want = [[2 <= x < 6 and 3 <= y < 8 for x in range(10)] for y in range(10)]
+    assert ((out[:, :, 0] == 250) == np.array(want)).all() and set(out[:, :, 0].ravel()) == {50, 250}
+
+
 def test_registered_step_works_everywhere(spark, picture):
     mirror = transforms.Transform("test_mirror_and_pad", {"pad": 0}, lambda o, p: G.with_dims(o.pixels, o.images).selectExpr("image_id", f"w - 1 - x + {p['pad']} as x", "y", "r", "g", "b", "a"), dims=lambda p: (f"w + {p['pad']}", "h"), moves=lambda p: (f"-{p['pad']}", "0"), neutral=lambda p: p["pad"] < 0, prescale=False)
     try:
