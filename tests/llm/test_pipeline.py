@@ -1,6 +1,8 @@
-"""The pipeline: stages on hard rows and columns with clashing names, near duplicates by brute force."""
+"""The pipeline: stages on hard rows and columns with clashing names, near duplicates and the whole run by brute force."""
 
-from collections import Counter
+import math
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -68,6 +70,68 @@ def test_stages_on_hard_rows_with_clashing_columns(spark, tmp_path):
         assert stage(spark, spark.read.schema(before.schema).parquet(_empty(spark, before, tmp_path)), str(tmp_path)).count() == 0
 
 
+def _targets(sizes):
+    """What each source should give: shares of 150 % of all words by the weights 3, 1, 2, none above twice its own words."""
+    weights = {source: (3, 1, 2)[k % 3] for k, source in enumerate(sorted(sizes))}
+    left, out, free = 1.5 * sum(sizes.values()), {}, set(sizes)
+    while free:
+        unit = left / sum(weights[s] for s in free)
+        full = {s for s in free if weights[s] * unit > 2 * sizes[s]}
+        if not full:
+            return out | {s: weights[s] * unit for s in free}
+        out |= {s: 2 * sizes[s] for s in full}
+        left, free = left - sum(2 * sizes[s] for s in full), free - full
+    return out
+
+
+def test_run_by_brute_force(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    rows = [(k, " ".join(some(int(rng.integers(30, 70)))), "ab"[k % 3 == 0]) for k in range(90)]
+    long = some(120)
+    near = [*long[:50], "x", *long[51:]]
+    rows += [(100, " ".join(long), "c"), (101, " ".join(near), "c"), (102, " ".join(long), "a"), (103, " ".join(some(60)), "c"), (104, " ".join(some(4)), "a"), (105, " ".join(some(6) * 6), "b")]
+    rows += [(106, "write to joe.doe@mail.example.org or 10.1.2.3 " + " ".join(some(40)), "c"), (107, None, "a"), (108, "", "b")]
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    # no document is labelled bad, so no threshold can tell any apart and the base rules decide
+    spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    left = {i: (t, s) for i, t, s in rows if i not in (101, 102, 104, 105, 107, 108)}  # copies and failing documents are gone
+    left[106] = (left[106][0].replace("joe.doe@mail.example.org", "[EMAIL]").replace("10.1.2.3", "[IP]"), "c")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    code = lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    runs = defaultdict(dict)  # what a run of a document's words looks like when packed
+    for i, (t, _) in left.items():
+        ids = [code(w) for w in t.split()]
+        for a in range(len(ids)):
+            for b in range(a + 1, len(ids) + 1):
+                coded = b"".join(ids[a:b]) + b"\0\0\0\0"
+                runs[i][len(coded) // 4, zlib.crc32(coded)] = b - a
+    taken, sources = Counter(), Counter()
+    for r in packed:
+        assert r["piece"] == 0 and r["start"] == 0
+        taken[r["doc_id"]] += runs[r["doc_id"]][r["length"], r["ids_crc32"]]  # fails for any other text
+    for i, n in taken.items():
+        assert n <= 2 * len(left[i][0].split())
+        sources[left[i][1]] += n
+    sizes = Counter()
+    for t, s in left.values():
+        sizes[s] += len(t.split())
+    for s, want in _targets(sizes).items():
+        assert abs(sources[s] - want) <= 16, (s, sources[s], want)
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [at for at, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(bins) <= math.ceil(sum(r["length"] for r in packed) / 2048) + 1
+
+
 def _empty(spark, like, folder):
     path = f"{folder}/empty"
     spark.createDataFrame([], like.schema).write.mode("overwrite").parquet(path)
