@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prismframe.catalog import _FR, _add, _fc, _im, _px, _span, _SPAN, _ticks, _TICKS, _tot
 from prismframe.functions import exif
+from prismframe.operators import geometry as G
 from prismframe.operators import lens, overlay, stats
 from prismframe.operators import timeline as T
 from prismframe.plans import recipe as R
@@ -101,11 +102,17 @@ def _passes(steps: list[tuple[str, str, str, str]], sizes: str) -> str:
 
 
 _LANCZOS = "3|case when t < 1e-6 then 1.0::double when t >= 3 then 0 else 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * t * pi() * t) end"
+_TENT = "1|greatest(1 - t, 0)"
+for _name, _scale, _kind, _rule in (("g04_resize_bilinear_up", 1.7, "bilinear", _TENT), ("g04_resize_bilinear_third", 0.3, "bilinear", _TENT), ("g05_resize_lanczos_up", 1.7, "lanczos", _LANCZOS), ("g05_resize_lanczos_third", 0.3, "lanczos", _LANCZOS)):
+    _sizes = f"sz as (select *, greatest(floor(w * {_scale}::double + 0.5), 1)::int as sw, greatest(floor(h * {_scale}::double + 0.5), 1)::int as sh from images)"
+    _add(_name, lambda s, d, k=_scale, kind=_kind: G.resize(_px(s, d), _im(s, d), k, kind), _passes([("x", "w", "sw", _rule), ("y", "h", "sh", _rule)], _sizes))
+_WIDER = "8|exp(-(k * k) / (2 * 2.5::double * 2.5::double))"
+_add("k01_gaussian_blur_wider", lambda s, d: G.gaussian_blur(_px(s, d), _im(s, d), 7.5), _passes([("x", "w", "w", _WIDER), ("y", "h", "h", _WIDER)], "sz as (select * from images)"))
 _HALVES = "sz as (select *, greatest(floor(w * 0.5 + 0.5), 1)::int as sw, greatest(floor(h * 0.5 + 0.5), 1)::int as sh from images)"
 _NARROW = "50|exp(-(k * k) / (2 * (50 / 3.0::double) * (50 / 3.0::double)))"
 _add(
     "k02_scaled_blur", lambda s, d: lens.wide_gaussian_blur(_px(s, d), _im(s, d), 100),
-    _passes([("x", "w", "sw", _LANCZOS), ("y", "h", "sh", _LANCZOS), ("x", "sw", "sw", _NARROW), ("y", "sh", "sh", _NARROW), ("x", "sw", "w", "1|greatest(1 - t, 0)"), ("y", "sh", "h", "1|greatest(1 - t, 0)")], _HALVES),
+    _passes([("x", "w", "sw", _LANCZOS), ("y", "h", "sh", _LANCZOS), ("x", "sw", "sw", _NARROW), ("y", "sh", "sh", _NARROW), ("x", "sw", "w", _TENT), ("y", "sh", "h", _TENT)], _HALVES),
 )
 
 
