@@ -83,9 +83,9 @@ _add(
 )
 
 
-def _passes(steps: list[tuple[str, str, str, str]], sizes: str) -> str:
+def _passes(steps: list[tuple[str, str, str, str]], sizes: str, start: str = "pixels", last: str = "select image_id, x, y, r, g, b, a from {}") -> str:
     """DuckDB SQL of tap passes, each (axis, old length, new length, SQL of v by t or k) over the CTE ``sz`` (image_id and lengths)."""
-    parts, at = [f"with {X.PIXELS_SQL}, {X.IMAGES_SQL}, {sizes}"], "pixels"
+    parts, at = [f"with {X.PIXELS_SQL}, {X.IMAGES_SQL}, {sizes}"], start
     for i, (axis, n, m, rule) in enumerate(steps):
         reach, weight = rule.split("|")
         wide = "1.0::double" if "k * k" in weight else "greatest(n / m::double, 1)"
@@ -98,7 +98,7 @@ def _passes(steps: list[tuple[str, str, str, str]], sizes: str) -> str:
         other = "y" if axis == "x" else "x"
         parts.append(f"q{i} as (select image_id, o::int as {axis}, {other}, " + ", ".join(f"greatest(0, least(255, floor(sum({c}::bigint * wt) / 1099511627776.0::double + 0.5)))::int as {c}" for c in "rgba") + f" from {at} join sz using (image_id) join w{i} on w{i}.n = {n} and w{i}.m = {m} and w{i}.s = {axis} group by image_id, o, {other})")
         at = f"q{i}"
-    return ", ".join(parts) + f" select image_id, x, y, r, g, b, a from {at}"
+    return ", ".join(parts) + " " + last.format(at)
 
 
 _LANCZOS = "3|case when t < 1e-6 then 1.0::double when t >= 3 then 0 else 3 * sin(pi() * t) * sin(pi() * t / 3) / (pi() * t * pi() * t) end"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prismframe.catalog import _FR, _SQL, _add, _fc, _px, _im, _tot, oracle_sql, queries  # noqa: F401
+from prismframe.catalog_extra import _passes, _TENT
 from prismframe.operators import geometry as G
 from prismframe.operators import samples as P
 from prismframe.plans import recipe as R
@@ -51,7 +52,16 @@ _add("q04_diagonal_lines", lambda s, d: P.diagonal_lines(_px(s, d), _im(s, d), 2
 _add("g11_fit_scale", lambda s, d: _im(s, d).selectExpr("image_id", "least(640D / w, 480D / h) as upright", "least(640D / h, 480D / w) as turned"), f"with {X.IMAGES_SQL} select image_id, least(640.0 / w, 480.0 / h) as upright, least(640.0 / h, 480.0 / w) as turned from images")
 _RECIPE = [R.Step("exposure", {"stops": 0.2}), R.Step("crop", {"x": 4, "y": 4, "w": 50, "h": 40}), R.Step("invert", {}, False), R.Step("resize", {"scale": 0.5}), R.Step("rotate", {"quarters": 1}), R.Step("invert")]
 _add("g09_recipe_dims", lambda s, d: R.recipe_dims(_im(s, d), _RECIPE), f"with {X.IMAGES_SQL}, c as (select image_id, least(50, w - 4) as w, greatest(1, least(40, h - least(4, h - 1))) as h from images) select image_id, cast(greatest(floor(h * 0.5 + 0.5), 1) as int) as w, cast(greatest(floor(w * 0.5 + 0.5), 1) as int) as h from c")
-_add("recipe_render", lambda s, d: R.render(_px(s, d), _im(s, d), _RECIPE))
+_LIT = ", ".join(f"floor(least({c} / 255.0::double * pow(2.0, 0.2), 1) * 255 + 0.5)::int as {c}" for c in "rgb")
+_add(
+    "recipe_render", lambda s, d: R.render(_px(s, d), _im(s, d), _RECIPE),
+    _passes(
+        [("x", "w", "sw", _TENT), ("y", "h", "sh", _TENT)],
+        "cut as (select image_id, 50 as w, greatest(1, least(40, h - least(4, h - 1)))::int as h, least(4, h - 1) as y0 from images), sz as (select *, 25 as sw, greatest(floor(h * 0.5 + 0.5), 1)::int as sh from cut), "
+        f"lit as (select image_id, x - 4 as x, y - y0 as y, {_LIT}, a from pixels join cut using (image_id) where x >= 4 and x < 54 and y >= y0 and y < y0 + h)",
+        "lit", "select image_id, (sh - 1 - y)::int as x, x::int as y, 255 - r as r, 255 - g as g, 255 - b as b, a from {} join sz using (image_id)",
+    ),
+)
 _add("j07_pending_work", lambda s, d: R.pending(_im(s, d), _im(s, d).where("image_id % 3 = 0").withColumn("recipe_hash", R.recipe_hash(_RECIPE)), _RECIPE).select("image_id", "w", "h"), f"with {X.IMAGES_SQL} select * from images where image_id % 3 <> 0")
 _add("a11_clip_rate", lambda s, d: _tot(s, d).selectExpr("clip_id", "if(clip_id % 5 = 0, 0D, frame_count * 10D / (clip_id % 5)) as fps", "if(clip_id % 2 = 0, frame_count, cast(floor(duration_us / 1000000D * 24 + 0.5) as long)) as frame_count"), _FR + "select clip_id, case when clip_id % 5 = 0 then 0 else frame_count * 10.0 / (clip_id % 5) end as fps, case when clip_id % 2 = 0 then frame_count else cast(floor(duration_us / 1000000.0 * 24 + 0.5) as bigint) end as frame_count from tot")
 _add("t08_seek_frame", lambda s, d: _fc(s, d).join(_tot(s, d), "clip_id").where("frame_idx = least(clip_id % 40, frame_count - 1)").select("clip_id", "frame_idx", "start_us"), _FR + "select clip_id, frame_idx, start_us from fc join tot using (clip_id) where frame_idx = least(clip_id % 40, frame_count - 1)")
@@ -79,4 +89,4 @@ def _stream(s, d):
 
 _add("x01_running_histogram", _stream, f"with {X.PIXELS_SQL}, t as (select image_id, unnest(['r', 'g', 'b']) as channel, unnest([r, g, b]) as bin from pixels) select image_id, channel, bin, count(*) as n from t group by 1, 2, 3")
 
-from prismframe import catalog_extra, catalog_recipes  # noqa: E402, F401
+from prismframe import catalog_recipes  # noqa: E402, F401
