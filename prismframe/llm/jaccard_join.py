@@ -155,9 +155,24 @@ def _id_filter(members: DataFrame) -> np.ndarray:
     return out
 
 
-def _part(one: np.ndarray) -> np.ndarray:
-    """The elements in a fixed eighth of all hashes: two sets differ in no fewer elements than their parts do."""
-    return one[mix(one, 23) % np.uint64(8) == 0]
+def _parities(one: np.ndarray) -> np.ndarray:
+    """For each of 2^k places, at least as many as elements, whether an odd number of elements falls there: two sets
+    differ in no fewer elements than their bits do, also after folding (see ``_apart``)."""
+    bits = max(64, 1 << (len(one) - 1).bit_length())
+    odd = np.bincount((mix(one, 23) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _apart(x: list[np.ndarray], y: list[np.ndarray], on: np.ndarray) -> np.ndarray:
+    """In how many bits the pairs marked in ``on`` differ, where the longer one is folded to the length of the shorter."""
+    out, longs = np.zeros(on.shape, np.int64), np.array([len(b) for b in y])
+    for k, one in enumerate(x):
+        for size in np.unique(longs[on[k]]).tolist():
+            at, least = np.flatnonzero(on[k] & (longs == size)), min(len(one), size)
+            others = np.stack([y[j] for j in at]).reshape(len(at), -1, least)
+            differ = np.bitwise_xor.reduce(others, axis=1) ^ np.bitwise_xor.reduce(one.reshape(-1, least), axis=0)
+            out[k, at] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _whole_sets(width: int, passes: np.ndarray):
@@ -168,17 +183,17 @@ def _whole_sets(width: int, passes: np.ndarray):
             for rows in rows_of([batch]):
                 sets = _sets([r[1] for r in rows], width)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_part(s).tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "n", "elements", "part"],
+                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_parities(s).tobytes() for s in sets], pa.binary())],
+                    ["doc_id", "n", "elements", "parities"],
                 )
 
     return run
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, elements, part) of the members (a materialised table of distinct ids), from the texts."""
+    """(doc_id, n, elements, parities) of the members (a materialised table of distinct ids), from the texts."""
     hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 27)).alias("p"))
-    sets = hashed.mapInArrow(_whole_sets(width, _id_filter(members)), "doc_id long, n int, elements binary, part binary")
+    sets = hashed.mapInArrow(_whole_sets(width, _id_filter(members)), "doc_id long, n int, elements binary, parities binary")
     return materialize(sets.join(broadcast_if_small(members), "doc_id", "left_semi").where("n >= 2").distinct(), "sets")
 
 
@@ -229,7 +244,7 @@ CELL = ["hub", "i", "j"]
 def _cells(threshold: Fraction, what: str):
     """Sorted rows (hub, i, j, side, rep, c, n, s) of cells -> what holds for the sets of side 0 against those of side 1.
 
-    ``may``: (hub, c) unless the parts rule a link out; ``link``: (hub, c) with a link; ``count``: each
+    ``may``: (hub, c) unless sizes or parities rule a link out; ``link``: (hub, c) with a link; ``count``: each
     set's number of links in the cell (cells with i = j are compared with themselves)."""
     num, den = threshold.numerator, threshold.denominator
 
@@ -241,12 +256,14 @@ def _cells(threshold: Fraction, what: str):
             alone = what == "count" and group["i"][0] == group["j"][0]
             x, y = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
             if len(x) and len(y):
-                both = _shared([sets[k] for k in x], [sets[k] for k in y])
+                left, right = ([sets[k] for k in at] for at in (x, y))
                 total = n[x][:, None].astype(np.int64) + n[y]
                 if what == "may":
-                    sizes = np.array([len(s) for s in sets])
-                    on = (sizes[x][:, None] + sizes[y] - 2 * both) * (num + den) <= (den - num) * total
+                    least = np.minimum(n[x][:, None], n[y]).astype(np.int64)
+                    on = least * den >= num * (total - least)
+                    on &= _apart(left, right, on) * (num + den) <= (den - num) * total
                 else:
+                    both = _shared(left, right)
                     on = (den * both >= num * (total - both)) & (both > 0) & (rep[x][:, None] != rep[y])
                 if what == "count":
                     sides = [(x, on.sum(axis=1))] + [(y, on.sum(axis=0))] * (not alone)
@@ -291,7 +308,7 @@ def _hub_cells(pairs: DataFrame, blocks: DataFrame | None) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction, blocks: DataFrame | None = None) -> DataFrame:
     """Those of the pairs (a, b) of ids, or of components, of which some sets reach the threshold."""
-    may = materialize(_in_cells(_hub_cells(pairs, blocks), sets, "part", threshold, "may").distinct(), "may_link")
+    may = materialize(_in_cells(_hub_cells(pairs, blocks), sets, "parities", threshold, "may").distinct(), "may_link")
     links = materialize(_in_cells(_hub_cells(may, blocks), sets, "elements", threshold, "link").distinct(), "linked")
     free(may)
     return links

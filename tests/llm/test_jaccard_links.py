@@ -44,3 +44,17 @@ def test_components_and_links_by_all_pairs(spark, monkeypatch, width, threshold,
     got = jaccard_join.jaccard_components(docs, width, threshold).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got if r["doc_id"] is not None} == want
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.unique(rng.choice(base, int(k))) for k in rng.integers(1, 3000, 60)]
+    bits = [jaccard_join._parities(one) for one in sets]
+    every = np.ones((len(sets), len(sets)), bool)
+    apart = jaccard_join._apart(bits, bits, every)
+    real = np.array([[len(np.setxor1d(a, b)) for b in sets] for a in sets])
+    assert (apart <= real).all() and (apart % 2 == real % 2).all() and (apart == apart.T).all()
+    # sets without a common element are told apart at 0.8
+    a, b = np.arange(2000).astype(np.uint64), np.arange(5000, 7100).astype(np.uint64)
+    assert jaccard_join._apart([jaccard_join._parities(a)], [jaccard_join._parities(b)], np.ones((1, 1), bool))[0, 0] * 9 > 4100
