@@ -9,13 +9,14 @@ windows with equal min-hash values, so windows are grouped by value (over all ha
 which suffices: at a similarity of 0.8 three miss a pair with probability 0.008).
 
 Windows whose value occurs in one document are dropped.  The others are verified around c: a passage of ``least`` words that
-holds c lies within ``least`` words of it, so that much context is compared.  Pairs of passages count whose shingles, in order, have
-a similarity of at least ``similarity`` and of which one has ``least`` words (the other may have inserted ones, some 11 more at 50
-words and 0.8); the union of those of all nodes covers the clean parts of longer passages.  A longer passage that reaches the
-similarity only as a whole is covered only as far as such pairs reach.  Equal contexts are compared once.  The contexts of a large
-group lead in turn, those with most partners first, until all that could match of each is covered (a bound by the tokens
-that other documents of the group share): nothing is capped.  Groups of more than ``GROUP_ROWS`` windows are parted, and every
-part meets every part, so that a task never holds more.
+holds c lies within ``least`` words of it, so that much context is compared.  Pairs of passages count whose shingles (with repeats, in
+any order) have a similarity of at least ``similarity`` and of which one has ``least`` words (the other may have inserted ones, some 11
+more at 50 words and 0.8); the union of those of all nodes covers the clean parts of longer passages.  A longer passage that reaches the
+similarity only as a whole is covered only as far as such pairs reach.  Equal contexts are compared once, and where all contexts of a
+value are equal only their places are shuffled.  The contexts of a large group lead in turn, those with most partners first.  A pair
+is left uncompared only if it shares too few tokens, or if both are covered as far as the tokens that other documents of the group
+share allow and links already join them: no link between passages is lost, as a passage's class is all that links reach.  Groups of
+more than ``GROUP_ROWS`` windows are parted, and every part meets every part, so that a task never holds more.
 
 Documents of fewer than ``least`` words have no passages.  Null texts and ids: a null text is empty, rows
 with a null id are left out (a result row could not name them).  Repeated ids are one document.  Words are lower-cased (A-Z).  Other columns are ignored.
@@ -30,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismframe.llm.common import hashed_texts, materialize, mix, rows_of, shingles, table
+from prismframe.llm.common import broadcast_if_small, hashed_texts, materialize, mix, rows_of, shingles, table
+from prismframe.llm.components import connected_components
 
 SHINGLE = 5
 _LOW = np.uint64(63)
-#: Contexts of a group that all meet; members of a group that meet in one task (larger groups are parted, and part meets part).
-FEW = 6
+#: Contexts of a group that all meet, and that all do which share enough tokens; members of a group that meet in one task (larger
+#: groups are parted, and part meets part).
+FEW = 12
+SOME = 80
 GROUP_ROWS = 20_000
 
 
@@ -85,39 +89,60 @@ def _nodes(rows: list[tuple], width: int, hashes: int):
     return tokens, begins, ends, [compact_windows(tokens, begins, ends, width, f) for f in range(1, hashes + 1)]
 
 
+def _likes(tokens: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int):
+    """A function of (text, c): tokens before and after c in its context, and a hash that tells contexts apart."""
+    base = np.uint64(0xD6E8FEB86659FD93)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(len(tokens), base)), dtype=np.uint64)
+    back = np.cumprod(np.append(np.uint64(1), np.full(len(tokens), np.uint64(pow(int(base), -1, 1 << 64)))), dtype=np.uint64)
+    sums = np.append(np.uint64(0), np.cumsum(mix(tokens, 7) * powers[:-1], dtype=np.uint64))
+
+    def of(text: np.ndarray, c: np.ndarray):
+        before, after = np.minimum(c - begins[text], width - 1), np.minimum(ends[text] - 1 - c, width - 1)
+        inside = (sums[c + after + 1] - sums[c - before]) * back[c - before]
+        return before, after, mix(inside + mix((before * width + after).astype(np.uint64), 6))
+
+    return of
+
+
 def _values(width: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches):
             ids = np.array([r[0] for r in rows], np.int64)
-            for text, _, c, _, value in _nodes(rows, width, hashes)[3]:
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[text]), pa.array(c)], ["value", "doc_id", "c"])
+            tokens, begins, ends, nodes = _nodes(rows, width, hashes)
+            like_of = _likes(tokens, begins, ends, width)
+            for text, _, c, _, value in nodes:
+                like = like_of(text, c)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[text]), pa.array(like.view(np.int64))], ["value", "doc_id", "like"])
 
     return run
 
 
-def _contexts(width: int, hashes: int, passes: np.ndarray):
-    """Windows with values that pass the filter: value, hash of the context, doc_id, place of c, tokens after c, 32 bits of each token near c."""
+def _contexts(width: int, hashes: int, passes: np.ndarray, several: np.ndarray):
+    """Windows with values that pass the filter: value, hash of the context, doc_id, place of c, tokens after c and, if the value may
+    have ``several`` contexts, 32 bits of each token near c."""
     around = np.arange(-(width - 1), width)
 
+    def marked(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
+        at = (mix(value, 99) % np.uint64(8 * len(bits))).astype(np.int64)
+        return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches):
             ids = np.array([r[0] for r in rows], np.int64)
             tokens, begins, ends, nodes = _nodes(rows, width, hashes)
-            short = (tokens >> np.uint64(32)).astype(np.uint32)
+            short, like_of = (tokens >> np.uint64(32)).astype(np.uint32), _likes(tokens, begins, ends, width)
             for text, _, c, _, value in nodes:
-                at = (mix(value, 99) % np.uint64(8 * len(passes))).astype(np.int64)
-                on = (passes[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                if not on.any():
-                    continue
+                on = marked(passes, value)
                 text, c, value = text[on], c[on], value[on]
-                near = short[np.clip(c[:, None] + around, 0, len(short) - 1)]
-                blobs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * len(around)), len(c), [None, pa.py_buffer(np.ascontiguousarray(near))])
-                place, left = (c - begins[text]).astype(np.int32), (ends[text] - 1 - c).clip(max=width - 1).astype(np.int32)
-                # what tells contexts apart: the tokens within the text
-                inside = (around >= -place[:, None]) & (around <= left[:, None])
-                like = mix((mix(np.where(inside, near, 0).astype(np.uint64)) * mix(np.arange(len(around), dtype=np.uint64), 5) * inside).sum(axis=1, dtype=np.uint64), 6)
-                columns = [value.view(np.int64), like.view(np.int64), ids[text], place, left]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), blobs.cast(pa.binary())], ["value", "like", "doc_id", "c", "after", "near"])
+                _, after, like = like_of(text, c)
+                columns = [value.view(np.int64), like.view(np.int64), ids[text], (c - begins[text]).astype(np.int32), after.astype(np.int32)]
+                need = marked(several, value)
+                for some in (need, ~need):
+                    if not some.any():
+                        continue
+                    near = np.ascontiguousarray(short[np.clip(c[some][:, None] + around, 0, len(short) - 1)]) if some is need else None
+                    blobs = pa.nulls(int(some.sum()), pa.binary()) if near is None else pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * len(around)), len(near), [None, pa.py_buffer(near)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v[some]) for v in columns), blobs], ["value", "like", "doc_id", "c", "after", "near"])
 
     return run
 
@@ -125,16 +150,13 @@ def _contexts(width: int, hashes: int, passes: np.ndarray):
 class _Cover:
     """What the passages of one context cover that are like passages of another.
 
-    Two passages of a and b tokens, both around c, that share o tokens in the same order have a similarity of
-    o / (a + b - o).  One has ``width`` tokens, the other up to width / similarity."""
+    Two passages of a and b tokens, both around c (as all of ``width`` tokens in a context are), that share o tokens, repeats counted,
+    have a similarity of o / (a + b - o).  One has ``width`` tokens, the other up to width / similarity."""
 
     def __init__(self, width: int, similarity: float):
         self.width, self.similarity, self.size = width, similarity, 2 * width - 1
-        self.longest = int(width / similarity + 1e-9)
+        self.longest = min(int(width / similarity + 1e-9), self.size)
         self.least = self.need(2 * width)
-        place = np.arange(self.size)
-        self.nearness = (self.size - np.abs(place[:, None] - place)).astype(np.int8)
-        self.most = np.array([max([n for n in range(width, self.longest + 1) if self.need(n + width) <= o], default=-1) for o in range(width + 1)])
 
     def need(self, n: int) -> int:
         return int(np.ceil(n * self.similarity / (1 + self.similarity) - 1e-9))
@@ -159,67 +181,125 @@ class _Cover:
     def pairs(self, x, bx, ax, y, by, ay):
         """Row by row: first and last place covered in x, and in y (first > last if nothing is).
 
-        A token that occurs several times is matched with the one whose place around c is nearest."""
-        out = []
-        for k in (slice(i, i + 256) for i in range(0, len(x), 256)):
-            near = (x[k][:, :, None] == y[k][:, None, :]) * self.nearness
-            there = np.where(near.any(axis=2), near.argmax(axis=2), -1)
-            row, at = np.nonzero(there >= 0)
-            back = np.full(there.shape, -1)
-            back[row, there[row, at]] = at
-            lo, hi, lo2, hi2 = self._one_way(there, bx[k], ax[k], by[k], ay[k])
-            low2, high2, low, high = self._one_way(back, by[k], ay[k], bx[k], ax[k])
-            out.append((np.minimum(lo, low), np.maximum(hi, high), np.minimum(lo2, low2), np.maximum(hi2, high2)))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
-
-    def _one_way(self, to: np.ndarray, before, after, before2, after2):
-        """Passages of ``width`` tokens of x, whose tokens stand at the places ``to`` of y (or -1), with y's up to ``longest``."""
-        width, middle, n = self.width, self.width - 1, np.arange(self.size)
-        # matches in order only: none before one that came earlier
-        seen = np.maximum.accumulate(to, axis=1)
-        on = (to >= 0) & (np.concatenate([np.full((len(to), 1), -1), seen[:, :-1]], axis=1) < to)
-        total = np.zeros((len(to), self.size + 1), np.int16)
+        Tokens equal at equal places are shared for certain, and no more than those that occur in the other context at all; where
+        these bounds differ, the passages are compared one by one."""
+        out = np.tile(np.array([[self.width], [-self.width], [self.width], [-self.width]]), len(x))
+        found = [self._shared(k, x, bx, ax, y, by, ay) for k in (slice(i, i + 128) for i in range(0, len(x), 128))]
+        if not found:
+            return tuple(out)
+        straight, mine, others = (np.concatenate(v) for v in zip(*found, strict=True))
+        fits = (bx + ax + 1 >= self.width) & (by + ay + 1 >= self.width)
+        at = np.flatnonzero((np.minimum(mine.sum(axis=1), others.sum(axis=1)) >= self.least) & fits)
+        straight, mine, others = straight[at], mine[at], others[at]
+        within = self._within(straight)
+        out[:2, at], out[2:, at] = self._straight(within, bx[at], ax[at]), self._straight(within, by[at], ay[at])
+        bound = out.copy()
+        for v, rows, before, after in ((mine, slice(0, 2), bx, ax), (others, slice(2, 4), by, ay)):
+            (some,) = np.nonzero((v != straight).any(axis=1))
+            bound[rows, at[some]] = self.possible(v[some], before[at[some]], after[at[some]])
+        at = at[(bound[:, at] != out[:, at]).any(axis=0) & (bound[0, at] <= bound[1, at]) & (bound[2, at] <= bound[3, at])]
+        for k in (at[i : i + 64] for i in range(0, len(at), 64)):
+            same = self._equal(k, x, bx, ax, y, by, ay)
+            repeats = (same.sum(axis=1, dtype=np.int8).max(axis=1) > 1) | (same.sum(axis=2, dtype=np.int8).max(axis=1) > 1)
+            for some, several in ((np.flatnonzero(~repeats), False), (np.flatnonzero(repeats), True)):
+                if len(some):
+                    here, order = k[some], np.array([2, 3, 0, 1])
+                    found = self._one_way(same[some], x[here], bx[here], ax[here], y[here], by[here], ay[here], several, out[:, here], bound[:, here])
+                    if (found != bound[:, here]).any():
+                        back = same[some].transpose(0, 2, 1), y[here], by[here], ay[here], x[here], bx[here], ax[here]
+                        found = self._one_way(*back, several, found[order], bound[order][:, here])[order]
+                    out[:, here] = found
+        return tuple(out)
+
+    def _equal(self, k, x, bx, ax, y, by, ay) -> np.ndarray:
+        place = np.arange(self.size) - self.width + 1
+        okx, oky = ((place >= -b[k, None]) & (place <= a[k, None]) for b, a in ((bx, ax), (by, ay)))
+        return (x[k][:, :, None] == y[k][:, None, :]) & okx[:, :, None] & oky[:, None, :]
+
+    def _shared(self, *pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens equal at equal places, those of x that y holds and those of y that x holds."""
+        same = self._equal(*pairs)
+        return np.ascontiguousarray(same.diagonal(axis1=1, axis2=2)), same.any(axis=2), np.logical_or.reduce(same, axis=1)
+
+    def _within(self, on: np.ndarray) -> np.ndarray:
+        """How many tokens are marked in each passage of ``width``."""
+        total = np.zeros((len(on), self.size + 1), np.int8)
         np.cumsum(on, axis=1, out=total[:, 1:])
-        # the shift of the last match up to a place, and of the first from a place on
-        shift = to - n
-        last = np.maximum.accumulate(np.where(on, n, -1), axis=1)
-        next_ = np.minimum.accumulate(np.where(on, n, self.size)[:, ::-1], axis=1)[:, ::-1]
-        row = np.arange(len(to))[:, None]
-        first, end = n[:width], n[:width] + width
-        shared = total[:, end] - total[:, first]
-        s = first + shift[row, np.minimum(next_[:, first], self.size - 1)]
-        e = end + shift[row, np.maximum(last[:, end - 1], 0)]
-        low, high = (middle - before2)[:, None], (middle + after2 + 1)[:, None]
-        s, e = np.maximum(s, low), np.minimum(e, high)
-        e = np.minimum(np.maximum(e, s + width), high)
-        s = np.maximum(np.minimum(s, e - width), low)
-        most = self.most[np.clip(shared, 0, width)]
-        good = (shared >= self.least) & (e - s >= width) & (e - s <= most) & (first >= (middle - before)[:, None]) & (end - 1 <= (middle + after)[:, None])
-        some, spare = good.any(axis=1), most - (e - s)
-        lo, hi = np.where(good, first, self.size).min(axis=1), np.where(good, end - 1, -1).max(axis=1)
-        lo2 = np.where(good, np.maximum(s - spare, low), self.size).min(axis=1)
-        hi2 = np.where(good, np.minimum(e + spare, high) - 1, -1).max(axis=1)
-        none = lambda v, other: np.where(some, v - middle, other)
-        return none(lo, width), none(hi, -width), none(lo2, width), none(hi2, -width)
+        return total[:, self.width :] - total[:, : -self.width]
+
+    def _straight(self, shared: np.ndarray, before, after) -> np.ndarray:
+        """What is covered in one of two contexts by tokens shared at equal places: ``shared`` in each passage of ``width`` tokens."""
+        width, size, best = self.width, self.size, shared
+        lo, hi = np.full(len(shared), width), np.full(len(shared), -width)
+        for n in range(width, self.longest + 1):
+            if n > width:
+                best = np.maximum(best[:, :-1], shared[:, n - width :])
+            first = np.arange(size + 1 - n) - width + 1
+            good = (best >= self.need(n + width)) & (first >= -before[:, None]) & (first + n - 1 <= after[:, None])
+            some = good.any(axis=1)
+            lo = np.where(some, np.minimum(lo, first[good.argmax(axis=1)]), lo)
+            hi = np.where(some, np.maximum(hi, first[-1] - good[:, ::-1].argmax(axis=1) + n - 1), hi)
+        return np.stack([lo, hi])
+
+    def _one_way(self, same: np.ndarray, x, before, after, y, before2, after2, several: bool, out: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Passages of ``width`` tokens of x with y's of up to ``longest``, where ``same`` marks the equal tokens.  Tokens that occur
+        ``several`` times are counted as often as both passages hold them.  ``out`` is what is known to be covered, ``bound`` the most
+        that can be."""
+        width, size = self.width, self.size
+        first = np.arange(width) - width + 1
+        fits = (first >= -before[:, None]) & (first + width - 1 <= after[:, None])
+        if several:
+            held, held2, same = self._several(same, x, y)
+            held = held[:, :, width:] - held[:, :, :-width]
+        rows = np.zeros((len(same), size + 1, size), np.int8)
+        np.cumsum(same, axis=1, out=rows[:, 1:])
+        total = np.zeros((len(same), width, size + 1), np.int8)
+        np.cumsum(rows[:, width:] - rows[:, :-width], axis=2, out=total[:, :, 1:])
+        for n in range(self.longest, width - 1, -1):
+            if (out == bound).all():
+                break
+            shared = total[:, :, n:] - total[:, :, :-n]
+            for mine, others in zip(held.swapaxes(0, 1), (held2[:, :, n:] - held2[:, :, :-n]).swapaxes(0, 1), strict=True) if several else ():
+                shared = shared + np.minimum(mine[:, :, None], others[:, None, :])
+            first2 = np.arange(size + 1 - n) - width + 1
+            fits2 = (first2 >= -before2[:, None]) & (first2 + n - 1 <= after2[:, None])
+            good = (shared >= self.need(n + width)) & fits[:, :, None] & fits2[:, None, :]
+            if good.any():
+                found = [f(np.where(on, start + m, none), axis=1) for start, long, on in ((first, width, good.any(axis=2)), (first2, n, good.any(axis=1))) for f, m, none in ((np.min, 0, width), (np.max, long - 1, -width))]
+                out = np.where([[True], [False]] * 2, np.minimum(out, found), np.maximum(out, found))
+        return out
+
+    def _several(self, same: np.ndarray, x: np.ndarray, y: np.ndarray):
+        """How often tokens that x or y repeats occur up to each place of x and of y (pair, token, place), and ``same`` without them."""
+        on, on2 = same.any(axis=2), same.any(axis=1)
+        first = ((x[:, :, None] == x[:, None, :]) & on[:, None, :]).argmax(axis=2)
+        repeated = (same.sum(axis=2, dtype=np.int8) > 1) | (same & (same.sum(axis=1, dtype=np.int8) > 1)[:, None, :]).any(axis=2)
+        pair, at = np.nonzero(repeated & (first == np.arange(self.size)))
+        slot = np.arange(len(pair)) - np.searchsorted(pair, pair)
+        out = []
+        for v, there in ((x, on), (y, on2)):
+            sums = np.zeros((len(same), int(slot.max(initial=-1)) + 1, self.size + 1), np.int8)
+            sums[pair, slot, 1:] = np.cumsum((v[pair] == x[pair, at][:, None]) & there[pair], axis=1)
+            out.append(sums)
+        return *out, same & ~repeated[:, :, None]
 
 
 def _verified(width: int, similarity: float):
-    """Sorted windows (value, part, like, ...) -> spans (in tokens) like passages of other documents.
+    """Sorted windows (value, part, like, ...) -> spans (in tokens) like passages of other documents, and the ``hub`` that stands for all
+    contexts of the group that links join.
 
     Members of a group with equal contexts (``like``) are compared once.  In small groups all contexts meet; in larger
-    ones they lead in turn, those with most partners first, until all that could match of each is covered."""
+    ones they lead in turn, those with most partners first.  Parts below zero are of values with one context."""
     cover, place = _Cover(width, similarity), np.arange(-(width - 1), width)
 
-    def partners(group, lo, hi, keys, ok) -> np.ndarray:
+    def partners(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, ok: np.ndarray) -> np.ndarray:
         """The tokens that another document's context in the group has too."""
-        tokens, rows = mix(keys[ok] ^ mix(group.astype(np.uint64))[np.nonzero(ok)[0]]), np.nonzero(ok)[0]
-        order = np.argsort(tokens)
-        tokens, low, high = tokens[order], lo[rows[order]], hi[rows[order]]
-        edges = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, np.int64)
-        found, out = np.empty(len(tokens), bool), np.zeros(ok.shape, bool)
-        if len(edges):
-            found[order] = np.repeat(np.minimum.reduceat(low, edges) != np.maximum.reduceat(high, edges), np.diff(np.append(edges, len(tokens))))
-        out[ok] = found
+        rows = np.nonzero(ok)[0]
+        least, most = np.full(names.max() + 1, np.iinfo(np.int64).max), np.full(names.max() + 1, np.iinfo(np.int64).min)
+        np.minimum.at(least, names, lo[rows])
+        np.maximum.at(most, names, hi[rows])
+        out = np.zeros(ok.shape, bool)
+        out[ok] = (least != most)[names]
         return out
 
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -230,69 +310,95 @@ def _verified(width: int, similarity: float):
         rep, edges = np.cumsum(fresh) - 1, np.flatnonzero(fresh)  # each row's context
         low, high = np.minimum.reduceat(doc, edges), np.maximum.reduceat(doc, edges)
         group = (np.cumsum(new) - 1)[edges]
-        near = np.frombuffer(b"".join(batch["near"].take(pa.array(edges)).to_pylist()), np.uint32).reshape(len(edges), -1)
+        none = bytes(4 * len(place))
+        near = np.frombuffer(b"".join(b or none for b in batch["near"].take(pa.array(edges)).to_pylist()), np.uint32).reshape(len(edges), -1)
         before, after = np.minimum(c[edges], width - 1).astype(np.int64), np.minimum(after[edges], width - 1).astype(np.int64)
-        ok = (place >= -before[:, None]) & (place <= after[:, None])
-        keys = near.astype(np.uint64) + np.uint64(1)
         # a context that two documents have is covered whole, if it holds a passage
-        whole = (low != high) & (before + after + 1 >= width)
+        whole = ((low != high) | (part[edges] < 0)) & (before + after + 1 >= width)
         done_lo, done_hi = np.where(whole, -before, width), np.where(whole, after, -width)
-        leader = np.where(whole, low, np.iinfo(np.int64).max)
+        joined = np.arange(len(edges))  # the first context that links reach
 
-        def meet(x: np.ndarray, y: np.ndarray) -> None:
-            lo, hi, lo2, hi2 = cover.pairs(np.where(ok[x], keys[x], 0), before[x], after[x], np.where(ok[y], keys[y], np.uint64(1) << np.uint64(40)), before[y], after[y])
-            for at, first, last, other in ((x, lo, hi, low[y]), (y, lo2, hi2, low[x])):
+        def meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            lo, hi, lo2, hi2 = cover.pairs(near[x], before[x], after[x], near[y], before[y], after[y])
+            for at, first, last in ((x, lo, hi), (y, lo2, hi2)):
                 good = first <= last
                 np.minimum.at(done_lo, at[good], first[good])
                 np.maximum.at(done_hi, at[good], last[good])
-                np.minimum.at(leader, at[good], np.minimum(other[good], low[at[good]]))
+            return lo <= hi
 
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         ends = np.append(starts[1:], len(group))
         sizes = ends - starts
-        small, x, y = starts[(sizes > 1) & (sizes <= FEW)], [], []
-        for d in range(1, FEW):
-            at = np.arange(len(group))[:-d]
-            at = at[(group[at] == group[at + d]) & np.isin(group[at], group[small]) & ((low[at] != high[at + d]) | (high[at] != low[at + d]))]
+        small, x, y = np.repeat((sizes > 1) & (sizes <= FEW), sizes), [], []
+        for d in range(1, min(FEW, len(group))):
+            at = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & ((low[:-d] != high[d:]) | (high[:-d] != low[d:])))
             x, y = [*x, at], [*y, at + d]
-        x, y = np.concatenate(x), np.concatenate(y)
-        open_ = ~(whole[x] & whole[y])
-        for k in (slice(i, i + 4096) for i in range(0, len(x), 4096)):
-            meet(x[k][open_[k]], y[k][open_[k]])
-        for a, b in zip(starts[sizes > FEW].tolist(), ends[sizes > FEW].tolist(), strict=True):
+        for a, b in zip(starts[(sizes > FEW) & (sizes <= SOME)].tolist(), ends[(sizes > FEW) & (sizes <= SOME)].tolist(), strict=True):
+            rows = np.arange(a, b)
+            row, at = np.nonzero((place >= -before[rows, None]) & (place <= after[rows, None]))
+            known, names = np.unique(near[a + row, at], return_inverse=True)
+            often = np.bincount(names) > 1
+            # distinct tokens in common, of which a context may hold some several times
+            marks = np.zeros((b - a, int(often.sum())), np.float32)
+            counts = np.bincount(row * len(known) + names, minlength=(b - a) * len(known)).reshape(b - a, -1)
+            marks[:] = np.sqrt(counts[:, often])
+            differ = (low[rows, None] != high[rows]) | (high[rows, None] != low[rows])
+            one, other = np.nonzero(np.triu((marks @ marks.T > cover.least - 0.01) & differ, 1))
+            x, y = [*x, a + one], [*y, a + other]
+        if x:
+            x, y = np.concatenate(x), np.concatenate(y)
+            linked = np.concatenate([np.empty(0, bool), *(meet(x[k], y[k]) for k in (slice(i, i + 4096) for i in range(0, len(x), 4096)))])
+            x, y = x[linked], y[linked]
+            was = None
+            while was is None or (joined != was).any():
+                was = joined.copy()
+                for one, other in ((x, y), (y, x)):
+                    np.minimum.at(joined, one, joined[other])
+        for a, b in zip(starts[sizes > SOME].tolist(), ends[sizes > SOME].tolist(), strict=True):
             rows = np.arange(a, b)
-            shared = partners(group[rows], low[rows], high[rows], keys[rows], ok[rows])
-            most_lo, most_hi = cover.possible(shared, before[rows], after[rows])
-            for lead in a + np.argsort(-shared.sum(axis=1), kind="stable"):
-                if most_lo[lead - a] > most_hi[lead - a] or (done_lo[lead] <= most_lo[lead - a] and done_hi[lead] >= most_hi[lead - a]):
+            ok = (place >= -before[rows, None]) & (place <= after[rows, None])
+            known, names = np.unique(near[rows][ok], return_inverse=True)
+            shared = partners(names, low[rows], high[rows], ok)
+            most_lo, most_hi = np.full(len(low), width), np.full(len(low), -width)
+            most_lo[rows], most_hi[rows] = cover.possible(shared, before[rows], after[rows])
+            tokens = np.full(ok.shape, len(known), np.int32)
+            tokens[ok] = names
+            tokens[~shared] = len(known)
+            order = np.argsort(-shared.sum(axis=1), kind="stable")
+            order = order[most_lo[a + order] <= most_hi[a + order]]
+            tokens, order = tokens[order], a + order
+            settled = lambda at: (done_lo[at] <= most_lo[at]) & (done_hi[at] >= most_hi[at])
+            for k, lead in enumerate(order.tolist()):
+                later = np.arange(k + 1, len(order))
+                other = order[later]
+                if settled(lead):
+                    open_ = ~settled(other) | (joined[other] != joined[lead])
+                    later, other = later[open_], other[open_]
+                on = (low[other] != high[lead]) | (high[other] != low[lead])
+                later, other = later[on], other[on]
+                if not len(other):
                     continue
-                other = rows[(most_lo <= most_hi) & (rows != lead) & ((low[rows] != high[lead]) | (high[rows] != low[lead]))]
-                # pairs whose common tokens, wherever they stand, could cover more of either
-                tokens, which = np.unique(keys[lead], return_inverse=True)
-                at = np.minimum(np.searchsorted(tokens, keys[other]), len(tokens) - 1)
-                common = (tokens[at] == keys[other]) & ok[other]
-                enough = common.sum(axis=1) >= cover.least
-                other, at, common = other[enough], at[enough], common[enough]
-                held = np.zeros((len(other), len(tokens)), bool)
-                row, place_ = np.nonzero(common)
-                held[row, at[row, place_]] = True
-                lo, hi = cover.possible(held[:, which] & ok[lead], np.full(len(other), before[lead]), np.full(len(other), after[lead]))
-                # what others could gain matters only for those not covered yet
-                lo2, hi2 = np.full(len(other), width), np.full(len(other), -width)
-                unsettled = np.flatnonzero((done_lo[other] > most_lo[other - a]) | (done_hi[other] < most_hi[other - a]))
-                lo2[unsettled], hi2[unsettled] = cover.possible(common[unsettled], before[other[unsettled]], after[other[unsettled]])
-                both = lo <= hi
-                order = np.argsort(lo - hi, kind="stable")
-                for k in (order[i : i + 64] for i in range(0, len(order), 64)):
-                    gain = (lo[k] < done_lo[lead]) | (hi[k] > done_hi[lead]) | (lo2[k] < done_lo[other[k]]) | (hi2[k] > done_hi[other[k]])
-                    k = k[both[k] & gain]
-                    if len(k):
-                        meet(np.full(len(k), lead), other[k])
+                held = np.zeros(len(known) + 1, bool)
+                held[tokens[k]] = True
+                held[-1] = False
+                common = held[tokens[later]].sum(axis=1)
+                best = np.argsort(-common, kind="stable")
+                other = other[best[: int((common >= cover.least).sum())]]
+                for at in range(0, len(other), 128):
+                    some = other[at : at + 128]
+                    if settled(lead):
+                        some = some[~settled(some) | (joined[some] != joined[lead])]
+                    if len(some):
+                        some = some[meet(np.full(len(some), lead), some)]
+                        group_of = np.unique(joined[np.append(some, lead)])
+                        joined[a:b][np.isin(joined[a:b], group_of)] = group_of[0]
         good = done_lo[rep] <= done_hi[rep]
-        at, f = rep[good], value[good] & 63
-        columns = [doc[good], c[good] + done_lo[at], c[good] + done_hi[at], leader[at], f]
         if good.any():
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in columns], ["doc_id", "first", "last", "leader", "hash"])
+            at, f = rep[good], value[good] & 63
+            first = edges[joined[at]]
+            hub = mix(mix(value[first].view(np.uint64), 1) + mix(np.maximum(part[first], -1).astype(np.int64).view(np.uint64), 2) + mix(like[first].view(np.uint64), 3))
+            columns = [doc[good], c[good] + done_lo[at], c[good] + done_hi[at], hub.view(np.int64), f]
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in columns], ["doc_id", "first", "last", "hub", "hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -332,33 +438,38 @@ def _value_filter(values: DataFrame) -> np.ndarray:
 
 def repeated_passages(documents: DataFrame, least: int = 50, hashes: int = 3, similarity: float = 0.8) -> DataFrame:
     """(doc_id, start_word, end_word, class_doc_id, n_hashes): the passages that (nearly) repeat in another
-    document.  ``end_word`` is exclusive; ``class_doc_id`` is the smallest id among the leaders that the
-    passage's windows matched; ``n_hashes`` counts the hash functions that found it."""
+    document.  ``end_word`` is exclusive; ``class_doc_id`` is the smallest id of the documents whose passages links reach from
+    this one; ``n_hashes`` counts the hash functions that found it."""
     width = least - SHINGLE + 1
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    windows = docs.mapInArrow(_values(width, hashes), "value long, doc_id long, c long")
-    shared = windows.select("value", "doc_id").groupBy("value").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-    shared = materialize(shared.where("lo < hi").select("value", "n"), "shared")
-    contexts = docs.mapInArrow(_contexts(width, hashes, _value_filter(shared.select("value"))), "value long, like long, doc_id long, c int, after int, near binary")
-    large = shared.where(F.col("n") > GROUP_ROWS).select("value", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("g"))
+    windows = docs.mapInArrow(_values(width, hashes), "value long, doc_id long, like long")
+    shared = windows.groupBy("value").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"), F.min("like").alias("l"), F.max("like").alias("m"))
+    shared = materialize(shared.where("lo < hi").select("value", "n", F.expr("l = m").alias("alone")), "shared")
+    passes, several = _value_filter(shared.select("value")), _value_filter(shared.where("not alone").select("value"))
+    contexts = docs.mapInArrow(_contexts(width, hashes, passes, several), "value long, like long, doc_id long, c int, after int, near binary")
+    large = shared.where(F.col("n") > GROUP_ROWS).select("value", "alone", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("g"))
     contexts = contexts.join(F.broadcast(large) if large.count() <= 100_000 else large, "value", "left")
-    # part meets part: each row of a large group goes to as many pairs of parts as there are parts
+    # part meets part: each row of a large group goes to as many pairs of parts as there are parts, but equal contexts need not meet
     mine = F.pmod("like", F.coalesce("g", F.lit(1))).cast("int")
-    contexts = contexts.withColumns({"mine": mine, "o": F.explode(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1))})
-    part = (F.least("mine", "o").cast("long") * (1 << 31) + F.greatest("mine", "o")).alias("part")
+    others = F.when(F.col("alone"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.coalesce("g", F.lit(1)) - 1))
+    contexts = contexts.withColumns({"mine": mine, "o": F.explode(others)})
+    part = F.when(F.col("o") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.col("g"))).otherwise(F.least("mine", "o").cast("long") * (1 << 31) + F.greatest("mine", "o")).alias("part")
     contexts = contexts.select("value", part, "like", "doc_id", "c", "after", "near")
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = contexts.repartition(n, "value", "part").sortWithinPartitions("value", "part", "like")
-    spans = dealt.mapInArrow(_verified(width, similarity), "doc_id long, first long, last long, leader long, hash long")
-    by_doc = Window.partitionBy("doc_id").orderBy("first", "last", "leader", "hash")
+    spans = dealt.mapInArrow(_verified(width, similarity), "doc_id long, first long, last long, hub long, hash long")
+    by_doc = Window.partitionBy("doc_id").orderBy("first", "last", "hub", "hash")
     until = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     parted = spans.distinct().withColumn("new", F.coalesce((F.col("first") > until).cast("int"), F.lit(1)))
-    return (
-        parted.withColumn("k", F.sum("new").over(by_doc))
-        .groupBy("doc_id", "k")
-        .agg(F.min("first").alias("start_word"), (F.max("last") + SHINGLE).alias("end_word"), F.min("leader").alias("class_doc_id"), F.countDistinct("hash").alias("n_hashes"))
-        .drop("k")
-    )
+    parted = materialize(parted.withColumn("k", F.sum("new").over(by_doc)).drop("new").withColumn("id", F.xxhash64("doc_id", "k")), "spans")
+    found = parted.groupBy("doc_id", "k", "id").agg(F.min("first").alias("start_word"), (F.max("last") + SHINGLE).alias("end_word"), F.countDistinct("hash").alias("n_hashes"))
+    # passages that meet in a hub are of one class
+    held = parted.select("id", "hub").distinct()
+    links = held.join(held.groupBy("hub").agg(F.min("id").alias("first")), "hub").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    comps = connected_components(materialize(links, "passage_links"))
+    classes = materialize(parted.select("id", "doc_id").distinct().join(comps, "id").groupBy("component").agg(F.min("doc_id").alias("class_doc_id")), "classes")
+    placed = found.join(comps, "id").join(broadcast_if_small(classes), "component")
+    return placed.select("doc_id", "start_word", "end_word", "class_doc_id", "n_hashes")
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

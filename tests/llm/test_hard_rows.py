@@ -51,3 +51,53 @@ def test_urls_of_repeated_rows_and_null_ids(spark):
     assert sorted(((r["page_id"] or 0), r["verdict"]) for r in got if r["page_id"] in (None, 1)) == [(0, "block"), (1, "allow"), (1, "allow")]
     long = next(r for r in got if r["page_id"] == 3)
     assert long["host"] == "c.net" and len(long["path"]) == 80_001
+
+
+def test_passages_between_swapped_lines_are_like(spark):
+    """Shingles around a passage that stand on its other side in the other text do not hide the passage."""
+    rng = np.random.default_rng(21)
+    some = lambda n: [f"{a}x{b}" for a, b in rng.integers(0, 10**6, (n, 2))]
+    passage, one, two = some(55), some(12), some(12)
+    texts = {1: some(40) + one + passage + two + some(40), 2: some(40) + two + passage + one + some(40)}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in substring_dedup.repeated_passages(df).collect()}
+    assert set(got) == {1, 2} and all(a <= 52 and b >= 107 for a, b in got.values())
+
+
+def test_classes_of_passages_are_all_that_links_reach(spark):
+    rng = np.random.default_rng(22)
+    some = lambda n: [f"{a}x{b}" for a, b in rng.integers(0, 10**6, (n, 2))]
+    chain = some(130)
+    # copies that differ by a word between copies that are equal; overlapping passages of one chain, each linked with the next
+    texts = {4: chain[:60], 3: chain[:60], 2: chain[:55] + some(1) + chain[56:60], 1: chain[:55] + some(1) + chain[56:60]}
+    texts |= {7: chain[:60], 6: chain[:100], 5: chain[35:130], 9: chain[75:130]}
+    texts[2] = texts[1]
+    other = some(60)
+    texts |= {20: other, 21: other}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_doc_id"] for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == {k: 20 if k >= 20 else 1 for k in texts}
+
+
+def test_compared_contexts_cover_what_brute_force_does():
+    """Small alphabets give repeated tokens, shifts and swaps: every pair of passages is counted as a multiset."""
+    from collections import Counter
+
+    rng = np.random.default_rng(23)
+    cover = substring_dedup._Cover(8, 0.8)
+    for k in range(300):
+        size = int(rng.choice([3, 6, 200]))
+        x = rng.integers(0, size, 15).astype(np.uint32)
+        y = np.roll(x, int(rng.integers(-2, 3))).copy()
+        y[rng.integers(0, 15, int(rng.integers(0, 3)))] = 999
+        b, a, b2, a2 = (int(v) for v in rng.integers(3, 8, 4))
+        want = [8, -8, 8, -8]
+        for n, m in [(8, m) for m in range(8, 11)] + [(n, 8) for n in range(8, 11)]:
+            for i in range(7 - b, 9 + a - n):
+                for j in range(7 - b2, 9 + a2 - m):
+                    both = sum((Counter(x[i : i + n].tolist()) & Counter(y[j : j + m].tolist())).values())
+                    if 9 * both >= 4 * (n + m):
+                        want = [min(want[0], i - 7), max(want[1], i + n - 8), min(want[2], j - 7), max(want[3], j + m - 8)]
+        one = lambda v: np.array([v])
+        got = cover.pairs(x[None], one(b), one(a), y[None], one(b2), one(a2))
+        assert [int(v[0]) for v in got] == want
