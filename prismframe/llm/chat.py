@@ -5,7 +5,8 @@ sorted nested field paths (``messages[].role`` and the like, the elements of a l
 other fields (ids, names, sources) do not matter.  The fingerprint selects a declarative ``Layout`` that says where
 roles and texts are, and its projection gives the canonical turns, an array of (role, text).  Where no layout has just these paths,
 the one with the most paths that are all there is taken (of equals the first listed); an empty list has no turns.  Records without any
-layout get null turns, so none is lost.
+layout get null turns, so none is lost.  Rows of a table go the same way: the turns of a conversation are gathered in a struct, whose nested
+field paths are fingerprinted like JSON's, and the layout found by it reads the struct.
 
 The template writes a turn as ``<s>`` role ``[INST]`` text ``[/INST]</s>``.  Within roles and texts every
 backslash is doubled and one is put inside each control string, so no control string is left in them
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prismframe.llm.common import table
 
@@ -88,27 +90,56 @@ def field_paths(record: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_keys(fields), below))))
 
 
+def struct_paths(kind: T.StructType) -> list[str]:
+    """The field paths that a struct of this type may have, two levels deep, with its lists themselves."""
+    out = []
+    for field in kind:
+        listed = isinstance(field.dataType, T.ArrayType)
+        inner = field.dataType.elementType if listed else field.dataType
+        below = inner.names if isinstance(inner, T.StructType) else []
+        out += [f"{field.name}{'[].' if listed else '.'}{name}" for name in below] + [field.name] * (listed or not below)
+    return out
+
+
+def struct_field_paths(record: Column, kind: T.StructType) -> Column:
+    """The sorted nested field paths of a struct, two levels deep; null fields count as missing."""
+
+    def of(field: T.StructField) -> Column:
+        every = [p for p in struct_paths(T.StructType([field])) if p != field.name]
+        some = F.array(*map(F.lit, every or [field.name]))
+        if isinstance(field.dataType, T.ArrayType):
+            some = F.when(F.size(record[field.name]) > 0, some).otherwise(F.array(F.lit(field.name)))
+        return F.when(record[field.name].isNotNull(), some).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return F.array_sort(F.array_distinct(F.concat(*map(of, kind))))
+
+
 def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
-def _field(record: Column, path: str) -> Column:
+def _read(record: Column, kind: str, of: T.StructType | None) -> Column:
+    """A record's fields: of JSON those of ``kind``, of a struct its own."""
+    return record if of else F.from_json(record, kind, _JSON)
+
+
+def _field(record: Column, path: str, of: T.StructType | None = None) -> Column:
     """The text of a field, one or two levels deep."""
     name, _, below = path.partition(".")
     kind = f"struct<`{name}`:struct<`{below}`:string>>" if below else f"struct<`{name}`:string>"
-    value = F.from_json(record, kind, _JSON)[name]
+    value = _read(record, kind, of)[name]
     return value[below] if below else value
 
 
-def _turns(layout: Layout, record: Column) -> Column:
+def _turns(layout: Layout, record: Column, of: T.StructType | None = None) -> Column:
     if layout.list:
         kind = f"struct<`{layout.list}`:array<struct<`{layout.role}`:string,`{layout.text}`:string>>>"
         turns = F.transform(
-            F.from_json(record, kind, _JSON)[layout.list],
+            _read(record, kind, of)[layout.list],
             lambda t: F.struct(F.coalesce(t[layout.role], F.lit("")).alias("role"), F.coalesce(t[layout.text], F.lit("")).alias("text")),
         )
     else:
-        get = lambda f: F.coalesce(_field(record, f), F.lit(""))
+        get = lambda f: F.coalesce(_field(record, f, of), F.lit(""))
         turns = F.array(
             *(
                 F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*map(get, names)), lambda x: x != ""), "\n\n").alias("text"))
@@ -116,7 +147,7 @@ def _turns(layout: Layout, record: Column) -> Column:
             )
         )
     if layout.system:
-        head = F.struct(F.lit("system").alias("role"), F.coalesce(_field(record, layout.system), F.lit("")).alias("text"))
+        head = F.struct(F.lit("system").alias("role"), F.coalesce(_field(record, layout.system, of), F.lit("")).alias("text"))
         turns = F.concat(F.array(head), turns)
     if not layout.rename:
         return turns
@@ -125,9 +156,11 @@ def _turns(layout: Layout, record: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """records with ``fingerprint``, ``layout`` (null if unknown) and ``turns`` (null if unknown)."""
+    """records, JSON strings or structs, with ``fingerprint``, ``layout`` (null if unknown) and ``turns`` (null if unknown)."""
+    kind = records.schema[record].dataType
+    kind = kind if isinstance(kind, T.StructType) else None
     known = F.array(*map(F.lit, known_paths(layouts)))
-    out = records.withColumn("_paths", F.array_sort(F.array_intersect(field_paths(F.col(record)), known)))
+    out = records.withColumn("_paths", F.array_sort(F.array_intersect(struct_field_paths(F.col(record), kind) if kind else field_paths(F.col(record)), known)))
     out = out.withColumn("fingerprint", fingerprint(F.col("_paths")))
     of = lambda paths: F.array(*map(F.lit, sorted(paths)))
     exact, held, turns = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast(TURNS)
@@ -139,8 +172,11 @@ def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[L
         paths = {p for p in layout.paths if not p.startswith(f"{layout.list}[]")} | {layout.list}
         exact = F.coalesce(exact, F.when(F.col("fingerprint") == fingerprint(of(paths)), F.lit(layout.name)))
     out = out.withColumn("layout", F.coalesce(exact, held))
+    there = struct_paths(kind) if kind else ()
     for layout in layouts:
-        turns = F.when(F.col("layout") == layout.name, _turns(layout, F.col(record))).otherwise(turns)
+        if kind and not set(layout.paths) <= set(there):
+            continue  # a struct without these fields cannot have the layout
+        turns = F.when(F.col("layout") == layout.name, _turns(layout, F.col(record), kind)).otherwise(turns)
     return out.withColumn("turns", turns).drop("_paths")
 
 
@@ -188,16 +224,12 @@ def format_chats(records: DataFrame, record: str = "record") -> DataFrame:
     return format_turn_rows(canonical_turns(records, record))
 
 
-#: The layout of turns that a table holds as columns, by its fingerprint.
-ROWS = "turns"
-
-
 def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) -> (conv_id, fingerprint, layout, turns), from the columns as they are."""
+    """Rows (conv_id, turn, role, text) -> (conv_id, fingerprint, layout, turns), from the columns as they are: the fingerprint of each
+    conversation's fields selects the layout that reads them."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    paths = next(one.paths for one in LAYOUTS if one.name == ROWS)
-    return rows.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", fingerprint(F.array(*map(F.lit, sorted(paths)))).alias("fingerprint"), F.lit(ROWS).alias("layout"), "turns")
+    records = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).select("conv_id", F.struct("turns").alias("record"))
+    return canonical_turns(records).select("conv_id", "fingerprint", "layout", "turns")
 
 
 def records_of_rows(rows: DataFrame) -> DataFrame:

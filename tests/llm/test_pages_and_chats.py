@@ -127,3 +127,23 @@ def test_repeated_rows_and_an_empty_table_of_turns(spark):
     one = chat.format_turn_rows(chat.turns_of_rows(rows)).first()
     assert [(t["role"], len(t["text"])) for t in one["turns"]] == [("system", 100_000), ("user", 1), ("user", 1)]
     assert chat.format_turn_rows(chat.turns_of_rows(rows.limit(0))).count() == 0
+
+
+def test_fingerprints_select_the_layout_of_rows_too(spark, monkeypatch):
+    """The layout of rows is looked up by their fingerprint, and its projection reads them."""
+    rows = spark.createDataFrame([(1, 1, "gpt", "b"), (1, 0, "human", None)], "conv_id long, turn long, role string, text string")
+    one = chat.turns_of_rows(rows).first()
+    assert (one["layout"], [(t["role"], t["text"]) for t in one["turns"]]) == ("turns", [("human", ""), ("gpt", "b")])
+    mine = chat.Layout("rows", ("turns[].role", "turns[].text", "turns[].turn"), "turns", text="text")
+    of = chat.canonical_turns
+    for layouts, layout, said in ((chat.LAYOUTS[:2], None, None), ((*chat.LAYOUTS, mine), "rows", [("user", ""), ("assistant", "b")])):
+        monkeypatch.setattr(chat, "canonical_turns", lambda records, layouts=layouts: of(records, layouts=layouts))
+        got = chat.turns_of_rows(rows).first()
+        assert (got["layout"], got["turns"] and [(t["role"], t["text"]) for t in got["turns"]]) == (layout, said)
+
+
+def test_records_may_be_structs(spark):
+    df = spark.sql("select i, named_struct('prompt', p, 'completion', c, 'data', named_struct('question', q, 'answer', 'a')) as record from values (0, 'p', 'c', 'q'), (1, null, null, 'q'), (2, 'p', null, 'q') as t(i, p, c, q)")
+    json = df.withColumn("record", F.to_json("record"))
+    told = lambda rows: [(r["i"], r["fingerprint"], r["layout"], r["turns"]) for r in chat.canonical_turns(rows).orderBy("i").collect()]
+    assert told(df) == told(json) and [r[2] for r in told(df)] == ["prompt-completion", "nested-data", "nested-data"]
