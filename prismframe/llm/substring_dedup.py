@@ -382,12 +382,27 @@ def _verified(width: int, similarity: float):
                 held[tokens[k]] = True
                 held[-1] = False
                 common = held[tokens[later]].sum(axis=1)
-                best = np.argsort(-common, kind="stable")
-                other = other[best[: int((common >= cover.least).sum())]]
+                best = np.argsort(-common, kind="stable")[: int((common >= cover.least).sum())]
+                later, other = later[best], other[best]
+                own, at_own = np.unique(tokens[k], return_inverse=True)
+                slot = np.full(len(known) + 1, -1)
+                slot[own] = np.arange(len(own))
+                slot[-1] = -1
                 for at in range(0, len(other), 128):
-                    some = other[at : at + 128]
-                    if settled(lead):
-                        some = some[~settled(some) | (joined[some] != joined[lead])]
+                    some, theirs = other[at : at + 128], tokens[later[at : at + 128]]
+                    # of those that links join already, the ones whose common tokens, wherever they stand, could cover more of either
+                    apart = joined[some] != joined[lead]
+                    open_ = np.flatnonzero(~apart & ~(settled(some) & settled(lead)))
+                    if len(open_):
+                        pair, there = np.nonzero(slot[theirs[open_]] >= 0)
+                        marks = np.zeros((len(open_), len(own)), bool)
+                        marks[pair, slot[theirs[open_][pair, there]]] = True
+                        one = some[open_]
+                        lo, hi = cover.possible(marks[:, at_own], np.full(len(one), before[lead]), np.full(len(one), after[lead]))
+                        lo2, hi2 = cover.possible(slot[theirs[open_]] >= 0, before[one], after[one])
+                        gain = (lo < done_lo[lead]) | (hi > done_hi[lead]) | (lo2 < done_lo[one]) | (hi2 > done_hi[one])
+                        apart[open_] = gain & (lo <= hi) & (lo2 <= hi2)
+                    some = some[apart]
                     if len(some):
                         some = some[meet(np.full(len(some), lead), some)]
                         group_of = np.unique(joined[np.append(some, lead)])
