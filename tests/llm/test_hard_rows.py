@@ -101,3 +101,30 @@ def test_compared_contexts_cover_what_brute_force_does():
         one = lambda v: np.array([v])
         got = cover.pairs(x[None], one(b), one(a), y[None], one(b2), one(a2))
         assert [int(v[0]) for v in got] == want
+
+
+def test_leaders_of_a_large_group_find_what_all_pairs_do(spark, monkeypatch):
+    """Near copies of a few sides around one pivot, in one group: leaders in turn against all pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(24)
+    side = lambda: rng.integers(1, 2**31, 45).astype(np.uint32)
+    left, right = [side() for _ in range(4)], [side() for _ in range(4)]
+    near = []
+    for _ in range(120):
+        one = np.concatenate([left[rng.integers(0, 4)] if rng.random() < 0.7 else side(), [0], right[rng.integers(0, 4)] if rng.random() < 0.7 else side()]).astype(np.uint32)
+        for at in rng.integers(0, 90, int(rng.integers(0, 4))):
+            one[at] = rng.integers(1, 2**31)
+        near.append(one.tobytes())
+    n = len(near)
+    columns = [pa.array([64] * n), pa.array([0] * n), pa.array(range(n)), pa.array(np.arange(n) // 2), pa.array([100] * n, pa.int32()), pa.array([45] * n, pa.int32()), pa.array(near, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["value", "part", "like", "doc_id", "c", "after", "near"])
+
+    def told(few, some):
+        monkeypatch.setattr(substring_dedup, "FEW", few)
+        monkeypatch.setattr(substring_dedup, "SOME", some)
+        return [r for b in substring_dedup._verified(46, 0.8)([batch]) for r in b.to_pylist()]
+
+    every, leaders, product = told(1000, 1000), told(2, 2), told(2, 1000)
+    assert every == product and len(every) > 50
+    assert every == leaders
