@@ -157,6 +157,8 @@ class _Cover:
         self.width, self.similarity, self.size = width, similarity, 2 * width - 1
         self.longest = min(int(width / similarity + 1e-9), self.size)
         self.least = self.need(2 * width)
+        # (tokens to share, the longest passage that they suffice for)
+        self.steps = list({self.need(n + width): n for n in range(width, self.longest + 1)}.items())
 
     def need(self, n: int) -> int:
         return int(np.ceil(n * self.similarity / (1 + self.similarity) - 1e-9))
@@ -179,10 +181,69 @@ class _Cover:
         return lo, hi
 
     def pairs(self, x, bx, ax, y, by, ay):
-        """Row by row: first and last place covered in x, and in y (first > last if nothing is).
+        """Row by row: first and last place covered in x, and in y (first > last if nothing is)."""
+        out = np.empty((4, len(x)), np.int64)
+        for k in (slice(i, i + 512) for i in range(0, len(x), 512)):
+            row, p, q, odd = self._matches(x[k], bx[k], ax[k], y[k], by[k], ay[k])
+            out[:, k], odd = self.in_order(row, p, q, odd, bx[k], ax[k], by[k], ay[k])
+            at = k.start + np.flatnonzero(odd)
+            if len(at):
+                out[:, at] = self.in_any_order(x[at], bx[at], ax[at], y[at], by[at], ay[at])
+        return tuple(out)
 
-        Tokens equal at equal places are shared for certain, and no more than those that occur in the other context at all; where
-        these bounds differ, the passages are compared one by one."""
+    def _matches(self, x, bx, ax, y, by, ay):
+        """(row, place in x, place in y) of equal tokens, places from 0 and by place in y; ``odd`` rows hold some token of both several times."""
+        at = np.arange(self.size)
+        keys = np.empty((len(x), 2 * self.size), np.uint64)
+        for side, (v, b, a) in enumerate(((x, bx, ax), (y, by, ay))):
+            ok = (at >= self.width - 1 - b[:, None]) & (at <= self.width - 1 + a[:, None])
+            keys[:, side * self.size : (side + 1) * self.size] = np.where(ok, v, np.uint64(1 << 32)) << np.uint64(8) | (side << 7 | at).astype(np.uint64)
+        keys.sort(axis=1)
+        token = keys >> np.uint64(8)
+        same = (token[:, 1:] == token[:, :-1]) & (token[:, 1:] < np.uint64(1 << 32))
+        both = same & ((keys[:, 1:] ^ keys[:, :-1]) & np.uint64(128) != 0)
+        odd = (both[:, 1:] & same[:, :-1]).any(axis=1) | (both[:, :-1] & same[:, 1:]).any(axis=1)
+        row, at = np.nonzero(both)
+        points = np.sort(row << 14 | (keys[row, at + 1] & np.uint64(127)).astype(np.int64) << 7 | (keys[row, at] & np.uint64(127)).astype(np.int64))
+        return points >> 14, points & 127, points >> 7 & 127, odd
+
+    def in_order(self, row: np.ndarray, p: np.ndarray, q: np.ndarray, odd: np.ndarray, bx, ax, by, ay):
+        """What ``pairs`` returns, from the matches (row, place in x, place in y) by row and place in y, and the rows left out: ``odd``
+        ones and those whose tokens stand in another order in x.
+
+        The tokens that two passages share are then some that follow one another: as many as needed, near enough in x and in y."""
+        width, longs = self.width, np.array([[self.width], [-self.width], [self.width], [-self.width]])
+        out = np.tile(longs, len(odd))
+        odd = odd.copy()
+        odd[row[1:][(row[1:] == row[:-1]) & (p[1:] < p[:-1])]] = True
+        fits = (bx + ax + 1 >= width) & (by + ay + 1 >= width) & ~odd & (np.bincount(row, minlength=len(odd)) >= self.least)
+        on = fits[row]
+        row, p, q = row[on], p[on] - width + 1, q[on] - width + 1
+        for c, n in self.steps:
+            k = np.flatnonzero(row[: max(0, len(row) - c + 1)] == row[c - 1 :])
+            if not len(k):
+                break
+            last = k + c - 1
+            far, far2 = p[last] - p[k], q[last] - q[k]
+            for mine, others in ((width, n), (n, width)):
+                some = np.flatnonzero((far < mine) & (far2 < others))
+                if not len(some):
+                    continue
+                first, of = k[some], row[k[some]]
+                new = np.append(True, of[1:] != of[:-1])
+                head, tail, of = first[new], first[np.append(new[1:], True)], of[new]
+                end = head + c - 1
+                out[0, of] = np.minimum(out[0, of], np.maximum(-bx[of], p[end] - mine + 1))
+                out[1, of] = np.maximum(out[1, of], np.minimum(ax[of], p[tail] + mine - 1))
+                out[2, of] = np.minimum(out[2, of], np.maximum(-by[of], q[end] - others + 1))
+                out[3, of] = np.maximum(out[3, of], np.minimum(ay[of], q[tail] + others - 1))
+        return out, odd
+
+    def in_any_order(self, x, bx, ax, y, by, ay):
+        """What ``pairs`` returns.
+
+        Tokens equal at equal places are shared for certain, so is the pivot as often as both hold it, and no more than the tokens that
+        occur in the other context at all; where these bounds differ, the passages are compared one by one."""
         out = np.tile(np.array([[self.width], [-self.width], [self.width], [-self.width]]), len(x))
         found = [self._shared(k, x, bx, ax, y, by, ay) for k in (slice(i, i + 128) for i in range(0, len(x), 128))]
         if not found:
@@ -193,6 +254,8 @@ class _Cover:
         straight, mine, others = straight[at], mine[at], others[at]
         within = self._within(straight)
         out[:2, at], out[2:, at] = self._straight(within, bx[at], ax[at]), self._straight(within, by[at], ay[at])
+        found = self._pivots(x[at], bx[at], ax[at], y[at], by[at], ay[at])
+        out[:, at] = np.where([[True], [False]] * 2, np.minimum(out[:, at], found), np.maximum(out[:, at], found))
         bound = out.copy()
         for v, rows, before, after in ((mine, slice(0, 2), bx, ax), (others, slice(2, 4), by, ay)):
             (some,) = np.nonzero((v != straight).any(axis=1))
@@ -241,6 +304,26 @@ class _Cover:
             hi = np.where(some, np.maximum(hi, first[-1] - good[:, ::-1].argmax(axis=1) + n - 1), hi)
         return np.stack([lo, hi])
 
+    def _pivots(self, x, bx, ax, y, by, ay) -> np.ndarray:
+        """What is covered by x's pivot alone, which passages share as often as both hold it."""
+        width, place = self.width, np.arange(self.size) - self.width + 1
+        sums = np.zeros((2, len(x), self.size + 1), np.int8)
+        for k, (v, b, a) in enumerate(((x, bx, ax), (y, by, ay))):
+            np.cumsum((v == x[:, width - 1 : width]) & (place >= -b[:, None]) & (place <= a[:, None]), axis=1, out=sums[k, :, 1:])
+        out = np.tile(np.array([[width], [-width], [width], [-width]]), len(x))
+        for n in range(width, self.longest + 1):
+            for longs in ((width, n), (n, width)) if n > width else ((n, n),):
+                good = []
+                for m, total, b, a in zip(longs, sums, (bx, by), (ax, ay), strict=True):
+                    first = place[: self.size + 1 - m]
+                    good.append((total[:, m:] - total[:, :-m] >= self.need(n + width)) & (first >= -b[:, None]) & (first + m - 1 <= a[:, None]))
+                at = np.flatnonzero(good[0].any(axis=1) & good[1].any(axis=1))
+                for k, (m, on) in enumerate(zip(longs, good, strict=True)):
+                    on = on[at]
+                    out[2 * k, at] = np.minimum(out[2 * k, at], on.argmax(axis=1) - width + 1)
+                    out[2 * k + 1, at] = np.maximum(out[2 * k + 1, at], self.size - width - on[:, ::-1].argmax(axis=1))
+        return out
+
     def _one_way(self, same: np.ndarray, x, before, after, y, before2, after2, several: bool, out: np.ndarray, bound: np.ndarray) -> np.ndarray:
         """Passages of ``width`` tokens of x with y's of up to ``longest``, where ``same`` marks the equal tokens.  Tokens that occur
         ``several`` times are counted as often as both passages hold them.  ``out`` is what is known to be covered, ``bound`` the most
@@ -318,8 +401,10 @@ def _verified(width: int, similarity: float):
         done_lo, done_hi = np.where(whole, -before, width), np.where(whole, after, -width)
         joined = np.arange(len(edges))  # the first context that links reach
 
-        def meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            lo, hi, lo2, hi2 = cover.pairs(near[x], before[x], after[x], near[y], before[y], after[y])
+        def meet(x: np.ndarray, y: np.ndarray, compare=cover.pairs) -> np.ndarray:
+            return take(x, y, *compare(near[x], before[x], after[x], near[y], before[y], after[y]))
+
+        def take(x, y, lo, hi, lo2, hi2) -> np.ndarray:
             for at, first, last in ((x, lo, hi), (y, lo2, hi2)):
                 good = first <= last
                 np.minimum.at(done_lo, at[good], first[good])
@@ -367,6 +452,12 @@ def _verified(width: int, similarity: float):
             order = np.argsort(-shared.sum(axis=1), kind="stable")
             order = order[most_lo[a + order] <= most_hi[a + order]]
             tokens, order = tokens[order], a + order
+            # tokens that a context holds several times
+            several, inner = np.zeros(tokens.shape, bool), np.sort(tokens, axis=1)
+            for k in np.flatnonzero(((inner[:, 1:] == inner[:, :-1]) & (inner[:, 1:] < len(known))).any(axis=1)).tolist():
+                again = inner[k, 1:][inner[k, 1:] == inner[k, :-1]]
+                several[k] = np.isin(tokens[k], again[again < len(known)])
+            slot = np.full(len(known) + 1, -1, np.int16)  # where the lead holds a token
             settled = lambda at: (done_lo[at] <= most_lo[at]) & (done_hi[at] >= most_hi[at])
             for k, lead in enumerate(order.tolist()):
                 later = np.arange(k + 1, len(order))
@@ -378,35 +469,43 @@ def _verified(width: int, similarity: float):
                 later, other = later[on], other[on]
                 if not len(other):
                     continue
-                held = np.zeros(len(known) + 1, bool)
-                held[tokens[k]] = True
-                held[-1] = False
-                common = held[tokens[later]].sum(axis=1)
+                slot[tokens[k]] = np.arange(len(place))
+                slot[-1] = -1
+                common = (slot[tokens[later]] >= 0).sum(axis=1)
                 best = np.argsort(-common, kind="stable")[: int((common >= cover.least).sum())]
                 later, other = later[best], other[best]
-                own, at_own = np.unique(tokens[k], return_inverse=True)
-                slot = np.full(len(known) + 1, -1)
-                slot[own] = np.arange(len(own))
-                slot[-1] = -1
-                for at in range(0, len(other), 128):
-                    some, theirs = other[at : at + 128], tokens[later[at : at + 128]]
-                    # of those that links join already, the ones whose common tokens, wherever they stand, could cover more of either
-                    apart = joined[some] != joined[lead]
-                    open_ = np.flatnonzero(~apart & ~(settled(some) & settled(lead)))
-                    if len(open_):
-                        pair, there = np.nonzero(slot[theirs[open_]] >= 0)
-                        marks = np.zeros((len(open_), len(own)), bool)
-                        marks[pair, slot[theirs[open_][pair, there]]] = True
-                        one = some[open_]
+                for at in range(0, len(other), 256):
+                    some, row = other[at : at + 256], later[at : at + 256]
+                    open_ = (joined[some] != joined[lead]) | ~settled(some) | ~settled(lead)
+                    some, row = some[open_], row[open_]
+                    if not len(some):
+                        continue
+                    there = slot[tokens[row]]
+                    pair, q = np.nonzero(there >= 0)
+                    p = there[pair, q].astype(np.int64)
+                    odd = np.zeros(len(some), bool)
+                    odd[pair[several[k, p] | several[row[pair], q]]] = True
+                    mine = np.full(len(some), before[lead]), np.full(len(some), after[lead])
+                    found, odd = cover.in_order(pair, p, q, odd, *mine, before[some], after[some])
+                    linked = some[take(np.full(len(some), lead), some, *found)]
+                    if odd.any():
+                        # of those that links join already, the ones whose common tokens, wherever they stand, could cover more of either
+                        row, one = row[odd], some[odd]
+                        apart = joined[one] != joined[lead]
+                        at_own = np.unique(tokens[k], return_inverse=True)[1]
+                        marks = np.zeros((len(one), len(place)), bool)
+                        pair, q = np.nonzero(there[odd] >= 0)
+                        marks[pair, at_own[there[odd][pair, q]]] = True
                         lo, hi = cover.possible(marks[:, at_own], np.full(len(one), before[lead]), np.full(len(one), after[lead]))
-                        lo2, hi2 = cover.possible(slot[theirs[open_]] >= 0, before[one], after[one])
+                        lo2, hi2 = cover.possible(there[odd] >= 0, before[one], after[one])
                         gain = (lo < done_lo[lead]) | (hi > done_hi[lead]) | (lo2 < done_lo[one]) | (hi2 > done_hi[one])
-                        apart[open_] = gain & (lo <= hi) & (lo2 <= hi2)
-                    some = some[apart]
-                    if len(some):
-                        some = some[meet(np.full(len(some), lead), some)]
-                        group_of = np.unique(joined[np.append(some, lead)])
+                        one = one[(apart | gain) & (lo <= hi) & (lo2 <= hi2)]
+                        if len(one):
+                            linked = np.append(linked, one[meet(np.full(len(one), lead), one, cover.in_any_order)])
+                    group_of = np.unique(joined[np.append(linked, lead)])
+                    if len(group_of) > 1:
                         joined[a:b][np.isin(joined[a:b], group_of)] = group_of[0]
+                slot[tokens[k]] = -1
         good = done_lo[rep] <= done_hi[rep]
         if good.any():
             at, f = rep[good], value[good] & 63

@@ -128,3 +128,33 @@ def test_leaders_of_a_large_group_find_what_all_pairs_do(spark, monkeypatch):
     every, leaders, product = told(1000, 1000), told(2, 2), told(2, 1000)
     assert every == product and len(every) > 50
     assert every == leaders
+
+
+def test_edited_copies_and_repeated_words_need_no_comparison_of_all_passages(monkeypatch):
+    """Inserted, deleted and changed words keep the order of tokens, and runs of one word share the pivot only: both are told without
+    comparing passages one by one, with the same result."""
+    rng = np.random.default_rng(25)
+    cover, place = substring_dedup._Cover(46, 0.8), np.arange(91)
+    base, x, y = rng.integers(1, 2**31, 120).astype(np.uint32), [], []
+    for _ in range(60):
+        for side in (x, y):
+            one = np.delete(base, rng.integers(0, 50, int(rng.integers(0, 4))))
+            one = np.insert(one, rng.integers(0, 90, int(rng.integers(0, 4))), rng.integers(1, 2**31, 1))
+            side.append(one[:91])
+    for k in range(60):
+        a, b = (rng.integers(1, 2**31, 91).astype(np.uint32) for _ in range(2))
+        for one in (a, b):
+            one[(place >= rng.integers(0, 46)) & (place <= rng.integers(45, 91))] = 7
+        x, y = [*x, a], [*y, b]
+    x, y = np.stack(x), np.stack(y)
+    b, a, b2, a2 = rng.integers(20, 46, (4, len(x)))
+    compared = np.zeros(1, int)
+    slow = substring_dedup._Cover._one_way
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup._Cover, "_one_way", lambda self, same, *rest: compared.__iadd__(len(same)) is None or slow(self, same, *rest))
+        got = np.stack(cover.pairs(x, b, a, y, b2, a2))
+    assert compared[0] <= 12
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup._Cover, "_pivots", lambda self, x, *_: np.array([[46], [-46]] * 2) * np.ones(len(x), int), raising=False)
+        want = np.stack(getattr(cover, "in_any_order", cover.pairs)(x, b, a, y, b2, a2))
+    assert (got == want).all() and (got[0] <= got[1]).sum() > 40
