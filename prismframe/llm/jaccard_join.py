@@ -406,8 +406,10 @@ def jaccard_components(documents: DataFrame, width: int = 4, threshold: float =
     known = marks.where("n > 0 and doc_id is not null")
     copies = known.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("k")).where("k > 1")
     copies = materialize(copies.select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row")), "copies")
-    others = known.select("digest", "row").join(broadcast_if_small(copies), "digest").where("row <> class_row").select("row")
-    reps = marks.where("n >= 2 and doc_id is not null").join(broadcast_if_small(others), "row", "left_anti").select(F.col("doc_id").alias("rep"), "n", "prefix", "sketch")
+    others = materialize(known.select("digest", "row").join(broadcast_if_small(copies), "digest").where("row <> class_row").select("row"), "others")
+    # row numbers alone: broadcast up to some millions, so that prefixes are not shuffled with them
+    apart = lambda rows: rows.where("n >= 2 and doc_id is not null").join(broadcast_if_small(others, 32_000_000), "row", "left_anti").withColumnRenamed("doc_id", "rep")
+    reps = apart(marks).select("rep", "n", "prefix")
     num, den = t.numerator, t.denominator
     needed = f"(n * {num}L + {den - 1}L) div {den}L"
     single = reps.select("rep", "n", F.explode(F.expr(f"slice(prefix, 1, cast(n - {needed} + 1 as int))")).alias("key"))
@@ -427,6 +429,10 @@ def jaccard_components(documents: DataFrame, width: int = 4, threshold: float =
         .select("key", "rep", "n"),
         "lists",
     )
+    # the prefixes have served
+    whole, marks = marks, materialize(marks.select("doc_id", "n", "digest", "sketch", "row"), "sketches")
+    free(whole)
+    reps = apart(marks).select("rep", "n", "sketch")
     near = f"least(n, n2) * {den}L >= {num}L * greatest(n, n2)"
     ordered = by_key.orderBy("n", "rep")
     before = F.lag(F.struct(F.col("rep").alias("rep2"), F.col("n").alias("n2"))).over(ordered)
@@ -439,8 +445,8 @@ def jaccard_components(documents: DataFrame, width: int = 4, threshold: float =
         "tried",
     )
     # symmetric difference <= (1 - t) / (1 + t) * (n + n2)
-    apart = " + ".join(f"bit_count(sketch[{k}] ^ s2[{k}])" for k in range(SKETCH_LONGS))
-    close = f"({apart}) * {num + den}L <= {den - num}L * (n + n2)"
+    differ = " + ".join(f"bit_count(sketch[{k}] ^ s2[{k}])" for k in range(SKETCH_LONGS))
+    close = f"({differ}) * {num + den}L <= {den - num}L * (n + n2)"
     one, other = (reps.select("rep", "n", "sketch").toDF(*names) for names in (("a", "n", "sketch"), ("b", "n2", "s2")))
     likely = materialize(tried.join(one, "a").join(other, "b").where(close).select("a", "b"), "likely")
     free(tried)

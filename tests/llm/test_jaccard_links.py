@@ -58,3 +58,23 @@ def test_parities_never_differ_in_more_bits_than_sets_in_elements():
     # sets without a common element are told apart at 0.8
     a, b = np.arange(2000).astype(np.uint64), np.arange(5000, 7100).astype(np.uint64)
     assert jaccard_join._apart([jaccard_join._parities(a)], [jaccard_join._parities(b)], np.ones((1, 1), bool))[0, 0] * 9 > 4100
+
+
+def test_prefixes_leave_the_disk_before_sets_are_fetched(spark, monkeypatch):
+    """What is kept beside the whole sets is small: no table with prefixes exists any more when the sets are written."""
+    import os
+
+    real, written, kept = jaccard_join.materialize, [], []
+
+    def seen(df, name):
+        out = real(df, name)
+        written.append(out)
+        if name == "sets":
+            kept.append([t for t in written if "prefix" in t.columns and os.path.exists(t.materialized_at)])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", seen)
+    rows = near_copies(12, 60, 6) + [(1000, "a b c d e f g"), (1001, "a b c d e f g"), (None, "a b c d e f g"), (1002, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.85).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.doc_id in (1000, 1001)} == {1000}
+    assert kept and not any(kept)
