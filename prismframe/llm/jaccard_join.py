@@ -51,6 +51,8 @@ LIGHT_MOST = 64
 #: Rows of a list, and sets of a component, that meet in one task; more are parted and meet part by part.
 LIST_ROWS = 4096
 CELL_SETS = 256
+#: Bits of a filter over lists: for each list, and at most.
+LIST_BITS, LIST_BITS_MOST = 16, 1 << 25
 
 
 def _sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -288,29 +290,35 @@ def _in_cells(rows: DataFrame, sets: DataFrame, column: str, threshold: Fraction
     return dealt.mapInArrow(_cells(threshold, what), "a long, b long")
 
 
-def _hub_cells(pairs: DataFrame, blocks: DataFrame | None) -> DataFrame:
-    """Cells in which each hub a meets its partners b, so that a hub's sets are not copied for every partner.
+def _hub_cells(pairs: DataFrame, blocks: DataFrame | None) -> tuple[DataFrame, list[DataFrame]]:
+    """Cells in which each hub a meets its partners b, so that a hub's sets are not copied for every partner; and the
+    tables to free after them.
 
     Hubs and partners are ids or, with blocks(c, id, block, blocks), components: then every partner's
-    set meets every block of the hub."""
+    set meets every block of the hub.  Partners and their parts are written first: one plan that holds them several
+    times costs the driver more memory than all else."""
     if blocks is None:
-        guests = pairs.select(F.col("a").alias("hub"), F.lit(0).alias("i"), F.col("b").alias("rep"), F.col("b").alias("c"))
+        guests, used = pairs.select(F.col("a").alias("hub"), F.lit(1).alias("k"), F.col("b").alias("rep"), F.col("b").alias("c")), []
     else:
         split = blocks.groupBy("c").agg(F.first("blocks").alias("k"))
         guests = pairs.join(split.toDF("a", "k"), "a").join(blocks.select(F.col("c").alias("b"), F.col("id").alias("rep")), "b")
-        guests = guests.select(F.col("a").alias("hub"), F.explode(F.expr("sequence(0, k - 1)")).alias("i"), "rep", F.col("b").alias("c"))
-    parts = guests.where("i = 0").groupBy("hub").agg(F.ceil(F.count("*") / CELL_SETS).cast("int").alias("parts"))
-    guests = guests.join(parts, "hub").select("hub", "i", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("j"), F.lit(1).alias("side"), "rep", "c")
+        guests = materialize(guests.select(F.col("a").alias("hub"), "k", "rep", F.col("b").alias("c")), "guests")
+        used = [guests]
+    parts = materialize(guests.groupBy("hub").agg(F.ceil(F.count("*") / CELL_SETS).cast("int").alias("parts")), "parts")
+    guests = guests.join(parts, "hub").select("hub", F.explode(F.expr("sequence(0, k - 1)")).alias("i"), F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("j"), F.lit(1).alias("side"), "rep", "c")
     of = parts.select("hub", F.lit(0).alias("i"), F.col("hub").alias("rep"), "parts") if blocks is None else parts.join(blocks.select(F.col("c").alias("hub"), F.col("block").alias("i"), F.col("id").alias("rep")), "hub").select("hub", "i", "rep", "parts")
     hosts = of.select("hub", "i", F.explode(F.expr("sequence(0, parts - 1)")).alias("j"), F.lit(0).alias("side"), "rep", F.col("hub").alias("c"))
-    return guests.union(hosts)
+    return guests.union(hosts), [*used, parts]
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction, blocks: DataFrame | None = None) -> DataFrame:
     """Those of the pairs (a, b) of ids, or of components, of which some sets reach the threshold."""
-    may = materialize(_in_cells(_hub_cells(pairs, blocks), sets, "parities", threshold, "may").distinct(), "may_link")
-    links = materialize(_in_cells(_hub_cells(may, blocks), sets, "elements", threshold, "link").distinct(), "linked")
-    free(may)
+    cells, used = _hub_cells(pairs, blocks)
+    may = materialize(_in_cells(cells, sets, "parities", threshold, "may").distinct(), "may_link")
+    free(*used)
+    cells, used = _hub_cells(may, blocks)
+    links = materialize(_in_cells(cells, sets, "elements", threshold, "link").distinct(), "linked")
+    free(may, *used)
     return links
 
 
@@ -375,6 +383,34 @@ def _blocks(comps: DataFrame, of: DataFrame) -> DataFrame:
     return comps.join(sizes, "c").select("c", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
 
 
+def _bit_words(places: DataFrame) -> DataFrame:
+    """One column of whole numbers -> (w, bits): the words of their bit map that are not zero."""
+    p = places.columns[0]
+    return places.groupBy(F.expr(f"{p} div 64").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({p} % 64 as int)))").alias("bits"))
+
+
+def _without(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows whose ``row`` is not in the bit map ``words`` (materialised)."""
+    found = rows.withColumn("w", F.expr("row div 64")).join(broadcast_if_small(words), "w", "left")
+    return found.where("coalesce(getbit(bits, cast(row % 64 as int)), 0) = 0").select(*rows.columns)
+
+
+def _in_lists(placed: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows of the open ones of ``lists`` (key, g, open: materialised; lists of one part that are not open are left out), with g.
+
+    Lists of several parts are few and sent by name, the others as a bit map, which takes the driver a small part of
+    the memory of their keys; some 6 % of the lists of one part that are not open pass too, in which nothing crosses."""
+    bits = 1 << max(6, (LIST_BITS * lists.count()).bit_length())
+    if bits > LIST_BITS_MOST:
+        return placed.join(lists.where("open").select("key", "g"), "key")
+    long = materialize(lists.where("g > 1"), "long")
+    words = materialize(_bit_words(lists.where("g = 1").select(F.pmod("key", F.lit(bits)).alias("p"))), "words")
+    found = placed.withColumn("p", F.pmod("key", F.lit(bits))).withColumn("w", F.expr("p div 64"))
+    found = found.join(broadcast_if_small(long), "key", "left").join(F.broadcast(words), "w", "left")
+    found = found.where("case when g is null then coalesce(getbit(bits, cast(p % 64 as int)), 0) = 1 else open end")
+    return found.select(*placed.columns, F.coalesce("g", F.lit(1)).alias("g"))
+
+
 def _boundary(single: DataFrame, threshold: Fraction) -> int:
     """The largest set size for which enumerating subsets costs no more rows than scanning lists.
 
@@ -406,9 +442,9 @@ def jaccard_components(documents: DataFrame, width: int = 4, threshold: float =
     known = marks.where("n > 0 and doc_id is not null")
     copies = known.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("k")).where("k > 1")
     copies = materialize(copies.select("digest", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row")), "copies")
-    others = materialize(known.select("digest", "row").join(broadcast_if_small(copies), "digest").where("row <> class_row").select("row"), "others")
-    # row numbers alone: broadcast up to some millions, so that prefixes are not shuffled with them
-    apart = lambda rows: rows.where("n >= 2 and doc_id is not null").join(broadcast_if_small(others, 32_000_000), "row", "left_anti").withColumnRenamed("doc_id", "rep")
+    others = materialize(_bit_words(known.select("digest", "row").join(broadcast_if_small(copies), "digest").where("row <> class_row").select("row")), "others")
+    # 64 row numbers in a word: broadcast up to some ten millions, so that prefixes are not shuffled with them
+    apart = lambda rows: _without(rows.where("n >= 2 and doc_id is not null"), others).withColumnRenamed("doc_id", "rep")
     reps = apart(marks).select("rep", "n", "prefix")
     num, den = t.numerator, t.denominator
     needed = f"(n * {num}L + {den - 1}L) div {den}L"
@@ -475,9 +511,9 @@ def _joined(docs: DataFrame, reps: DataFrame, lists: DataFrame, comps: DataFrame
 
     Lists that still hold several components tell which of these may link; then their sets meet in exact blocks."""
     placed = lists.join(broadcast_if_small(comps), lists.rep == comps.id, "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"))
-    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("g")).where("lo < hi").select("key", "g")
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("g")).where("lo < hi or g > 1").select("key", "g", F.expr("lo < hi").alias("open"))
     several = materialize(several, "several")
-    placed = placed.join(broadcast_if_small(several), "key").withColumn("salt", F.pmod(F.xxhash64("rep"), "g").cast("int"))
+    placed = _in_lists(placed, several).withColumn("salt", F.pmod(F.xxhash64("rep"), "g").cast("int"))
     placed = placed.join(reps.select("rep", "sketch"), "rep")
     # a long list is compared in parts: every row meets each of the list's parts
     placed = placed.withColumn("o", F.explode(F.expr("sequence(0, g - 1)"))).select("key", F.least("salt", "o").alias("s1"), F.greatest("salt", "o").alias("s2"), "n", "c", "sketch")
@@ -487,9 +523,11 @@ def _joined(docs: DataFrame, reps: DataFrame, lists: DataFrame, comps: DataFrame
     free(several)
     if crossing.isEmpty():
         return None
-    ends = crossing.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    grown = ends.join(broadcast_if_small(comps.select("c").distinct()), "c", "left_anti").select(F.col("c").alias("id"), "c")
-    blocks = materialize(_blocks(comps.select("id", "c").union(grown), ends), "blocks")
+    ends = materialize(crossing.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "ends")
+    # a component's name is the id of one of its rows
+    grown = materialize(ends.join(broadcast_if_small(comps.where("id = c").select("c")), "c", "left_anti").select(F.col("c").alias("id"), "c"), "grown")
+    blocks = materialize(_blocks(comps.select("id", "c").union(grown), broadcast_if_small(ends)), "blocks")
+    free(ends, grown)
     wanted = materialize(blocks.select(F.col("id").alias("doc_id")).distinct().join(members, "doc_id", "left_anti"), "wanted")
     more = _sets_of(docs, wanted, width)
     every = sets.union(more)
