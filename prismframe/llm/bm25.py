@@ -2,12 +2,13 @@
 
 Document frequencies, the number of documents and their mean length are counted over all documents.
 Documents are dealt by hash over shards; each shard builds an inverted index whose posting lists are cut into blocks of
-``BLOCK`` documents, with the largest impact of each list and of each (list, block).  Queries come in groups of a
-bounded size, which go to the shards whole; the index is rebuilt for each group, never copied.
+``BLOCK`` documents, with the largest impact of each list and, of longer lists, of each (list, block).  Queries come in groups of a
+bounded size, which go to the shards whole; an index is built for several groups, never copied.
 
-Block-max WAND, for numpy: a query reads its lists in falling order of their upper bounds.  The k-th best sum so far is
-the threshold.  Once the lists not read cannot reach it by themselves, only documents met so far can be pivots:
-those whose sum and the lists' upper bounds reach the threshold, and then those whose sum and their block's maxima do.
+Block-max WAND, for numpy: the lists of many documents are rows of a matrix, whose product with the weights of many queries
+at once gives what they add.  A query reads its other lists in falling order of their upper bounds.  The k-th best sum so far is
+the threshold, or the k-th best score of shards searched before.  Once the lists not read cannot reach it by themselves, only documents met so
+far can be pivots: those whose sum and the lists' upper bounds reach the threshold, and then those whose sum and their block's maxima do.
 When scoring the pivots costs less than reading on, they are scored exactly, the highest bound first, until the
 next bound is below the k-th best score.  The shards' top k are merged exactly, since all scores use the global
 statistics and one order of summation; ties go to the smaller id.
@@ -20,9 +21,11 @@ with a null id are left out; repeated ids are separate documents.  Other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,12 @@ K1, B = 1.2, 0.75
 CHUNK = 1_000_000
 #: Bounds are raised by this factor, since sums of rounded impacts stand for exact ones.
 SLACK = 1 + 1e-5
+#: Lists of more than this part of a shard's documents, the longest so many, are kept as rows of a matrix.
+DENSE, DENSE_LISTS = 20, 1024
+#: How many sums (queries x documents) are held at once.
+SUMS = 1 << 21
+#: Groups of queries that one job answers; from so many shards on, every so many-th of them is searched first.
+GROUPS, SHARDS, FIRST = 8, 32, 16
 #: How many entries of posting lists are read in the time of one of a document's own entries.
 OWN_COST = 4
 
@@ -72,8 +81,22 @@ def _filter_of(terms: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _frequencies(passes: np.ndarray):
-    """Partial document frequencies of the terms that pass, and under a null term (documents, words)."""
+def _told(passes: np.ndarray):
+    """(words, terms that pass) of each document."""
+    return lambda batches: ((n, terms[_passing(terms, passes)]) for rows in rows_of(batches) for _, n, terms, _ in _terms(rows))
+
+
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """The same from the rows that ``_postings`` gave."""
+    for batch in batches:
+        terms, lengths = _flat(batch["terms"])
+        ends = np.cumsum(lengths)
+        for n, a, b in zip(batch["n_words"].to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+            yield n, terms[a:b].view(np.uint64)
+
+
+def _frequencies(of):
+    """Partial document frequencies of the terms that ``of`` gives, and under a null term (documents, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, docs, words = [], 0, 0, 0
@@ -82,11 +105,10 @@ def _frequencies(passes: np.ndarray):
             terms, counts = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts), pa.array(np.zeros(len(terms), np.int64))], ["term", "df", "words"])
 
-        for rows in rows_of(batches):
-            for _, n, terms, _ in _terms(rows):
-                docs, words = docs + 1, words + n
-                held.append(terms[_passing(terms, passes)])
-                size += len(held[-1])
+        for n, terms in of(batches):
+            docs, words = docs + 1, words + n
+            held.append(terms)
+            size += len(terms)
             if size >= CHUNK:
                 yield flush()
                 held, size = [], 0
@@ -98,16 +120,17 @@ def _frequencies(passes: np.ndarray):
 
 
 def _postings(passes: np.ndarray):
+    """The terms that pass of each document, also of those without any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches):
             ids, sizes, terms, counts = [], [], [], []
             for i, n, t, c in _terms(rows):
                 on = _passing(t, passes)
-                if on.any():
-                    ids.append(i)
-                    sizes.append(n)
-                    terms.append(t[on].view(np.int64))
-                    counts.append(c[on].astype(np.int32))
+                ids.append(i)
+                sizes.append(n)
+                terms.append(t[on].view(np.int64))
+                counts.append(c[on].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
                 ["doc_id", "n_words", "terms", "counts"],
@@ -122,84 +145,152 @@ def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
 
 
+class Queries(NamedTuple):
+    """A group of queries: query i has the terms known[term[begin[i]:begin[i + 1]]], in their order, and their weights."""
+
+    ids: np.ndarray
+    begin: np.ndarray
+    known: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+
+
 class ShardIndex:
     """Posting lists sorted by (term, document) with the largest impact of each list and of each block, and the
     documents' own terms for exact scores.  Lists hold rounded impacts; ``SLACK`` covers that in every bound."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, mean: float):
         order = np.argsort(ids, kind="stable")  # ties between equal scores then go to the smaller id
-        rank = np.empty_like(order)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         self.ids = ids[order]
         ends = np.cumsum(lengths)
         self.own_begin, self.own_end = (ends - lengths)[order], ends[order]
-        self.own_impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * np.repeat(sizes, lengths) / mean))
-        doc = np.repeat(rank, lengths).astype(np.int32)
+        self.sizes, self.counts, self.mean = sizes[order], counts, mean
+        doc = np.repeat(rank, lengths)
         by = np.lexsort((doc, terms))
-        terms, self.doc, self.impact = terms[by], doc[by], self.own_impact[by].astype(np.float32)
+        terms, doc, impact = terms[by], doc[by], np.empty(len(by), np.float32)
+        for some in (slice(i, i + CHUNK) for i in range(0, len(by), CHUNK)):
+            impact[some] = self._impact(doc[some], by[some])
         new_term = np.append(True, terms[1:] != terms[:-1]) if len(terms) else np.zeros(0, bool)
-        self.own_term = np.empty(len(by), np.int32)
-        self.own_term[by] = np.cumsum(new_term) - 1
         self.terms, self.begin = terms[new_term], np.flatnonzero(new_term)
-        self.end = np.append(self.begin[1:], len(terms))
-        block = self.doc // BLOCK
-        new = new_term | np.append(True, block[1:] != block[:-1]) if len(terms) else new_term
-        at = np.flatnonzero(new)
-        self.block = block[at]
-        self.block_most = np.maximum.reduceat(self.impact, at) if len(terms) else self.impact
-        self.first = np.flatnonzero(new_term[at])
-        self.last = np.append(self.first[1:], len(at))
-        self.most = np.maximum.reduceat(self.impact, self.begin) if len(terms) else self.impact
-        self.n_blocks = -(-len(ids) // BLOCK)
-        self.weight = np.zeros(len(self.terms))
+        self.end = np.append(self.begin[1:], len(doc))
+        del terms
+        # weights stand by falling length of the lists, so that those of most entries are near each other
+        longest = np.argsort(self.begin - self.end, kind="stable")
+        self.slot = np.empty(len(longest), np.int32)
+        self.slot[longest] = np.arange(len(longest))
+        self.own_term = np.empty(len(by), np.int32)
+        self.own_term[by] = np.repeat(self.slot, self.end - self.begin)
+        del by
+        # blocks of the lists that have several documents in most of them
+        sizes, n, self.n_blocks = self.end - self.begin, len(ids), -(-len(ids) // BLOCK)
+        held = np.repeat(sizes > 2 * self.n_blocks, sizes)
+        at = np.flatnonzero(held & (new_term | np.append(True, doc[1:] // BLOCK != doc[:-1] // BLOCK))) if len(doc) else np.empty(0, np.int64)
+        self.block = doc[at] // BLOCK
+        cuts = np.union1d(at, 1 + np.flatnonzero(held[:-1] & ~held[1:]))  # also where such lists end
+        self.block_most = np.maximum.reduceat(impact, cuts)[np.searchsorted(cuts, at)] if len(at) else impact[:0]
+        self.first, self.last = np.searchsorted(at, self.begin).astype(np.int32), np.searchsorted(at, self.end).astype(np.int32)
+        self.most = np.maximum.reduceat(impact, self.begin) if len(doc) else impact
+        self.weight, self.asked = np.zeros(len(self.terms)), np.zeros(len(self.terms), bool)
+        # the lists that hold many documents, as rows of a matrix
+        dense = longest[:DENSE_LISTS]
+        dense = dense[sizes[dense] * DENSE > n]
+        self.dense, self.row = np.zeros((len(dense), n), np.float32), np.full(len(self.terms), -1, np.int32)
+        self.row[dense] = np.arange(len(dense))
+        places = _ranges(self.begin[dense], self.end[dense])
+        self.dense[np.repeat(np.arange(len(dense)), sizes[dense]), doc[places]] = impact[places]
+        self.slack = SLACK + 2.0**-22 * len(dense)
+        self.entries = np.stack([doc, impact.view(np.int32)], axis=1).view(np.int64)[:, 0]  # a document and its impact are gathered at once
+
+    def _impact(self, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The exact impacts of documents' own entries, which stand at ``places``."""
+        counts = self.counts[places].astype(np.int64)
+        return counts * (K1 + 1) / (counts + K1 * (1 - B + B * self.sizes[docs] / self.mean))
 
     def _scores(self, docs: np.ndarray) -> np.ndarray:
         """Exact scores of documents by their own terms, always summed in the order of the terms."""
-        begin, end = self.own_begin[docs], self.own_end[docs]
-        places = _ranges(begin, end)
-        return np.bincount(np.repeat(np.arange(len(docs)), end - begin), self.weight[self.own_term[places]] * self.own_impact[places], len(docs))
+        own = [b + np.flatnonzero(self.asked[self.own_term[b:e]]) for b, e in zip(self.own_begin[docs].tolist(), self.own_end[docs].tolist(), strict=True)]
+        places, of = np.concatenate([np.empty(0, np.int64), *own]), np.repeat(np.arange(len(docs)), [len(one) for one in own])
+        return np.bincount(of, self.weight[self.own_term[places]] * self._impact(docs[of], places), len(docs))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best documents; terms are sorted."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        on = self.terms[at] == terms if len(self.terms) else np.zeros(len(at), bool)
-        at, weights = at[on], weights[on]
+        return next(self.search_all(Queries(np.zeros(1, np.int64), np.array([0, len(terms)]), terms, np.arange(len(terms)), weights), k))[1:]
+
+    def search_all(self, asked: Queries, k: int, least: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, scores) of the k best documents of each query, of scores that are not below its ``least``."""
+        found = np.searchsorted(self.terms, asked.known)
+        found[found == len(self.terms)] = 0
+        found[self.terms[found] != asked.known if len(self.terms) else slice(None)] = -1
+        least = np.zeros(len(asked.ids)) if least is None else least
+        step = max(1, min(256, SUMS // max(1, len(self.ids))))
+        for first in range(0, len(asked.ids), step):
+            queries = range(first, min(first + step, len(asked.ids)))
+            own, some = [], np.zeros((len(queries), len(self.dense)), np.float32)
+            for i, q in enumerate(queries):
+                at, weights = found[asked.term[asked.begin[q] : asked.begin[q + 1]]], asked.weight[asked.begin[q] : asked.begin[q + 1]]
+                at, weights = at[at >= 0], weights[at >= 0]
+                row = self.row[at]
+                some[i, row[row >= 0]] = weights[row >= 0]
+                own.append((at, weights, row < 0))
+            sums = some @ self.dense
+            for i, q in enumerate(queries):
+                yield asked.ids[q], *self._best(*own[i], sums[i], k, float(least[q]))
+
+    def _kth(self, sums: np.ndarray, k: int) -> float:
+        """The k-th largest sum."""
+        if len(sums) < 64 * k:
+            return float(np.partition(sums, len(sums) - k)[len(sums) - k])
+        # the k-th largest of the maxima of 16 k runs and the rest is not above it, and few sums are as large
+        runs = sums[: len(sums) // (16 * k) * 16 * k].reshape(16 * k, -1).max(axis=1)
+        large = sums[sums >= np.partition(runs, 15 * k)[15 * k]]
+        return float(np.partition(large, len(large) - k)[len(large) - k])
+
+    def _best(self, at: np.ndarray, weights: np.ndarray, sparse: np.ndarray, sums: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best documents: ``sums`` has what the dense lists add, the ``sparse`` ones are read."""
         if not len(at):
             return self.ids[:0], np.empty(0)
-        bound = weights * self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        at, weights, bound = at[order], weights[order], bound[order]
-        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0) * SLACK  # what lists from here on can add
-        sizes = self.end[at] - self.begin[at]
+        lists, own = at[sparse], weights[sparse]
+        bound = own * self.most[lists]
+        order = np.argsort(-bound)
+        lists, own = lists[order], own[order]
+        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0) * SLACK  # what lists from here on can add
+        begin, end = self.begin[lists], self.end[lists]
+        sizes = end - begin
         upto = np.append(0, np.cumsum(sizes))
         n, k = len(self.ids), min(k, len(self.ids))
-        sums, read, step, threshold = np.zeros(n), 0, max(n // 4, 1024), 0.0
+        read, step = 0, max(n // 2, 1024)
+        must = int(np.argmax(rest < least)) if least > 0 else 0  # lists to read before others can be left
         while True:
-            until = max(read + 1, int(np.searchsorted(upto, upto[read] + step, "right")) - 1)
-            lists = [slice(b, e) for b, e in zip(self.begin[at[read:until]].tolist(), self.end[at[read:until]].tolist(), strict=True)]
-            add = np.concatenate([self.impact[one] for one in lists]) * np.repeat(weights[read:until], sizes[read:until])
-            sums += np.bincount(np.concatenate([self.doc[one] for one in lists]), add, n)
-            read, step = until, 3 * step
-            threshold = np.partition(sums, n - k)[n - k] / SLACK
-            if rest[read] >= threshold > 0 or (threshold == 0 and read < len(at)):
+            if read < len(lists):
+                until = max(must, read + 1, int(np.searchsorted(upto, upto[read] + step, "right")) - 1)
+                found = self.entries[_ranges(begin[read:until], end[read:until])].view(np.int32).reshape(-1, 2)
+                sums = sums + np.bincount(found[:, 0], found[:, 1].view(np.float32) * np.repeat(own[read:until], sizes[read:until]), n)
+                read, step = until, 3 * step
+            threshold = max(least, self._kth(sums, k) / self.slack)
+            if read < len(lists) and rest[read] >= threshold:
                 continue  # a document of none of the lists so far could still be among the best
-            pivots = np.flatnonzero((sums > 0) & (sums * SLACK + rest[read] >= threshold))
-            if read < len(at):
-                entries = _ranges(self.first[at[read:]], self.last[at[read:]])
-                more = np.repeat(weights[read:], self.last[at[read:]] - self.first[at[read:]]) * self.block_most[entries]
-                most = (sums[pivots] + np.bincount(self.block[entries], more, self.n_blocks)[pivots // BLOCK]) * SLACK
-                pivots, most = pivots[most >= threshold], most[most >= threshold]
-                if OWN_COST * (self.own_end[pivots] - self.own_begin[pivots]).sum() > upto[-1] - upto[read]:
+            most = sums * self.slack + rest[read]
+            pivots = np.flatnonzero((most >= threshold) & (sums > 0))
+            most = most[pivots] if read < len(lists) else np.full(len(pivots), np.inf)
+            if read < len(lists) and not self._cheap(pivots, upto[-1] - upto[read]):
+                blocks = self.last[lists[read:]] - self.first[lists[read:]]
+                if not blocks.any():
                     continue  # reading on is cheaper, and the bounds get tighter
-                pivots = pivots[np.argsort(-most, kind="stable")]
-                most = -np.sort(-most)
-            else:
-                most = np.full(len(pivots), np.inf)
+                entries = _ranges(self.first[lists[read:]], self.last[lists[read:]])
+                more = np.bincount(self.block[entries], np.repeat(own[read:], blocks) * self.block_most[entries], self.n_blocks)
+                more += bound[order][read:][blocks == 0].sum()
+                most = (sums[pivots] + more[pivots // BLOCK]) * self.slack
+                pivots, most = pivots[most >= threshold], most[most >= threshold]
+                if not self._cheap(pivots, upto[-1] - upto[read]):
+                    continue
             break
-        self.weight[at] = weights
+        order = np.argsort(-most, kind="stable")
+        pivots, most = pivots[order], most[order]
+        self.weight[self.slot[at]], self.asked[self.slot[at]] = weights, True
         docs, scores, done = pivots[:0], np.empty(0), 0
-        step = len(pivots) if read == len(at) else 2 * k
+        step = len(pivots) if read == len(lists) else 2 * k
         while done < len(pivots) and most[done] >= threshold:
             some = pivots[done : done + step]
             docs, scores = np.append(docs, some), np.append(scores, self._scores(some))
@@ -208,61 +299,94 @@ class ShardIndex:
             if len(docs) == k:
                 threshold = max(threshold, scores[-1])
             done, step = done + len(some), 2 * step
-        self.weight[at] = 0
+        self.asked[self.slot[at]] = False
+        docs, scores = docs[scores >= least], scores[scores >= least]
         return self.ids[docs], scores
 
+    def _cheap(self, pivots: np.ndarray, left: int) -> bool:
+        """Whether documents are scored in less time than so many entries of lists are read."""
+        return OWN_COST * (self.own_end[pivots] - self.own_begin[pivots]).sum() <= left
+
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    array = column.combine_chunks()
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return array.flatten().to_numpy(zero_copy_only=False), np.diff(array.offsets.to_numpy())
 
 
-def _search(mean: float, k: int, asked: list[tuple[int, np.ndarray, np.ndarray]]):
-    """The best documents of one shard for each (query, sorted terms, weights)."""
+def _search(mean: float, k: int, groups: list[Broadcast], least: tuple[np.ndarray, np.ndarray] | None):
+    """The best documents of each shard, whose rows follow one another, for each query of the groups, of scores that are not below
+    ``least`` (sorted queries, scores)."""
+
+    def found(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, lengths, terms, counts = (np.concatenate([part.pop(0) for part in held]) for _ in range(5))
+        index = ShardIndex(ids, sizes, lengths, terms, counts, mean)
+        del ids, sizes, lengths, terms, counts
+        for group in groups:
+            asked, most = group.value, None
+            vars(group).pop("_value", None)  # a task holds one group at a time
+            if least is not None and len(least[0]):
+                at = np.minimum(np.searchsorted(least[0], asked.ids), len(least[0]) - 1)
+                most = np.where(least[0][at] == asked.ids, least[1][at], 0.0)
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+            for query, docs, scores in index.search_all(asked, k, most):
+                for column, values in zip(out, (np.full(len(docs), query), docs, scores), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "doc_id", "score"])
 
-    def run(docs: pa.Table) -> pa.Table:
-        terms, lengths = _flat(docs["terms"])
-        counts, _ = _flat(docs["counts"])
-        index = ShardIndex(docs["doc_id"].to_numpy(), docs["n_words"].to_numpy(), lengths, terms.view(np.uint64), counts, mean)
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
-        for query, own, weights in asked:
-            ids, scores = index.search(own, weights, k)
-            for column, values in zip(out, (np.full(len(ids), query), ids, scores), strict=True):
-                column.append(values)
-        return pa.table([pa.array(np.concatenate(c)) for c in out], ["query_id", "doc_id", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            shard = batch["shard"].to_numpy()
+            edges = [0, *(1 + np.flatnonzero(shard[1:] != shard[:-1])).tolist(), len(shard)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if held and shard[a] != last:
+                    yield from found(held)
+                    held = []
+                part, last = batch.slice(a, b - a), shard[a]
+                terms, lengths = _flat(part["terms"])
+                counts, _ = _flat(part["counts"])
+                # copies, so that the batch goes
+                held.append([part["doc_id"].to_numpy().copy(), part["n_words"].to_numpy().copy(), lengths, terms.view(np.uint64).copy(), counts.astype(np.min_scalar_type(counts.max()))])
+        if held:
+            yield from found(held)
 
     return run
 
 
-def _fetched(queries: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """A group of queries, whose size is bounded, as (query, sorted terms, their weights)."""
+def _fetched(queries: DataFrame) -> Queries:
+    """A group of queries, whose size is bounded."""
     found = queries.toArrow()
     terms, lengths = _flat(found["terms"])
     weights, _ = _flat(found["weights"])
-    ends = np.cumsum(lengths)
-    out = []
-    for query, a, b in zip(found["query_id"].to_pylist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
-        own = terms[a:b].view(np.uint64)
-        order = np.argsort(own)
-        out.append((query, own[order], weights[a:b][order]))
-    return out
+    by = np.lexsort((terms.view(np.uint64), np.repeat(np.arange(len(lengths)), lengths)))
+    known, term = np.unique(terms.view(np.uint64)[by], return_inverse=True)
+    return Queries(found["query_id"].to_numpy(), np.append(0, np.cumsum(lengths)), known, term.astype(np.int32), weights[by])
 
 
 def search(documents: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 16_384, shard_words: int = 16_000_000, group_terms: int = 1 << 20) -> DataFrame:
     """documents(doc_id, text), queries(query_id, text) -> (query_id, rank, doc_id, score), the best first.
 
     A shard has about ``shard_docs`` documents or ``shard_words`` words, whichever is less; a group of queries has
-    about ``group_terms`` terms (16 bytes each), and each group is a job over all shards."""
+    about ``group_terms`` terms (20 bytes each at most), and ``GROUPS`` of them are a job over all shards.  If there are many
+    shards, some are searched first: the k-th best score there is the least that the others need to tell."""
     clean = lambda df, key: df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col("text").cast("string").cast("binary").alias("text"))
+    spark = documents.sparkSession
     docs, asked = clean(documents, "doc_id"), clean(queries, "query_id")
     asked = materialize(asked.mapInArrow(_query_terms, "query_id long, term long, n long").groupBy("query_id", "term").agg(F.sum("n").alias("n")), "asked")
     passes = _filter_of(asked.select("term").distinct())
-    counted = docs.mapInArrow(_frequencies(passes), "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
-    counted = materialize(counted, "counted")
+    groups = max(1, -(-asked.count() // group_terms))
+    indexed = docs.mapInArrow(_postings(passes), "doc_id long, n_words int, terms array<long>, counts array<int>")
+    stored = groups > GROUPS or docs.count() > SHARDS * shard_docs
+    if stored:
+        indexed = postings = materialize(indexed, "postings")  # read by several jobs
+    partial = indexed.select("n_words", "terms").mapInArrow(_frequencies(_stored), "term long, df long, words long") if stored else docs.mapInArrow(_frequencies(_told(passes)), "term long, df long, words long")
+    counted = materialize(partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "counted")
     n, words = counted.where("term is null").agg(F.sum("df"), F.sum("words")).first()
     n, words = n or 0, words or 0
     mean = max(words / max(n, 1), 1e-9)
-    shards, groups = max(1, -(-n // shard_docs), -(-words // shard_words)), max(1, -(-asked.count() // group_terms))
+    shards = max(1, -(-n // shard_docs), -(-words // shard_words))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     ready = (
         asked.join(counted, "term").select("query_id", F.struct("term", (idf * F.col("n")).alias("weight")).alias("t"))
@@ -272,19 +396,34 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, shard_docs: in
     )
     ready = materialize(ready, "ready")
     free(asked, counted)
-    indexed = docs.mapInArrow(_postings(passes), "doc_id long, n_words int, terms array<long>, counts array<int>")
-    indexed = indexed.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    if groups > 1:
-        indexed = materialize(indexed, "postings")  # read once for each group
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
+    indexed = indexed.where(F.size("terms") > 0).withColumn("shard", shard)
+    rounds = [F.col("shard") % FIRST == 0, F.col("shard") % FIRST > 0] if stored and shards >= SHARDS else [F.lit(True)]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     done = []
-    for part in range(groups):
-        some = _fetched(ready.where(F.col("part") == part).select("query_id", "terms", "weights"))
-        found = indexed.groupBy("shard").applyInArrow(_search(mean, k, some), "query_id long, doc_id long, score double")
-        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        done.append(materialize(found.select("query_id", "rank", "doc_id", "score"), "found"))
-    free(ready, *([indexed] if groups > 1 else []))
-    return documents.sparkSession.read.schema(done[0].schema).parquet(*(one.materialized_at for one in done))
+    for parts in (range(groups)[i : i + GROUPS] for i in range(0, groups, GROUPS)):
+        held = [spark.sparkContext.broadcast(_fetched(ready.where(F.col("part") == part).select("query_id", "terms", "weights"))) for part in parts]
+        before = least = None
+        for some in rounds:
+            dealt = indexed.where(some).repartition(tasks, "shard").sortWithinPartitions("shard")
+            found = dealt.mapInArrow(_search(mean, k, held, least), "query_id long, doc_id long, score double")
+            if before:
+                found = found.union(before.select("query_id", "doc_id", "score"))
+            found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            found = materialize(found.select("query_id", "rank", "doc_id", "score"), "found")
+            if len(rounds) > 1 and not before:
+                last = found.where(F.col("rank") == k).select("query_id", "score").toArrow()
+                order = np.argsort(last["query_id"].to_numpy())
+                least = last["query_id"].to_numpy()[order], last["score"].to_numpy()[order]
+            if before:
+                free(before)
+            before = found
+        done.append(before)
+        for group in held:
+            group.destroy()
+    free(ready, *([postings] if stored else []))
+    return spark.read.schema(done[0].schema).parquet(*(one.materialized_at for one in done))
 
 
 def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
