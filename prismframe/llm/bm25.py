@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismframe.llm.common import free, hashed_texts, materialize, mix, rows_of, table
+from prismframe.llm.common import bit_map, free, hashed_texts, materialize, mix, rows_of, table
 
 BLOCK = 64
 K1, B = 1.2, 0.75
@@ -68,17 +68,7 @@ def _passing(terms: np.ndarray, passes: np.ndarray) -> np.ndarray:
 
 def _filter_of(terms: DataFrame) -> np.ndarray:
     """Bit map of hashed terms, some 8 bits for each and never more than 16 MB."""
-    bits = 1 << min(27, max(16, (8 * terms.count()).bit_length()))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = (mix(batch["term"].to_numpy().view(np.uint64), 7) % np.uint64(bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at)], ["p"])
-
-    marks = terms.mapInArrow(places, "p long").groupBy(F.expr("p div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("m")).toPandas()
-    out = np.zeros(bits // 32, np.uint32)
-    out[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64).astype(np.uint32)
-    return out.view(np.uint8)
+    return bit_map(terms, 7)
 
 
 def _told(passes: np.ndarray):

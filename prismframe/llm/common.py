@@ -98,6 +98,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of a piece of a bit map.
+PIECE = 1 << 20
+
+
+def bit_map(values: DataFrame, seed: int) -> np.ndarray:
+    """Bit map of hashed values (one column of longs), some 8 bits for each and never more than 16 MB.  Tasks fill pieces of it, so
+    that the driver gets no more than the map."""
+    (name,) = values.columns
+    bits = 1 << min(27, max(16, (8 * values.count()).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = (mix(batch[name].to_numpy().view(np.uint64), seed) % np.uint64(bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at // PIECE).astype(np.int32)), pa.array((at % PIECE).astype(np.int32))], ["piece", "at"])
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            pieces, at = batch["piece"].to_numpy(), batch["at"].to_numpy()
+            for piece in np.unique(pieces).tolist():
+                own = at[pieces == piece]
+                np.bitwise_or.at(held.setdefault(piece, np.zeros(PIECE // 8, np.uint8)), own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        for piece, marks in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([marks.tobytes()])], ["piece", "marks"])
+
+    tasks = min(-(-bits // PIECE), int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = values.mapInArrow(places, "piece int, at int").repartition(tasks, "piece").mapInArrow(filled, "piece int, marks binary").toArrow()
+    out = np.zeros(max(bits, PIECE) // 8, np.uint8)
+    for piece, marks in zip(found["piece"].to_pylist(), found["marks"], strict=True):
+        out[piece * PIECE // 8 : (piece + 1) * PIECE // 8] = np.frombuffer(marks.as_buffer(), np.uint8)
+    return out[: bits // 8].copy()
+
+
 def broadcast_if_small(df: DataFrame, most_bytes: int = 8_000_000) -> DataFrame:
     """``df`` (a materialised table) with a broadcast hint if its files hold at most ``most_bytes``;
     beyond that it is left to a shuffled join."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismframe.llm.common import broadcast_if_small, hashed_texts, materialize, mix, rows_of, shingles, table
+from prismframe.llm.common import bit_map, broadcast_if_small, hashed_texts, materialize, mix, rows_of, shingles, table
 from prismframe.llm.components import connected_components
 
 SHINGLE = 5
@@ -537,17 +537,7 @@ def _verified(width: int, similarity: float):
 
 def _value_filter(values: DataFrame) -> np.ndarray:
     """Bit map of hashed values, some 8 bits for each and never more than 16 MB."""
-    bits = 1 << min(27, max(16, (8 * values.count()).bit_length()))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = (mix(batch["value"].to_numpy().view(np.uint64), 99) % np.uint64(bits)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at)], ["p"])
-
-    marks = values.mapInArrow(places, "p long").groupBy(F.expr("p div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("m")).toPandas()
-    out = np.zeros(bits // 32, np.uint32)
-    out[marks["w"].to_numpy(np.int64)] = marks["m"].to_numpy(np.int64).astype(np.uint32)
-    return out.view(np.uint8)
+    return bit_map(values, 99)
 
 
 def repeated_passages(documents: DataFrame, least: int = 50, hashes: int = 3, similarity: float = 0.8) -> DataFrame:
