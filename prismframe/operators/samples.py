@@ -86,12 +86,45 @@ def pick_color(pixels: DataFrame, images: DataFrame, sources: DataFrame, points:
 _TURNED = (("dx", "dy"), ("dy", "-dx"), ("-dx", "-dy"), ("-dy", "dx"))
 
 
+#: Bits of the side of the squares that pixels are packed in.
+_SIDE = 5
+
+
+def _bit(v: str) -> str:
+    """SQL: a coordinate's place in its square, as a bit."""
+    return f"shiftleft(1L, cast({v} & {(1 << _SIDE) - 1} as int))"
+
+
+def _squares(pixels: DataFrame) -> DataFrame:
+    """(image_id, sx, sy, layer, ys, lines): lines(y, xs, channels), one for each bit of ys, hold a value for each bit of xs.
+
+    Of pixels with one place, the second stands in layer 1 and so on."""
+    own = Window.partitionBy("image_id", "sx", "sy", "y", "x").orderBy(*CHANNELS)
+    placed = pixels.where("x is not null and y is not null").selectExpr("image_id", f"shiftright(x, {_SIDE}) as sx", f"shiftright(y, {_SIDE}) as sy", "x", "y", *CHANNELS)
+    layered = placed.repartition("image_id", "sx", "sy").withColumn("layer", F.row_number().over(own) - 1)
+    lines = layered.groupBy("image_id", "sx", "sy", "layer", "y").agg(F.expr(f"bit_or({_bit('x')}) as xs"), F.array_sort(F.collect_list(F.struct("x", *CHANNELS))).alias("c"))
+    line = F.struct("y", "xs", *(F.col(f"c.{c}").alias(c) for c in CHANNELS))
+    return lines.groupBy("image_id", "sx", "sy", "layer").agg(F.expr(f"bit_or({_bit('y')}) as ys"), F.array_sort(F.collect_list(line)).alias("lines"))
+
+
 def pixel_patch(pixels: DataFrame, points: DataFrame, n: int, quarters: int = 0) -> DataFrame:
-    """The n x n neighbourhood of each point (image_id, pt, px, py) as seen after so many quarter turns; outside is transparent black."""
+    """The n x n neighbourhood of each point (image_id, pt, px, py) as seen after so many quarter turns; outside is transparent black.
+
+    A point meets the squares of pixels that its patch touches, and becomes n x n rows only then, which are never shuffled."""
     k, (x, y) = n // 2, _TURNED[quarters % 4]
-    grid = points.selectExpr("*", f"explode(sequence(-{k}, {n - 1 - k})) as dx").selectExpr("*", f"explode(sequence(-{k}, {n - 1 - k})) as dy")
-    near = grid.selectExpr("image_id", "pt", "dx", "dy", f"cast(px + {x} as int) as x", f"cast(py + {y} as int) as y").join(pixels, ["image_id", "x", "y"], "left")
-    return near.select("image_id", "pt", "dx", "dy", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in CHANNELS))
+    steps = f"sequence(-{k}, {n - 1 - k})"
+    at = lambda p, step: f"cast({p} + {step} as int)"
+    dx, dy = x.lstrip("-"), y.lstrip("-")  # what a place's x and y depend on
+    touched = lambda p, step, d: f"explode(array_distinct(transform({steps}, {d} -> shiftright({at(p, step)}, {_SIDE}))))"
+    near = points.selectExpr("image_id", "pt", "px", "py", f"{touched('px', x, dx)} as sx").selectExpr("*", f"{touched('py', y, dy)} as sy")
+    near = near.join(_squares(pixels), ["image_id", "sx", "sy"], "left")
+    held = lambda bits, v, out: f"if({bits} & {_bit(v)} != 0, {out}, null)"
+    place = lambda bits, v: f"bit_count({bits} & ({_bit(v)} - 1))"
+    near = near.selectExpr("*", f"explode({steps}) as {dy}").selectExpr("*", f"{at('py', y)} as y").where(f"shiftright(y, {_SIDE}) <=> sy")
+    near = near.selectExpr("image_id", "pt", "px", "sx", "layer", dy, held("ys", "y", f"get(lines, {place('ys', 'y')})") + " as line")
+    near = near.selectExpr("*", f"explode({steps}) as {dx}").selectExpr("*", f"{at('px', x)} as x").where(f"shiftright(x, {_SIDE}) <=> sx")
+    near = near.where(f"coalesce(layer, 0) = 0 or line.xs & {_bit('x')} != 0")
+    return near.selectExpr("image_id", "pt", "dx", "dy", *(f"coalesce({held('line.xs', 'x', f'get(line.{c}, {place("line.xs", "x")})')}, 0) as {c}" for c in CHANNELS))
 
 
 def rects_contain(outer: DataFrame, inner: DataFrame, slack: float = 0.5, cell: int = 16) -> DataFrame:
